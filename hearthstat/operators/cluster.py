@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthstat.operators.reshape import rows_from, union_all
-from hearthstat.operators.scale import join_small, stage
+from hearthstat.operators.scale import join_small, literal_table, stage
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
@@ -66,8 +66,9 @@ def kmeans_by_period(prepared: DataFrame, period: str, metrics: Sequence[str], k
         labelled.append(best[3].drop("_x"))
         chosen.append((p, best[0], sizes[p], best[1], best[2]))
     spark, kind = prepared.sparkSession, prepared.schema[period].dataType.simpleString()
-    diagnostics = spark.createDataFrame(notes, f"{period} {kind}, k int, inertia double, silhouette double")
-    picks = spark.createDataFrame(
+    diagnostics = literal_table(spark, notes, f"{period} {kind}, k int, inertia double, silhouette double")
+    picks = literal_table(
+        spark,
         chosen, f"{period} {kind}, selected_k int, row_count long, inertia double, silhouette double")
     assigned = union_all(labelled).withColumn("cluster_label", cluster_label("cluster_id"))
     return assigned, diagnostics, picks
@@ -237,7 +238,8 @@ def align_clusters(cents: DataFrame, period: str, cluster: str, features: Sequen
                 next_id += 1
         aligned = current
     kinds = [cents.schema[c].dataType.simpleString() for c in (period, cluster)]
-    mapping = cents.sparkSession.createDataFrame(
+    mapping = literal_table(
+        cents.sparkSession,
         table, f"{period} {kinds[0]}, {cluster} {kinds[1]}, aligned_cluster_id int, match_type string, "
                "distance_to_previous double")
     return mapping.withColumn("aligned_cluster_label", cluster_label("aligned_cluster_id", "aligned_cluster_"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthstat.operators.ordered import quantiles, totals_below
 from hearthstat.operators.ranking import worst_both_sides
 from hearthstat.operators.reshape import rows_from, union_all
-from hearthstat.operators.scale import join_small, stage
+from hearthstat.operators.scale import join_small, literal_table, stage
 from hearthstat.operators.standardize import quantile_flag
 
 # Share that marks high risk, forest size and leaf size, boosting rounds, rate and depth.
@@ -132,7 +132,8 @@ def _importance(model, features: Sequence[str], name: str, kind: str, df: DataFr
     trees = hasattr(model, "featureImportances")
     values = (model.featureImportances if trees else model.coefficients).toArray()
     rows = [(f, float(abs(v)), None if trees else float(v), kind, name) for f, v in zip(features, values)]
-    return df.sparkSession.createDataFrame(
+    return literal_table(
+        df.sparkSession,
         rows, "feature string, importance double, signed_value double, model_type string, model string")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthstat.functions.expressions import has_text, is_blank
 from hearthstat.operators.reshape import rows_from
-from hearthstat.operators.scale import join_small
+from hearthstat.operators.scale import literal_table
 
 
 def table_manifest(spark: SparkSession, expected: Mapping[str, Sequence[int]], pattern: str,
@@ -20,7 +20,7 @@ def table_manifest(spark: SparkSession, expected: Mapping[str, Sequence[int]], p
         for period in periods:
             name = pattern.format(period=period, source=source)
             rows.append((name, int(period), source, name.lower() in known))
-    return spark.createDataFrame(rows, "table_name string, year int, source string, table_exists boolean")
+    return literal_table(spark, rows, "table_name string, year int, source string, table_exists boolean")
 
 
 def parse_table_name(name: Column | str) -> list[Column]:
@@ -104,8 +104,10 @@ def period_counts(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
 def grid_counts(df: DataFrame, key: str, key_values: Sequence, column: str, values: Sequence) -> DataFrame:
     """Rows in each cell of an expected literal grid; an unseen cell shows 0 and False."""
     counts = df.groupBy(key, column).agg(F.count(F.lit(1)).alias("_n"))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(k, v) for k in key_values for v in values], counts.select(key, column).schema)
+
+    kinds = [counts.schema[c].dataType.simpleString() for c in (key, column)]
+    grid = literal_table(df.sparkSession, [(k, v) for k in key_values for v in values],
+                         f"{key} {kinds[0]}, {column} {kinds[1]}")
     seen = grid.join(counts, [key, column], "left")
     return seen.select(key, column, F.coalesce("_n", F.lit(0)).alias("row_count"),
                        F.col("_n").isNotNull().alias("is_present"))

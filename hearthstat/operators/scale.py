@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 50_000
 SALTS = 64
@@ -24,8 +26,8 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     is not shuffled. Beyond it both sides are salted, so a hot key is spread over many tasks.
     Keys match with null-safe equality: a NULL group finds its own statistics.
     """
-    head = small.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
+    head = small.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
         fixed = big.sparkSession.createDataFrame(head, small.schema)
         return _null_safe_join(big, F.broadcast(fixed), on, how, where)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -54,6 +56,13 @@ def attach(df: DataFrame, groups: Sequence[str], **aggregates: Column) -> DataFr
     return df.withColumns({name: F.lit(values[name]).cast(types[name]) for name in aggregates})
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A few fixed rows as a local relation, whose size the optimizer knows."""
+    schema = StructType.fromDDL(ddl)
+    data = pa.table({f.name: [r[i] for r in rows] for i, f in enumerate(schema)})
+    return spark.createDataFrame(data).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; only a local test session may get its own."""
     sc = spark.sparkContext

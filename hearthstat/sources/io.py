@@ -8,6 +8,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType, StringType, StructType
 
+from hearthstat.operators.scale import literal_table
+
 # File name of a raw table and the three parts it is delivered in.
 FILE_PATTERN = r"ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)$"
 FILE_PARTS = ("Data", "Column-Metadata", "Table-Notes")
@@ -193,7 +195,7 @@ def matching_metrics(columns: Sequence[str], patterns: Sequence[str]) -> list[st
 def column_dictionary(df: DataFrame) -> DataFrame:
     """Position, name and type of every column."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema, 1)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string")
+    return literal_table(df.sparkSession, rows, "position int, column_name string, data_type string")
 
 
 def preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -220,5 +222,5 @@ def named_views(df: DataFrame, prefix: str, period: str = "year", latest: int =
 def dim_year(spark: SparkSession, periods: Sequence[int] = PERIODS) -> DataFrame:
     """Literal period dimension."""
     rows = [(y, f"ACS {y} 5-Year", "ACS5", "5-Year", 0, 1) for y in periods]
-    return spark.createDataFrame(rows, "year int, year_label string, acs_dataset string, acs_period string, "
+    return literal_table(spark, rows, "year int, year_label string, acs_dataset string, acs_period string, "
                                        "is_experimental int, is_in_pipeline int")
