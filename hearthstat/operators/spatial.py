@@ -103,7 +103,8 @@ def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float |
                                  F.col("y") - cy * width, (cy + 1) * width - F.col("y"))
         block = (
             waiting.withColumn("_margin", margin)
-            .withColumn("_cx", cx + F.explode(around)).withColumn("_cy", cy + F.explode(around)))
+            .withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+            .withColumns({"_cx": cx + F.col("_dx"), "_cy": cy + F.col("_dy")}).drop("_dx", "_dy"))
         table = _cells_of(polygons, width).select("_cx", "_cy", "poly_id", "edges")
         pairs = join_small(block, table, ["_cx", "_cy"], "inner", SHAPE_ROWS)
         x, y, edges = F.col("x"), F.col("y"), F.col("edges")
