@@ -88,8 +88,7 @@ def allocate_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str], spe
     out = out.withColumn("area_capacity", limit).withColumn(
         "weight_component", F.col("adjusted_hardship_component") * F.col("area_capacity"))
     out = join_small(out, totals.select(*groups, F.col(total).cast("double").alias(total)), groups)
-    lost = base.join(totals.where(F.col(total).isNotNull()), list(groups), "left_anti").select(*groups).distinct()
-    missing = lost.limit(20).collect()
+    missing = out.where(F.col(total).isNull()).select(*groups).distinct().limit(20).collect()
     if missing:
         raise ValueError(f"no control total for {[tuple(r) for r in missing]}")
     out = share_of_total(out, groups, "weight_component", "allocation_weight")

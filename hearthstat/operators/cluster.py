@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import permutations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthstat.operators.reshape import rows_from, union_all
-from hearthstat.operators.scale import join_small, literal_table, stage
+from hearthstat.operators.scale import join_small, literal_table, stage_by
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
@@ -41,37 +43,42 @@ def prepare(df: DataFrame, period: str, metrics: Sequence[str], winsor: tuple[fl
 
 
 def kmeans_by_period(prepared: DataFrame, period: str, metrics: Sequence[str], ks: Sequence[int] | None = None,
-                     restarts: int = 20, seed: int = 42, distance: str = "squared") -> tuple[DataFrame, DataFrame, DataFrame]:
+                     restarts: int = 20, seed: int = 42, distance: str = "squared",
+                     parallelism: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Best of several k-means fits per period and k (ML3-ML5).
 
+    Every fit is a distributed job on one period's folder; ``parallelism`` of them run side by side.
     Returns (assignments of the chosen k, diagnostics per k, chosen k per period).
     """
     features = [f"s_{m}" for m in metrics]
-    vectors = stage(VectorAssembler(inputCols=features, outputCol="_x").transform(prepared))
-    sizes = {r[0]: r[1] for r in vectors.groupBy(period).count().limit(MAX_PERIODS + 1).collect()}
-    labelled, notes, chosen = [], [], []
-    for p in period_list(vectors, period):
+    vectors = stage_by(VectorAssembler(inputCols=features, outputCol="_x").transform(prepared), period)
+    periods = period_list(vectors, period)
+    sizes = {r[0]: r[1] for r in vectors.groupBy(period).count().collect()}  # one row per period
+    wanted = {p: list(ks or k_values(sizes[p])) for p in periods}
+
+    def fit(task: tuple) -> tuple:
+        p, k, i = task
         rows = vectors.where(F.col(period) == p)
-        best = None
-        for k in ks or k_values(sizes[p]):
-            fits = [KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster_id").fit(rows)
-                    for i in range(restarts)]
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            labels = model.transform(rows)
-            score = silhouette(labels, period, features, distance=distance).agg(F.avg("silhouette")).first()[0]
-            inertia = float(model.summary.trainingCost)
-            notes.append((p, k, inertia, score))
-            if best is None or score > best[2]:
-                best = (k, inertia, score, labels)
-        labelled.append(best[3].drop("_x"))
-        chosen.append((p, best[0], sizes[p], best[1], best[2]))
+        model = KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster_id").fit(rows)
+        return model.summary.trainingCost, model.transform(rows).drop("_x")
+
+    tasks = [(p, k, i) for p in periods for k in wanted[p] for i in range(restarts)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = dict(zip(tasks, pool.map(inheritable_thread_target(prepared.sparkSession)(fit), tasks)))
+    results: dict = {}
+    for k in sorted({k for options in wanted.values() for k in options}):
+        labels = {p: min((fitted[p, k, i] for i in range(restarts)), key=lambda f: f[0]) for p in periods if k in wanted[p]}
+        scored = silhouette(union_all([df for _, df in labels.values()]), period, features, distance=distance)
+        scores = {r[0]: r[1] for r in scored.groupBy(period).agg(F.avg("silhouette")).collect()}
+        results |= {(p, k): (float(inertia), scores[p], df) for p, (inertia, df) in labels.items()}
+    best = {p: min(wanted[p], key=lambda k: (-results[p, k][1], k)) for p in periods}
     spark, kind = prepared.sparkSession, prepared.schema[period].dataType.simpleString()
-    diagnostics = literal_table(spark, notes, f"{period} {kind}, k int, inertia double, silhouette double")
-    picks = literal_table(
-        spark,
-        chosen, f"{period} {kind}, selected_k int, row_count long, inertia double, silhouette double")
-    assigned = union_all(labelled).withColumn("cluster_label", cluster_label("cluster_id"))
-    return assigned, diagnostics, picks
+    diagnostics = literal_table(spark, [(p, k, *r[:2]) for (p, k), r in sorted(results.items(), key=lambda x: x[0])],
+                                f"{period} {kind}, k int, inertia double, silhouette double")
+    picks = literal_table(spark, [(p, k, sizes[p], *results[p, k][:2]) for p, k in best.items()],
+                          f"{period} {kind}, selected_k int, row_count long, inertia double, silhouette double")
+    assigned = union_all([results[p, k][2] for p, k in best.items()])
+    return assigned.withColumn("cluster_label", cluster_label("cluster_id")), diagnostics, picks
 
 
 def cluster_label(c: str, prefix: str = "cluster_") -> Column:
@@ -160,7 +167,7 @@ def centroid_spread(cents: DataFrame, period: str, features: Sequence[str]) -> D
 
 def pca_points(prepared: DataFrame, period: str, metrics: Sequence[str]) -> DataFrame:
     """First two principal components per period; the largest loading of each is positive (ML8)."""
-    vectors = stage(VectorAssembler(inputCols=[f"s_{m}" for m in metrics], outputCol="_x").transform(prepared))
+    vectors = stage_by(VectorAssembler(inputCols=[f"s_{m}" for m in metrics], outputCol="_x").transform(prepared), period)
     parts = []
     for p in period_list(vectors, period):
         rows = vectors.where(F.col(period) == p)

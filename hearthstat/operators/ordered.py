@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import join_small
+from hearthstat.operators.scale import join_skewed, join_small
 
 GROUP_ROWS = 500_000
 RANGES = 1_000
@@ -139,7 +139,7 @@ def dense_ranks(df: DataFrame, groups: Sequence[str], value: str, up: str = "ran
         *groups, value,
         (F.col("_lower") + 1).cast("int").alias(up),
         (F.col("_values") - F.col("_lower")).cast("int").alias(down))
-    return rows.join(ranked, [*groups, value])
+    return join_skewed(rows, ranked, [*groups, value], "inner")
 
 
 def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_order") -> DataFrame:

@@ -47,7 +47,7 @@ def presence(df: DataFrame, entity: str, period: str) -> DataFrame:
 def stable_entities(df: DataFrame, entity: str, period: str, periods_expected: int) -> DataFrame:
     """Rows of entities seen in every expected period."""
     keep = df.groupBy(entity).agg(F.countDistinct(period).alias("_n")).where(F.col("_n") == periods_expected)
-    return df.join(keep.select(entity), entity, "left_semi")
+    return join_small(df, keep.select(entity), [entity], "inner")
 
 
 def _by_period(df: DataFrame, entity: str, period: str, metrics: Sequence[str], periods: Sequence[int]) -> DataFrame:

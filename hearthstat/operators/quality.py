@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthstat.functions.expressions import has_text, is_blank
 from hearthstat.operators.reshape import rows_from
-from hearthstat.operators.scale import literal_table
+from hearthstat.operators.scale import join_small, literal_table
 
 
 def table_manifest(spark: SparkSession, expected: Mapping[str, Sequence[int]], pattern: str,
@@ -74,13 +74,13 @@ def reference_coverage(source: DataFrame, reference: DataFrame, key: str, by: Se
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """NULL and blank counts of every column in one scan (Q6)."""
+    """NULL and blank counts of every column in one scan; the share is a fraction of 1 (Q6)."""
     wide = df.agg(F.count(F.lit(1)).alias("row_count"),
                   *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns],
                   *[F.count_if(is_blank(c)).alias(f"_b_{c}") for c in columns])
     return rows_from(wide, ["row_count"], [
         {"column_name": F.lit(c), "null_count": F.col(f"_n_{c}"), "blank_or_null_count": F.col(f"_b_{c}"),
-         "missing_pct": F.round(100.0 * F.col(f"_b_{c}") / F.nullif(F.col("row_count"), F.lit(0)), 6)} for c in columns])
+         "missing_pct": F.round(F.col(f"_b_{c}") / F.nullif(F.col("row_count"), F.lit(0)), 6)} for c in columns])
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -148,7 +148,7 @@ def missing_combinations(df: DataFrame, entity: str, period: str, component: str
 def name_conflicts(df: DataFrame, entity: str, name: str, detail: Sequence[str]) -> DataFrame:
     """Detail rows of entities that carry more than one name."""
     bad = df.groupBy(entity).agg(F.countDistinct(name).alias("distinct_name_count")).where("distinct_name_count > 1")
-    return df.select(entity, *detail).join(bad, entity)
+    return join_small(df.select(entity, *detail), bad, [entity], "inner")
 
 
 def bad_keys(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:

@@ -8,6 +8,7 @@ period column would put every row of a period in one task, so the statistics are
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -15,24 +16,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 50_000
-SALTS = 64
+HOT_ROWS = 2_000_000
+SALTS = 256
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                max_rows: int = BROADCAST_ROWS, where: Column | None = None) -> DataFrame:
     """Join rows to a table that is expected to be small, on equal keys and an optional condition.
 
-    The small side is counted up to ``max_rows``. Within the bound it is broadcast, so the big side
-    is not shuffled. Beyond it both sides are salted, so a hot key is spread over many tasks.
+    The small side is read up to ``max_rows``. Within the bound it is broadcast, so the big side is
+    not shuffled. Beyond it the join shuffles, with the hot keys of the big side kept out of it.
     Keys match with null-safe equality: a NULL group finds its own statistics.
     """
     head = small.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
         fixed = big.sparkSession.createDataFrame(head, small.schema)
         return _null_safe_join(big, F.broadcast(fixed), on, how, where)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    return _null_safe_join(spread, salted, [*on, "_salt"], how, where).drop("_salt")
+    return join_skewed(big, small, on, how, where)
+
+
+def join_skewed(big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left", where: Column | None = None,
+                hot_rows: int = HOT_ROWS, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Shuffle join in which no key of the big side can overload one task.
+
+    Keys with more rows than ``hot_rows`` (and than a ``max_rows``-th of the table, so fewer than
+    ``max_rows`` of them can exist) are joined apart: their rows stay where they are and the matching
+    rows of the other side are broadcast. All other keys take the ordinary shuffle join.
+    """
+    sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    least = max(hot_rows, total // max_rows)
+    hot = sizes.where(F.col("_rows") > least).select(*on).toArrow() if total > least else None
+    if hot is None or hot.num_rows == 0:
+        return _null_safe_join(big, other, on, how, where)
+    keys = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(*on).schema).withColumn("_hot", F.lit(True)))
+    big_marked = _null_safe_join(big, keys, on, "left", None)
+    other_marked = _null_safe_join(other, keys, on, "left", None)
+    cold = _null_safe_join(big_marked.where("_hot is null").drop("_hot"),
+                           other_marked.where("_hot is null").drop("_hot"), on, how, where)
+    big_hot, other_hot = big_marked.where("_hot").drop("_hot"), other_marked.where("_hot").drop("_hot")
+    matches = other_hot.limit(max_rows + 1).toArrow()
+    if matches.num_rows <= max_rows:
+        fixed = big.sparkSession.createDataFrame(matches, other_hot.schema)
+        warm = _null_safe_join(big_hot, F.broadcast(fixed), on, how, where)
+    else:
+        salted = other_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = big_hot.withColumn("_salt", F.pmod(F.xxhash64(*big_hot.columns), F.lit(SALTS)).cast("int"))
+        warm = _null_safe_join(spread, salted, [*on, "_salt"], how, where).drop("_salt")
+    return cold.unionByName(warm)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
@@ -82,7 +113,10 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def expected_keys(df: DataFrame, keys: Sequence[str], column: str, values: Sequence) -> DataFrame:
-    """Every distinct key once per expected literal value: a grid without a cross join."""
-    wanted = F.array(*[F.lit(v) for v in values])
-    return df.select(*keys).distinct().withColumn(column, F.explode(wanted))
+def stage_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``stage``, as a table with one folder per value of ``key``: a filter on it reads only that folder."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/by-{key}-{uuid.uuid4().hex}"
+    df.write.partitionBy(key).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

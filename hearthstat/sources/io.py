@@ -10,9 +10,9 @@ from pyspark.sql.types import NumericType, StringType, StructType
 
 from hearthstat.operators.scale import literal_table
 
-# File name of a raw table and the three parts it is delivered in.
-FILE_PATTERN = r"ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)$"
-FILE_PARTS = ("Data", "Column-Metadata", "Table-Notes")
+# Fixed value: file name of a raw table: type, period, code, part and extension.
+FILE_PATTERN = r"(?i)ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)$"
+
 
 # Periods of the pipeline; the label columns follow one form.
 PERIODS = (2019, 2021, 2022, 2023)
@@ -72,16 +72,16 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
         return F.regexp_extract(plain, FILE_PATTERN, i)
 
     found = files.select(
-        "path", group(1).alias("source_type"), F.nullif(group(2), F.lit("")).cast("int").alias("year"),
-        F.lower(group(3)).alias("table_code"), group(4).alias("file_kind"))
+        "path", F.upper(group(1)).alias("source_type"), F.nullif(group(2), F.lit("")).cast("int").alias("year"),
+        F.upper(group(3)).alias("table_code"), group(4).alias("file_kind"))
     return found.where("year is not null").withColumn("table_family", table_family("table_code"))
 
 
 def table_family(code: Column | str) -> Column:
-    """Detail, subject or profile table, from the first letters of its code."""
-    c = F.lower(F.col(code) if isinstance(code, str) else code)
-    return F.when(c.startswith("dp"), "profile").when(c.startswith("s"), "subject").when(
-        c.startswith("b") | c.startswith("c"), "detail").otherwise("other")
+    """Family of a table from the first letters of its code."""
+    c = F.upper(F.col(code) if isinstance(code, str) else code)
+    return F.when(c.startswith("DP"), "Data Profile").when(c.startswith("S"), "Subject Table").when(
+        c.startswith("B") | c.startswith("C"), "Detailed Table").otherwise("Unknown")
 
 
 def read_inventory_table(spark: SparkSession, inventory: DataFrame, code: str) -> DataFrame:
@@ -90,9 +90,9 @@ def read_inventory_table(spark: SparkSession, inventory: DataFrame, code: str) -
     Files of different periods have different columns, so each period is read by its own header and
     the frames are joined by name; the list of files is metadata.
     """
-    rows = inventory.where((F.col("table_code") == code) & (F.col("file_kind") == "Data")).orderBy("year").collect()
+    rows = inventory.where((F.col("table_code") == code.upper()) & (F.col("file_kind") == "Data")).orderBy("year").collect()
     frames = [with_clean_names(read_text_table(spark, r.path)).withColumns(
-        {"year": F.lit(r.year), "table_code": F.lit(code)}) for r in rows]
+        {"year": F.lit(r.year), "table_code": F.lit(code.upper())}) for r in rows]
     if not frames:
         raise FileNotFoundError(f"no data file for {code}")
     out = frames[0]

@@ -400,7 +400,7 @@ def reference_coverage(spark, folder):
              UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR FROM keyed)---
        SELECT column_name, count(*) AS row_count, count(*) - count(v) AS null_count,
               count(*) FILTER (v IS NULL OR trim(v) = '') AS blank_or_null_count,
-              round(100.0 * count(*) FILTER (v IS NULL OR trim(v) = '') / count(*), 6) AS missing_pct
+              round(count(*) FILTER (v IS NULL OR trim(v) = '') / count(*), 6) AS missing_pct
        FROM u GROUP BY 1""")
 def missing_profile(spark, folder):
     return ql.missing_profile(keyed(spark, folder), ["k", "l_orderkey", "l_linenumber"])
