@@ -38,7 +38,13 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def clean_name(name: str) -> str:
-    """Lower case, runs of other characters to one '_', no digit in front."""
+    """Lower case, runs of other characters to one '_', no digit in front.
+
+    The reader calls a column with an empty header ``_c<position>``; it becomes ``unnamed_<position>``.
+    """
+    empty = re.fullmatch(r"_c(\d+)", name)
+    if empty:
+        return f"unnamed_{empty[1]}"
     text = re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_") or "col"
     return f"col_{text}" if text[0].isdigit() else text
 
