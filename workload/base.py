@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from hearthstat.operators import household as hh
 from hearthstat.operators import thresholds as th
+from hearthstat.operators.scale import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +57,7 @@ def query(name: str, spec: str | None = None, sql: str | None = None, digits: in
     return add
 
 
+@cache
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -88,11 +91,13 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     return hh.household_profile(housing(spark, folder), persons(spark, folder))
 
 
+@cache
 def raw_thresholds(spark: SparkSession) -> DataFrame:
     table = th.backfilled(th.base_thresholds(spark, BUDGETS), INDEX, 2001)
     return table.where("not (year = 1998 and hh_comp_key = 'other')")
 
 
+@cache
 def final_thresholds(spark: SparkSession) -> DataFrame:
     return th.calibrated(raw_thresholds(spark), UPLIFTS)
 
@@ -194,6 +199,11 @@ def cells(spark: SparkSession, folder: str, full: bool = False) -> DataFrame:
     return out.withColumn("pct_urgent", F.when((F.col("area") + F.col("year")) % 13 != 0, F.col("_u"))).drop("_u")
 
 
+def cells_staged(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel written once, for queries that read it several times."""
+    return stage(cells(spark, folder))
+
+
 def cells_with_groups(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("area"), "c_nationkey", F.col("c_mktsegment").alias("segment"), "c_name", "c_acctbal")

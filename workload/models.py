@@ -9,7 +9,7 @@ from hearthstat.operators import ml
 from hearthstat.operators import panel as pn
 from hearthstat.operators.scale import stage
 from hearthstat.operators.standardize import zscores
-from workload.base import CELLS_SQL, GROUPED_SQL, YEARS, cells, cells_with_groups, query, table
+from workload.base import CELLS_SQL, GROUPED_SQL, YEARS, cells, cells_staged, cells_with_groups, query, table
 
 FEATURES = ["price", "urgent", "mod"]
 CENTROID_SQL = """
@@ -145,7 +145,7 @@ def label_counts(spark, folder):
        SELECT year, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette,
               count(*) AS row_count FROM ab GROUP BY year""")
 def silhouette_by_year(spark, folder):
-    rows = labelled(spark, folder).withColumns({"a": F.col("spend") / 100000, "b": F.col("pct_open") / 100})
+    rows = stage(labelled(spark, folder)).withColumns({"a": F.col("spend") / 100000, "b": F.col("pct_open") / 100})
     return cl.silhouette(rows, "year", ["a", "b"], "label").groupBy("year").agg(
         F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("row_count"))
 
@@ -159,13 +159,13 @@ CLUSTER_METRICS = ["spend", "pct_open", "pct_urgent"]
        SELECT area, year, u AS pct_urgent, (u - avg(u) OVER w) / stddev_pop(u) OVER w AS s_pct_urgent,
               (spend - avg(spend) OVER w) / stddev_pop(spend) OVER w AS s_spend FROM f WINDOW w AS (PARTITION BY year)""")
 def impute_and_scale(spark, folder):
-    return cl.prepare(cells(spark, folder), "year", CLUSTER_METRICS).select(
+    return cl.prepare(cells_staged(spark, folder), "year", CLUSTER_METRICS).select(
         "area", "year", "pct_urgent", "s_pct_urgent", "s_spend")
 
 
 @query("kmeans_by_year")
 def kmeans_by_year(spark, folder):
-    prepared = cl.prepare(cells(spark, folder), "year", CLUSTER_METRICS)
+    prepared = cl.prepare(cells_staged(spark, folder), "year", CLUSTER_METRICS)
     assigned, _, picks = cl.kmeans_by_period(prepared, "year", CLUSTER_METRICS, ks=[2, 3], restarts=1)
     sizes = assigned.groupBy("year", "cluster_label").agg(F.count(F.lit(1)).alias("entity_count"))
     return sizes.join(picks.select("year", "selected_k", "silhouette", "inertia"), "year")
@@ -173,7 +173,7 @@ def kmeans_by_year(spark, folder):
 
 @query("pca_points")
 def pca_points(spark, folder):
-    prepared = cl.prepare(cells(spark, folder), "year", CLUSTER_METRICS)
+    prepared = cl.prepare(cells_staged(spark, folder), "year", CLUSTER_METRICS)
     return cl.pca_points(prepared, "year", CLUSTER_METRICS).select("area", "year", "pc1", "pc2")
 
 
@@ -193,7 +193,7 @@ rp AS (SELECT *, actual - predicted_target AS residual FROM pred)"""
 
 
 def targets(spark, folder):
-    return ml.targets(cells_with_groups(spark, folder), "year", "spend")
+    return ml.targets(stage(cells_with_groups(spark, folder)), "year", "spend")
 
 
 def predictions(spark, folder):

@@ -11,7 +11,7 @@ from hearthstat.operators import ranking as rk
 from hearthstat.operators import standardize as sd
 from hearthstat.operators.ordered import dense_ranks
 from hearthstat.operators.scale import stage
-from workload.base import (CELLS_SQL, GROUPED_SQL, LONG_SQL, METRICS, YEARS, cells, cells_with_groups, query, table)
+from workload.base import (CELLS_SQL, GROUPED_SQL, LONG_SQL, METRICS, YEARS, cells, cells_staged, cells_with_groups, query, table)
 
 
 def _z(column, group="PARTITION BY year", spread="stddev_samp"):
@@ -29,7 +29,7 @@ def zscore_by_group(spark, folder):
 @query("zscore_global", "area:i year:i z_spend:d p_spend:d", "WITH" + CELLS_SQL + f"""---
        SELECT area, year, {_z('spend', '')} AS z_spend, {_z('spend', '', 'stddev_pop')} AS p_spend FROM cells""")
 def zscore_global(spark, folder):
-    out = sd.zscores(cells(spark, folder), [], ["spend"])
+    out = sd.zscores(cells_staged(spark, folder), [], ["spend"])
     return sd.zscores(out, [], ["spend"], prefix="p_", population=True).select("area", "year", "z_spend", "p_spend")
 
 
@@ -45,7 +45,7 @@ def entity_mean_zscore(spark, folder):
               spend - min(spend) OVER w + 0.01 AS shifted, spend / sum(spend) OVER w AS share, 1.0 / count(*) OVER w AS equal_share
        FROM cells WINDOW w AS (PARTITION BY year)""")
 def minmax_shift_share(spark, folder):
-    out = sd.minmax(cells(spark, folder), ["year"], "spend", "scaled")
+    out = sd.minmax(cells_staged(spark, folder), ["year"], "spend", "scaled")
     out = sd.minmax(out, ["year"], "year", "flat")
     out = sd.shift_positive(out, ["year"], "spend", "shifted")
     out = sd.share_of_total(out, ["year"], "spend", "share").withColumn("nothing", F.lit(0.0))
@@ -139,7 +139,7 @@ def pair_change(spark, folder):
               quantile_cont(absolute_change, 0.5) AS median, min(absolute_change) AS "min", max(absolute_change) AS "max"
        FROM changes GROUP BY ALL""")
 def change_summary(spark, folder):
-    return pn.change_summary(changes(spark, folder), ["start_year", "end_year", "metric"])
+    return pn.change_summary(stage(changes(spark, folder)), ["start_year", "end_year", "metric"])
 
 
 @query("movers", "area:i start_year:i end_year:i metric:s absolute_change:d rank_order:i direction:s", CHANGE_SQL + """,
@@ -184,7 +184,7 @@ def quantile_ranges(spark, folder):
        SELECT area, year, q AS cut, CASE WHEN spend >= q THEN 1 ELSE 0 END AS high
        FROM cells JOIN (SELECT year, quantile_cont(spend, 0.75) AS q FROM cells GROUP BY year) USING (year)""")
 def quantile_flag(spark, folder):
-    return sd.quantile_flag(cells(spark, folder), ["year"], "spend", 0.75, "high", "cut").select("area", "year", "cut", "high")
+    return sd.quantile_flag(cells_staged(spark, folder), ["year"], "spend", 0.75, "high", "cut").select("area", "year", "cut", "high")
 
 
 @query("winsorize", "area:i year:i spend:d pct_urgent:d", "WITH" + CELLS_SQL + """,
@@ -193,7 +193,7 @@ def quantile_flag(spark, folder):
        SELECT area, year, least(greatest(spend, s1), s2) AS spend,
               CASE WHEN pct_urgent IS NOT NULL THEN least(greatest(pct_urgent, u1), u2) END AS pct_urgent FROM cells JOIN q USING (year)""")
 def winsorize(spark, folder):
-    return sd.winsorize(cells(spark, folder), ["year"], ["spend", "pct_urgent"], 0.05, 0.95).select(
+    return sd.winsorize(cells_staged(spark, folder), ["year"], ["spend", "pct_urgent"], 0.05, 0.95).select(
         "area", "year", "spend", "pct_urgent")
 
 
@@ -204,7 +204,7 @@ def winsorize(spark, folder):
        SELECT s.year, metric, non_null, n - non_null AS missing, mn AS "min", mean, mx AS "max", std, p25, median, p75
        FROM s JOIN (SELECT year, count(*) AS n FROM cells GROUP BY year) USING (year)""", digits=5)
 def summary_stats(spark, folder):
-    return pf.summary_stats(cells(spark, folder), ["year"], METRICS)
+    return pf.summary_stats(cells_staged(spark, folder), ["year"], METRICS)
 
 
 @query("missingness", "year:i row_count:i column_name:s missing_count:i missing_pct:d", "WITH" + CELLS_SQL + """---
@@ -218,7 +218,7 @@ def missingness(spark, folder):
 @query("trend", "year:i metric:s mean_value:d median_value:d", "WITH" + LONG_SQL + """---
        SELECT year, metric, avg(value) AS mean_value, quantile_cont(value, 0.5) AS median_value FROM long GROUP BY ALL""", digits=5)
 def trend(spark, folder):
-    return pf.trend(cells(spark, folder), "year", METRICS)
+    return pf.trend(cells_staged(spark, folder), "year", METRICS)
 
 
 @query("stable_comparison", "year:i metric:s full_mean:d stable_mean:d difference:d", "WITH" + LONG_SQL + """,
@@ -260,7 +260,7 @@ def correlation_overall(spark, folder):
                 AS outlier_pct
        FROM long JOIN q USING (year, metric) WHERE metric IN ('spend', 'max_price', 'pct_open') GROUP BY ALL""", digits=5)
 def iqr_outliers(spark, folder):
-    return pf.iqr_outliers(cells(spark, folder), ["year"], ["spend", "max_price", "pct_open"])
+    return pf.iqr_outliers(cells_staged(spark, folder), ["year"], ["spend", "max_price", "pct_open"])
 
 
 @query("event_outliers",

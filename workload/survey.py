@@ -8,7 +8,7 @@ from hearthstat.functions.expressions import flag
 from hearthstat.operators import household as hh
 from hearthstat.operators import profile as pf
 from hearthstat.operators import thresholds as th
-from hearthstat.operators.scale import join_small, literal_table
+from hearthstat.operators.scale import join_small, literal_table, stage
 from workload.base import (FINAL_SQL, PROFILE_SQL, UPLIFTS, final, final_thresholds, housing, profile, query,
                            raw_thresholds, table)
 
@@ -93,7 +93,7 @@ STAT_SPEC = "year:i metric_group:s metric_name:s metric_value:d pct_of_household
 
 @query("stat_profile", STAT_SPEC, FINAL_SQL + "---" + profile_sql("below_flag = 1"), digits=2)
 def stat_profile(spark, folder):
-    return pf.stat_profile(final(spark, folder).where("below_flag = 1"), ["year"])
+    return pf.stat_profile(stage(final(spark, folder).where("below_flag = 1")), ["year"])
 
 
 @query("profile_compare",
@@ -113,7 +113,7 @@ def stat_profile(spark, folder):
        FROM c FULL JOIN n ON c.year = n.year AND c.metric_group = n.metric_group AND c.metric_name = n.metric_name""",
        digits=2)
 def profile_compare(spark, folder):
-    below = final(spark, folder).where("below_flag = 1")
+    below = stage(final(spark, folder).where("below_flag = 1"))
     return pf.compare_profiles(pf.stat_profile(below, ["year"]),
                                pf.stat_profile(below.where("student_heavy_flag = 0"), ["year"]))
 
