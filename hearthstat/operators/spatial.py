@@ -34,6 +34,22 @@ def shapes(vertices: DataFrame) -> DataFrame:
         F.max(F.array_max(F.transform("v", lambda p: p["y"]))).alias("max_y"))
 
 
+def outline_text(vertices: DataFrame) -> DataFrame:
+    """Well-known text of each polygon, for exports; rings in order, each closed."""
+    def point(p: Column) -> Column:
+        return F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+
+    ring = vertices.groupBy("poly_id", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
+    first, last = F.col("v")[0], F.element_at("v", -1)
+    closed = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("v")).otherwise(
+        F.concat("v", F.array(first)))
+    text = F.concat(F.lit("("), F.array_join(F.transform(closed, point), ", "), F.lit(")"))
+    rings = ring.select("poly_id", "ring", text.alias("t")).groupBy("poly_id").agg(
+        F.array_sort(F.collect_list(F.struct("ring", "t"))).alias("r"))
+    inner = F.array_join(F.transform("r", lambda r: r["t"]), ", ")
+    return rings.select("poly_id", F.concat(F.lit("POLYGON ("), inner, F.lit(")")).alias("geometry_wkt"))
+
+
 def contains(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd rule: a ray to the right crosses the outline an odd number of times."""
     def crossed(e: Column) -> Column:

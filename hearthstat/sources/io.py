@@ -216,10 +216,12 @@ def build_manifest(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def named_views(df: DataFrame, prefix: str, period: str = "year", latest: int = PERIODS[-1],
-                stable: str = "is_stable_all_4_years") -> dict[str, DataFrame]:
-    """Named subsets registered as views: all, latest period, stable areas."""
+                stable: str = "is_stable_all_4_years", cluster_columns: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Named subsets registered as views: all, latest period, stable areas, cluster input."""
     views = {f"{prefix}_all_years": df, f"{prefix}_{latest}": df.where(F.col(period) == latest),
              f"{prefix}_stable_4yr": df.where(F.col(stable) == 1)}
+    if cluster_columns:
+        views[f"{prefix}_cluster_input"] = df.select(*cluster_columns)
     for name, view in views.items():
         view.createOrReplaceTempView(name)
     return views

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from hearthstat.operators import allocate as al
 from hearthstat.operators import cluster as cl
 from hearthstat.operators import household as hh
-from hearthstat.operators import ml, panel, quality, reshape, spatial, standardize
+from hearthstat.operators import metrics, ml, panel, quality, reshape, spatial, standardize
 from hearthstat.operators import profile as pf
 from hearthstat.operators import thresholds as th
 from hearthstat.operators.scale import literal_table
-from hearthstat.plans import households
+from hearthstat.plans import households, tracts
 
 
 # Thresholds
@@ -290,3 +290,21 @@ def test_hole_is_outside(spark):
     shapes = spatial.shapes(literal_table(spark, ring + hole, "poly_id string, ring int, seq int, x double, y double"))
     pts = literal_table(spark, [(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 9.0, 9.0)], "id int, x double, y double")
     assert {r.id: r.poly_id for r in spatial.within(pts, shapes).collect()} == {1: "p", 2: None, 3: None}
+
+
+def test_outline_text(spark):
+    rows = [("p", 0, i, *c) for i, c in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])] + [
+        ("p", 1, i, *c) for i, c in enumerate([(1.0, 1.0), (2.0, 1.0), (1.0, 1.0)])]
+    df = literal_table(spark, rows, "poly_id string, ring int, seq int, x double, y double")
+    assert spatial.outline_text(df).first().geometry_wkt == (
+        "POLYGON ((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0), (1.0 1.0, 2.0 1.0, 1.0 1.0))")
+
+
+# Metrics as data
+
+def test_lineage_and_inventory(spark):
+    lines = {r.metric: r for r in metrics.lineage(spark, tracts.V2_METRICS).collect()}
+    assert len(lines) == 45 and lines["pct_hh_income_25k_50k"].sources == "s1901_c01_005e, s1901_c01_006e"
+    df = literal_table(spark, [(1.0,)], "poverty_rate double")
+    found = {r.final_column_name for r in metrics.inventory(df, tracts.metric_sheet(spark)).where("exists_in_table").collect()}
+    assert found == {"poverty_rate"}

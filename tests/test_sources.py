@@ -123,3 +123,12 @@ def test_typed_reader_and_dictionary(spark, tmp_path):
     assert io.preview(spark.range(9), 2, ["id"]).count() == 2
     with pytest.raises(ValueError, match="zz"):
         io.require_columns(df, ["a", "zz"])
+
+
+def test_catalog_table_is_replaced(spark):
+    try:
+        io.write_table(spark.range(3), "t_replace")
+        io.write_table(spark.range(2), "t_replace")
+        assert spark.table("t_replace").count() == 2
+    finally:
+        spark.sql("DROP TABLE IF EXISTS t_replace")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthstat.functions import expressions as ex
 from hearthstat.functions import keys as ky
+from hearthstat.operators import household as hh
 from hearthstat.operators import metrics as mt
 from hearthstat.operators import panel as pn
 from hearthstat.operators import profile as pf
@@ -585,11 +586,9 @@ def run_summary(spark, folder):
        SELECT area, year, segment AS label, CASE WHEN segment = 'BUILDING' THEN 1.0 WHEN segment = 'FURNITURE' THEN NULL
               ELSE spend END AS spend FROM gcells""")
 def update_from(spark, folder):
-    from hearthstat.operators.household import update_from as update
-
     fix = literal_table(spark, [("BUILDING", 1.0), ("FURNITURE", None)], "label string, new_spend double")
     rows = cells_with_groups(spark, folder).select("area", "year", F.col("segment").alias("label"), "spend")
-    return update(rows, fix, ["label"], {"spend": "new_spend"})
+    return hh.update_from(rows, fix, ["label"], {"spend": "new_spend"})
 
 
 @query("build_manifest", "year:i segment:s row_count:i column_count:i status:s", "WITH" + GROUPED_SQL + """---
