@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthstat.functions.expressions import clamp, floored, ratio, sum_of_parts
 from hearthstat.operators.ordered import quantiles
 from hearthstat.operators.reshape import rows_from
-from hearthstat.operators.scale import join_small, stage
-from hearthstat.operators.standardize import minmax, share_of_total, shift_positive, zscores
+from hearthstat.operators.scale import attach, join_small, stage
+from hearthstat.operators.standardize import scaled_between, share_of_total, zscores
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ DAMPEN_STRENGTH = 0.35
 DAMPEN_RANGE = (0.55, 1.00)
 CAPACITY_FLOOR = 1.0
 
+# Fixed value: smallest shifted score of a group.
+SCORE_FLOOR = 0.01
+
 
 def used_metrics(df: DataFrame, spec: Sequence[ScoreMetric]) -> list[ScoreMetric]:
     """Spec rows that carry weight and exist in the table."""
@@ -62,15 +65,20 @@ def hardship_score(df: DataFrame, groups: Sequence[str], spec: Sequence[ScoreMet
 
 def dampened_component(df: DataFrame, groups: Sequence[str], proxy: str | None,
                        strength: float = DAMPEN_STRENGTH) -> DataFrame:
-    """Positive score times a multiplier that falls with the student proxy."""
-    out = shift_positive(df, groups, "raw_hardship_score", "score_shifted_positive")
+    """Positive score times a multiplier that falls with the student proxy, one pass for all group limits."""
+    limits = {"_least": F.min("raw_hardship_score")}
+    if proxy is not None:
+        limits |= {"_lo": F.min(proxy), "_hi": F.max(proxy)}
+    out = attach(df, groups, **limits)
+    out = out.withColumn("score_shifted_positive", F.col("raw_hardship_score") - F.col("_least") + SCORE_FLOOR)
     if proxy is None:
         out = out.withColumns({"student_proxy_scaled": F.lit(0.0), "student_adjustment_multiplier": F.lit(1.0)})
     else:
-        out = minmax(out, groups, proxy, "student_proxy_scaled").withColumn(
+        out = out.withColumn("student_proxy_scaled", scaled_between(proxy, "_lo", "_hi")).withColumn(
             "student_adjustment_multiplier", clamp(1 - F.lit(strength) * F.col("student_proxy_scaled"), *DAMPEN_RANGE))
     return out.withColumn(
-        "adjusted_hardship_component", F.col("score_shifted_positive") * F.col("student_adjustment_multiplier"))
+        "adjusted_hardship_component",
+        F.col("score_shifted_positive") * F.col("student_adjustment_multiplier")).drop(*limits)
 
 
 def allocate_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str], spec: Sequence[ScoreMetric],
@@ -83,14 +91,12 @@ def allocate_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str], spe
     The panel is read in four passes, so it is staged unless it already is a stored table.
     """
     base = stage(df) if staged else df
+    _require_totals(base, totals, groups, total)
     out = dampened_component(hardship_score(base, groups, spec), groups, proxy)
     limit = floored(F.col(capacity).cast("double"), CAPACITY_FLOOR) if capacity else F.lit(1.0)
     out = out.withColumn("area_capacity", limit).withColumn(
         "weight_component", F.col("adjusted_hardship_component") * F.col("area_capacity"))
     out = join_small(out, totals.select(*groups, F.col(total).cast("double").alias(total)), groups)
-    missing = out.where(F.col(total).isNull()).select(*groups).distinct().limit(20).collect()
-    if missing:
-        raise ValueError(f"no control total for {[tuple(r) for r in missing]}")
     out = share_of_total(out, groups, "weight_component", "allocation_weight")
     estimate = F.col("allocation_weight") * F.col(total)
     return out.withColumns({
@@ -100,6 +106,14 @@ def allocate_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str], spe
     })
 
 
+def _require_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str], total: str) -> None:
+    known = totals.where(F.col(total).isNotNull()).select(*groups, F.lit(True).alias("_known"))
+    present = join_small(df.select(*groups).distinct(), known, groups)
+    missing = present.where("_known is null").select(*groups).limit(20).collect()
+    if missing:
+        raise ValueError(f"no control total for {[tuple(r) for r in missing]}")
+
+
 def allocation_check(df: DataFrame, groups: Sequence[str], entity: str, total: str = "control_total") -> DataFrame:
     """Sum of estimates against the control total."""
     sums = df.groupBy(*groups).agg(

@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthstat.operators.reshape import rows_from, union_all
-from hearthstat.operators.scale import join_small, literal_table, stage_by
+from hearthstat.operators.scale import join_small, literal_table, stage
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
@@ -51,7 +51,7 @@ def kmeans_by_period(prepared: DataFrame, period: str, metrics: Sequence[str], k
     Returns (assignments of the chosen k, diagnostics per k, chosen k per period).
     """
     features = [f"s_{m}" for m in metrics]
-    vectors = stage_by(VectorAssembler(inputCols=features, outputCol="_x").transform(prepared), period)
+    vectors = stage(VectorAssembler(inputCols=features, outputCol="_x").transform(prepared), period)
     periods = period_list(vectors, period)
     sizes = {r[0]: r[1] for r in vectors.groupBy(period).count().collect()}  # one row per period
     wanted = {p: list(ks or k_values(sizes[p])) for p in periods}
@@ -167,7 +167,7 @@ def centroid_spread(cents: DataFrame, period: str, features: Sequence[str]) -> D
 
 def pca_points(prepared: DataFrame, period: str, metrics: Sequence[str]) -> DataFrame:
     """First two principal components per period; the largest loading of each is positive (ML8)."""
-    vectors = stage_by(VectorAssembler(inputCols=[f"s_{m}" for m in metrics], outputCol="_x").transform(prepared), period)
+    vectors = stage(VectorAssembler(inputCols=[f"s_{m}" for m in metrics], outputCol="_x").transform(prepared), period)
     parts = []
     for p in period_list(vectors, period):
         rows = vectors.where(F.col(period) == p)

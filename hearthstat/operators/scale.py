@@ -107,16 +107,14 @@ def checkpoint_ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a frame that several passes read once to the shared checkpoint folder."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a frame that several passes read once to the shared checkpoint folder.
 
-
-def stage_by(df: DataFrame, key: str) -> DataFrame:
-    """Like ``stage``, as a table with one folder per value of ``key``: a filter on it reads only that folder."""
+    Later passes read only the columns they need, survive lost executors and know the table's size.
+    With ``by`` there is one folder per value, so a filter on that column reads only its folder.
+    """
     spark = df.sparkSession
     checkpoint_ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/by-{key}-{uuid.uuid4().hex}"
-    df.write.partitionBy(key).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -34,12 +34,16 @@ def mean_zscores(df: DataFrame, entity: str, metrics: Sequence[str], population:
     return zscores(means, [], metrics, population=population)
 
 
+def scaled_between(metric: str, low: str, high: str, flat: float = 0.5) -> Column:
+    """Position between two limits as 0-1; ``flat`` where the limits meet."""
+    width = F.col(high) - F.col(low)
+    return F.when(F.coalesce(width, F.lit(0.0)) == 0, F.lit(flat)).otherwise((F.col(metric) - F.col(low)) / width)
+
+
 def minmax(df: DataFrame, groups: Sequence[str], metric: str, out: str, flat: float = 0.5) -> DataFrame:
     """Scale to 0-1 within each group; a constant group becomes ``flat``."""
     with_ends = attach(df, groups, _lo=F.min(metric), _hi=F.max(metric))
-    width = F.col("_hi") - F.col("_lo")
-    scaled = F.when(F.coalesce(width, F.lit(0.0)) == 0, F.lit(flat)).otherwise((F.col(metric) - F.col("_lo")) / width)
-    return with_ends.withColumn(out, scaled).drop("_lo", "_hi")
+    return with_ends.withColumn(out, scaled_between(metric, "_lo", "_hi", flat)).drop("_lo", "_hi")
 
 
 def shift_positive(df: DataFrame, groups: Sequence[str], metric: str, out: str, floor: float = 0.01) -> DataFrame:
