@@ -145,7 +145,8 @@ def change_summary(spark, folder):
 @query("movers", "area:i start_year:i end_year:i metric:s absolute_change:d rank_order:i direction:s", CHANGE_SQL + """,
        r AS (SELECT *, row_number() OVER (PARTITION BY start_year, end_year, metric ORDER BY absolute_change DESC, area) AS g,
                     row_number() OVER (PARTITION BY start_year, end_year, metric ORDER BY absolute_change, area) AS d
-             FROM changes WHERE absolute_change IS NOT NULL)---
+             FROM (SELECT * REPLACE (round(absolute_change, 6) AS absolute_change) FROM changes)
+             WHERE absolute_change IS NOT NULL)---
        SELECT area, start_year, end_year, metric, absolute_change, g AS rank_order, 'gainer' AS direction FROM r WHERE g <= 10
        UNION ALL SELECT area, start_year, end_year, metric, absolute_change, d, 'decliner' FROM r WHERE d <= 10""")
 def movers(spark, folder):
