@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import join_skewed, join_small
+from hearthstat.operators.scale import join_skewed, join_small, stage
 
 GROUP_ROWS = 500_000
 RANGES = 1_000
@@ -34,7 +34,7 @@ def _cut_ranges(df: DataFrame, value: str, ranges: int, rows: int) -> DataFrame:
     """
     probs = [i / ranges for i in range(1, ranges)]
     seen = df if rows <= CUT_SAMPLE else df.sample(fraction=CUT_SAMPLE / rows, seed=17)
-    found = seen.agg(F.percentile_approx(value, probs, 20 * ranges)).first()[0] or []
+    found = seen.agg(F.percentile_approx(value, probs, 5 * ranges)).first()[0] or []
     cuts = sorted({float(v) for v in found if v == v and abs(v) != float("inf")})
     if not cuts:
         return df.withColumn("_range", F.lit(0.0))
@@ -73,6 +73,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
         .select(*keys, "_before", "_pos", "_rank", F.col("_w.name").alias("_name"))
         .distinct()
     )
+    ranks = stage(ranks)
     needed = ranks.select(*keys, "_before").distinct()
     inside = (
         join_small(cut, needed, keys, "inner")
@@ -111,7 +112,8 @@ def totals_below(df: DataFrame, groups: Sequence[str], value: str, sums: Mapping
         w = ordered.partitionBy(*groups)
         out = flat.withColumns({n: F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)) for n in sums})
         return out.drop(*[f"_s_{n}" for n in sums])
-    cut = _cut_ranges(flat.withColumn("_v", F.col(value).cast("double")), "_v", ranges, total)
+    flat = stage(flat.withColumn("_v", F.col(value).cast("double")))
+    cut = _cut_ranges(flat, "_v", ranges, total)
     keys = [*groups, "_range"]
     earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = cut.groupBy(*keys).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])

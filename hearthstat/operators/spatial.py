@@ -106,8 +106,8 @@ def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float |
     ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     box = polygons.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
     if ends[0] is None or box[0] is None:
-        return points.select(point_id, F.lit(None).cast(polygons.schema["poly_id"].dataType).alias("poly_id"),
-                             F.lit(None).cast("double").alias("distance"))
+        kind = polygons.schema["poly_id"].dataType
+        return points.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
     extent = max(max(ends[1], box[1]) - min(ends[0], box[0]), max(ends[3], box[3]) - min(ends[2], box[2]), size)
     rounds = max(1, math.ceil(math.log2(extent / size)) + 2)
     waiting, found = points.select(point_id, "x", "y"), []
@@ -134,9 +134,11 @@ def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float |
         waiting = stage(waiting.join(done.select(point_id), point_id, "left_anti"))
         if waiting.isEmpty():
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    kind = polygons.schema["poly_id"].dataType
+    lost = waiting.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
+    out = lost  # points without coordinates keep their row
+    for part in found:
+        out = out.unionByName(part)
     return out
 
 

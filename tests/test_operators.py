@@ -284,6 +284,13 @@ def test_locate_by_brute_force(spark):
         assert gaps[got[i][0]] == pytest.approx(min(gaps.values()), abs=1e-9)
 
 
+def test_points_without_coordinates_keep_their_row(spark):
+    ring = [("p", 0, i, *c) for i, c in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])]
+    shapes = spatial.shapes(literal_table(spark, ring, "poly_id string, ring int, seq int, x double, y double"))
+    pts = literal_table(spark, [(1, 9.0, 9.0), (2, None, 1.0)], "id int, x double, y double")
+    assert {r.id: r.poly_id for r in spatial.locate(pts, shapes, "id").collect()} == {1: "p", 2: None}
+
+
 def test_hole_is_outside(spark):
     ring = [("p", 0, i, *c) for i, c in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)])]
     hole = [("p", 1, i, *c) for i, c in enumerate([(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0)])]

@@ -298,3 +298,44 @@ def fit_classification(spark, folder):
 def feature_importance(spark, folder):
     importance = fitted_regression(spark, folder)[1]
     return importance.orderBy("model", F.desc("importance"), "feature")
+
+
+@query("ridge_predictions", "area:i year:i actual:d predicted_target:d residual:d", ML_SQL + """,
+       tr AS (SELECT spend AS y, coalesce(pct_urgent, (SELECT quantile_cont(pct_urgent, 0.5) FROM t WHERE year <= 2000)) AS x
+              FROM t WHERE year <= 2000),
+       fit AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my,
+                      sum((x - (SELECT avg(x) FROM tr)) / (SELECT stddev_pop(x) FROM tr) * (y - (SELECT avg(y) FROM tr)))
+                        / (count(*) + 1.0) AS w FROM tr),
+       te AS (SELECT area, year, spend, coalesce(pct_urgent, (SELECT quantile_cont(pct_urgent, 0.5) FROM t WHERE year <= 2000)) AS x
+              FROM t WHERE year = 2001)---
+       SELECT area, year, spend AS actual, my + w * (x - mx) / sx AS predicted_target, spend - (my + w * (x - mx) / sx) AS residual
+       FROM te, fit""", digits=3)
+def ridge_predictions(spark, folder):
+    """Ridge on one median-filled, standardised feature, whose solution has a closed form."""
+    train, test = ml.split(targets(spark, folder), "year", TRAIN, TEST, "spend")
+    made, _ = ml.fit_regression(train, test, ["pct_urgent"], "spend", ["area", "year"], models=["ridge"])
+    return made.drop("model")
+
+
+@query("pca_two_metrics", "area:i year:i pc1:d pc2:d", "WITH" + CELLS_SQL + """,
+       z AS (SELECT area, year, (spend - avg(spend) OVER w) / stddev_pop(spend) OVER w AS a,
+                    (pct_open - avg(pct_open) OVER w) / stddev_pop(pct_open) OVER w AS b FROM cells WINDOW w AS (PARTITION BY year)),
+       r AS (SELECT year, sign(corr(spend, pct_open)) AS s FROM cells GROUP BY year)---
+       SELECT area, z.year, abs(a + s * b) / sqrt(2) AS pc1, abs(a - s * b) / sqrt(2) AS pc2 FROM z JOIN r ON r.year = z.year""")
+def pca_two_metrics(spark, folder):
+    """Components of two standardised metrics are their sum and difference; signs are free, so sizes are compared."""
+    prepared = cl.prepare(cells_staged(spark, folder), "year", ["spend", "pct_open"])
+    return cl.pca_points(prepared, "year", ["spend", "pct_open"]).select(
+        "area", "year", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"))
+
+
+@query("best_k", "year:i selected_k:i silhouette:d", "WITH" + CELLS_SQL + """,
+       s AS (SELECT year, k, avg(CASE WHEN k = 2 THEN pct_open ELSE spend / 10000 END) AS score
+             FROM cells, (VALUES (2), (3), (4)) v(k) GROUP BY ALL)---
+       SELECT year, arg_min(k, (-score, k)) AS selected_k, max(score) AS silhouette FROM s GROUP BY year""", digits=5)
+def best_k(spark, folder):
+    """Choice among candidate scores with a tie: k 3 and 4 score the same."""
+    scores = cells(spark, folder).groupBy("year").agg(
+        F.avg("pct_open").alias("k2"), F.round(F.avg(F.col("spend") / 10000), 9).alias("k34"))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("silhouette")) for k, c in ((2, "k2"), (3, "k34"), (4, "k34"))])
+    return cl.choose_k(scores.select("year", F.inline(rows)), "year")

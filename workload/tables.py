@@ -595,3 +595,9 @@ def update_from(spark, folder):
        SELECT year, segment, count(*) AS row_count, 3 AS column_count, 'ok' AS status FROM gcells GROUP BY ALL""")
 def build_manifest(spark, folder):
     return io.build_manifest(cells_with_groups(spark, folder).select("area", "year", "segment"), ["year", "segment"])
+
+
+@query("ordered_preview", "o_orderkey:i o_totalprice:d", """---
+       SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
+def ordered_preview(spark, folder):
+    return io.preview(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), 100, [F.desc("o_totalprice"), "o_orderkey"])
