@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import chat, mixing, secrets, warc
+from hearthstat.llm import chat, mixing, pieces, secrets, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,26 @@ FROM placed"""
 @query("op8_perspective_rotation", CHAT_SQL)
 def perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
+
+
+def _vocabulary(name: str) -> bytes:
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path(name))
+
+
+@query("op3_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    read = tokenfile.round_trip(docs, _vocabulary("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_sentencepiece")
+def sentencepiece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    model = _vocabulary("piece_bpe_32k.model")
+    encoded = table(spark, folder, "documents").select("doc_id", pieces.encode(F.col("text"), model).alias("ids"))
+    both = encoded.withColumn("decoded", pieces.decode(F.col("ids"), model))
+    said = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
