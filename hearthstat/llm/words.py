@@ -99,3 +99,73 @@ class Cutter:
         offsets = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)[bounds - 1])).astype(np.int32)
         words = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
         return words, np.diff(np.concatenate(([0], np.searchsorted(bounds, ends, "right") * (ends > 0))))
+
+
+def _seeds(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+BYTE_CODES = _seeds(256, 1)
+PLACE_CODES = _seeds(64, 2)
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one more than texts).
+
+    Words are runs of anything but ASCII blanks; A-Z count as a-z.
+    """
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    data = np.frombuffer((b" ".join(raw) + b" ").lower(), np.uint8)
+    inside = ~BLANK[data]
+    first = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+    if not len(first):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    spot = np.arange(len(data))
+    begin = np.zeros(len(data), np.int64)
+    begin[first] = first
+    place = spot - np.maximum.accumulate(begin)
+    codes = PLACE_CODES
+    longest = int(place[inside].max()) + 1
+    if longest > len(codes):
+        codes = _seeds(longest, 2)
+    value = _mixed(BYTE_CODES[data] + codes[np.minimum(place, len(codes) - 1)]) * inside
+    hashes = _mixed(np.add.reduceat(value, first))
+    return hashes, np.concatenate(([0], np.searchsorted(first, ends)))
+
+
+def shingles(texts: list[str], words: int) -> list[np.ndarray]:
+    """Each text's set of hashed shingles of so many words, sorted; fewer words are one shingle, none are no shingle."""
+    hashes, first = word_hashes(texts)
+    factors = _seeds(words, 3)
+    n = len(hashes)
+    whole = np.zeros(max(n - words + 1, 0), np.uint64)
+    for k in range(words):
+        whole += hashes[k:k + len(whole)] * factors[k]
+    whole = _mixed(whole)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(whole[a:b - words + 1]))
+        elif b > a:
+            short = np.uint64(b - a) + (hashes[a:b] * factors[:b - a]).sum(dtype=np.uint64)
+            out.append(_mixed(np.array([short], np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def minwise(found: np.ndarray, size: int) -> np.ndarray:
+    """``size`` minimum hash values of a set that is not empty, 32 bits each."""
+    masks, factors = _seeds(size, 4), _seeds(size, 5)
+    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(found), 4096):
+        least = np.minimum(least, ((found[a:a + 4096, None] ^ masks) * factors).min(0))
+    return (least >> np.uint64(32)).astype(np.uint32)
