@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import chat, mixing, neardup, pieces, secrets, tokenfile, warc
+from hearthstat.llm import chat, mixing, neardup, pieces, secrets, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,8 @@ SELECT s.doc_id, n_shingles, component_id, s.doc_id = component_id AS kept FROM
 @query("op1_minhash_neardup", NEAR_SQL)
 def minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query("op6_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -108,6 +108,7 @@ def _seeds(n: int, seed: int) -> np.ndarray:
 BYTE_CODES = _seeds(256, 1)
 PLACE_CODES = _seeds(64, 2)
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -116,29 +117,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and where each text's words begin (one more than texts).
-
-    Words are runs of anything but ASCII blanks; A-Z count as a-z.
-    """
+def _values(texts: list[str], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A code for every byte from what it is and its place in its word, 0 in gaps; places; word begins; each text's words."""
     raw = [t.encode() for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     data = np.frombuffer((b" ".join(raw) + b" ").lower(), np.uint8)
-    inside = ~BLANK[data]
+    inside = ~blank[data]
     first = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
-    if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    spot = np.arange(len(data))
     begin = np.zeros(len(data), np.int64)
     begin[first] = first
-    place = spot - np.maximum.accumulate(begin)
-    codes = PLACE_CODES
-    longest = int(place[inside].max()) + 1
-    if longest > len(codes):
-        codes = _seeds(longest, 2)
+    place = np.arange(len(data)) - np.maximum.accumulate(begin)
+    longest = int((place * inside).max()) + 1
+    codes = PLACE_CODES if longest <= len(PLACE_CODES) else _seeds(longest, 2)
     value = _mixed(BYTE_CODES[data] + codes[np.minimum(place, len(codes) - 1)]) * inside
-    hashes = _mixed(np.add.reduceat(value, first))
-    return hashes, np.concatenate(([0], np.searchsorted(first, ends)))
+    return value, place, first, np.concatenate(([0], np.searchsorted(first, ends)))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one more than texts).
+
+    Words are runs of anything but ASCII blanks; A-Z count as a-z.
+    """
+    value, _, first, bounds = _values(texts, BLANK)
+    return (_mixed(np.add.reduceat(value, first)) if len(first) else np.empty(0, np.uint64)), bounds
+
+
+def word_terms(texts: list[str], prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms of all texts and the number of the text of each: every word, and its first bytes if it is longer.
+
+    Words are runs of letters, digits and non-ASCII characters; A-Z count as a-z.
+    """
+    value, place, first, bounds = _values(texts, GAP)
+    if not len(first):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    terms, owners = [_mixed(np.add.reduceat(value, first))], [text]
+    size = np.add.reduceat((value != 0).astype(np.int64), first)
+    for k in prefixes:
+        longer = size > k
+        terms.append(_mixed(np.add.reduceat(value * (place < k), first)[longer] + np.uint64(k)))
+        owners.append(text[longer])
+    return np.concatenate(terms), np.concatenate(owners)
 
 
 def shingles(texts: list[str], words: int) -> list[np.ndarray]:
