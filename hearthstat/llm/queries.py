@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import chat, mixing, neardup, pieces, secrets, tokenfile, toxicity, warc
+from hearthstat.llm import ann, chat, mixing, neardup, nndescent, pieces, secrets, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +190,41 @@ def minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_toxicity")
 def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+VALID_SQL = """
+raw AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM raw WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+normed AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM good)"""
+
+VECTORS_SQL = f"""
+WITH RECURSIVE {VALID_SQL.strip()},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS to_id FROM raw UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.to_id),
+least_id AS (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_id),
+many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT l.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, l.vec_id = component_id AS kept
+FROM least_id l LEFT JOIN many ON a = l.vec_id"""
+
+
+@query("op5_embedding_neardup", VECTORS_SQL)
+def embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, folder, "embeddings"))
+
+
+NEAREST_SQL = f"""
+WITH {VALID_SQL.strip()},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) / (q.n * c.n) AS score
+  FROM normed q JOIN normed c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op9_nearest_neighbours", NEAREST_SQL)
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"))

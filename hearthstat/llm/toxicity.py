@@ -15,8 +15,8 @@ from hearthstat.llm.words import chunks, word_terms
 
 EXAMPLES = 1_500
 TERMS = 1_500
-LEAST_CHI2 = 15.0
-LEAST_DOCS = 3
+LEAST_CHI2 = 25.0
+LEAST_DOCS = 4
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.25
