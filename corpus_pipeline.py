@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import mixing, secrets
+from hearthstat.llm import mixing, neardup, pieces, secrets, toxicity
 from hearthstat.llm.common import stage
 
+MODEL = "piece_bpe_32k.model"
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scorer does not reject; it learns from the labelled ones among them."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs)
+
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by a mark; no document is dropped."""
@@ -18,7 +31,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("secrets", hide_secrets), ("mix", mix_sources)]
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, their number, and the text that they decode to."""
+    model = pieces.read_model(public_tokenizers.path(MODEL))
+    encoded = docs.select("doc_id", "lang", "source", pieces.encode(F.col("text"), model).alias("ids"))
+    return encoded.select("*", F.size("ids").cast("long").alias("n_tokens"), pieces.decode(F.col("ids"), model).alias("decoded"))
+
+
+STAGES = [("toxicity", reject_toxic), ("near_duplicates", one_of_each), ("secrets", hide_secrets), ("mix", mix_sources), ("pieces", to_pieces)]
 ORACLE_SQL = None
 
 

@@ -29,12 +29,10 @@ def unstage(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality of columns in which NULL equals NULL."""
-    test = F.lit(True)
-    for c in columns:
-        test = test & left[c].eqNullSafe(right[c])
-    return test
+def boxed(df: DataFrame, **columns: str) -> DataFrame:
+    """Whole rows as one column ``row``, beside the columns that are needed, so that no other name can clash."""
+    quoted = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(F.struct(*quoted).alias("row"), *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
 def positions(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Mapping[str, str], name: str) -> DataFrame:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.llm.common import WORD, ranks, stage
+from hearthstat.llm.common import WORD, boxed, ranks, stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 7
 
 
+def words(text: str) -> Column:
+    """How many runs of anything but ASCII blanks a text column has."""
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One slim row per document: id, source and number of words; a NULL or empty text has none."""
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -43,7 +47,7 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return placed.select("source", "source_size", target.alias("target"))
 
 
-def offset(seed: int) -> F.Column:
+def offset(seed: int) -> Column:
     """A source's random offset in [0, 1) from its name: 16 bits, so that adding it to a whole number is exact."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("double") / 65536
@@ -82,10 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     Rows that repeat id, source and size get the larger number of copies each.
     """
     chosen = plan(docs, weights, most, seed, doc_id, text, source).where("copies > 0")
-    chosen = chosen.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    chosen = chosen.select(*[F.col(c).alias(f"_mix_{c}") for c in chosen.columns])
-    size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    joined = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_mix_doc_id"]) & docs[source].eqNullSafe(chosen["_mix_source"])
-                       & (size == chosen["_mix_size"]))
-    again = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("copies"))
+    rows = boxed(docs, doc_id=doc_id, source=source, text=text).withColumn("size", words("text")).drop("text")
+    joined = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.llm.common import stage
+from hearthstat.llm.common import boxed, stage
 from hearthstat.llm.graph import components
 from hearthstat.llm.words import chunks, minwise, shingles
 
@@ -176,6 +176,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each near-duplicate group: the row of its smallest id. Rows without an id stay."""
     found = near_duplicates(docs, words, percent, doc_id=doc_id, text=text).where("kept").select(F.col("doc_id").alias("_kept"))
-    rows = docs.withColumn("_id", F.col(doc_id).cast("long"))
-    kept = rows.join(found.distinct(), F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
-    return kept.unionByName(rows.where("_id is null")).select(*docs.columns)
+    rows = boxed(docs, id=doc_id).withColumn("id", F.col("id").cast("long"))
+    kept = rows.join(found.distinct(), F.col("id") == F.col("_kept"), "left_semi").dropDuplicates(["id"])
+    return kept.unionByName(rows.where("id is null")).select("row.*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.llm.common import stage
+from hearthstat.llm.common import boxed, stage
 
 FINDING = "array<struct<start:long,stop:long>>"
 
@@ -110,8 +110,8 @@ def redact(versions: DataFrame, text: str = "text", mark: str = "[secret]", rule
     """
     ledger = update(versions, None, rules, text)
     hits = ledger.where(F.size("spans") > 0)
-    found = findings(versions, hits, rules, text)
-    body = F.col(text)
+    found = findings(boxed(versions, body=text), hits, rules, "body")
+    body = F.col("body")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -122,4 +122,4 @@ def redact(versions: DataFrame, text: str = "text", mark: str = "[secret]", rule
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     end = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
     clean = F.when(F.coalesce(F.size("secrets"), F.lit(0)) > 0, F.aggregate("secrets", first, step, end)).otherwise(body)
-    return found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in versions.columns])
+    return found.select("row", clean.alias("clean")).select(*[(F.col("clean") if c == text else F.col(f"row.`{c}`")).alias(c) for c in versions.columns])

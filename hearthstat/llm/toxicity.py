@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.llm.common import stage
+from hearthstat.llm.common import boxed, stage
 from hearthstat.llm.words import chunks, word_terms
 
 EXAMPLES = 1_500
@@ -238,4 +238,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """The documents whose score stays below ``reject``, as they are."""
     index = fit(docs, labels)
-    return docs.withColumn("_s", score(F.col("text"), index)).where(F.col("_s.score") < reject).select(*docs.columns)
+    return boxed(docs, text="text").withColumn("found", score(F.col("text"), index)).where(F.col("found.score") < reject).select("row.*")

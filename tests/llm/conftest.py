@@ -1,0 +1,24 @@
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, node long, size long, row string, ids string, secrets string, score double"
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents with columns whose names the operators use themselves."""
+    def make(rows):
+        filled = [(i, t, "en", s, None, 1, 2, 3, "r", "i", "x", 0.5) for i, t, s in rows]
+        return spark.createDataFrame(filled, DOCS).coalesce(2)
+
+    return make
+
+
+LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+
+
+@pytest.fixture
+def odd_docs(docs):
+    """NULLs everywhere, empty, blank and very long texts, repeated rows and equal texts."""
+    same = "the quick brown fox jumps over the lazy dog again and again until night falls"
+    return docs([(1, same, "a"), (1, same, "a"), (2, same, None), (3, None, "b"), (4, "", "b"), (5, "  \n\t ", None), (6, LONG, "a"),
+                 (7, LONG + " end", "c"), (None, same, "a"), (None, None, None), (8, "one two", "c"), (9, "ONE  two\n", "c"), (10, "déjà vu 漢字 😀", "c")])
