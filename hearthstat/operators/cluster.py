@@ -3,31 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from itertools import permutations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark import inheritable_thread_target
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.operators.reshape import rows_from, union_all
+from hearthstat.operators.reshape import rows_from
 from hearthstat.operators.scale import join_small, literal_table, stage
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
-MAX_PERIODS = 100
-PAIRWISE_ROWS = 20_000
+MAX_ITER, TOLERANCE = 300, 1e-8
+INIT_SAMPLE = 10_000
 
 
 def period_list(df: DataFrame, period: str) -> list:
-    """Sorted periods; a panel has few, and each is one model."""
-    rows = df.select(period).distinct().where(F.col(period).isNotNull()).limit(MAX_PERIODS + 1).collect()
-    if len(rows) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods in {period}")
-    return sorted(r[0] for r in rows)
+    """Sorted periods, the NULL period last; each is one model."""
+    found = [r[0] for r in df.select(period).distinct().collect()]
+    return sorted([p for p in found if p is not None]) + [None] * (None in found)
 
 
 def k_values(n_rows: int, low: int = K_MIN, high: int = K_MAX) -> list[int]:
@@ -42,42 +35,117 @@ def prepare(df: DataFrame, period: str, metrics: Sequence[str], winsor: tuple[fl
     return zscores(impute_median(df, [period], metrics), [period], metrics, prefix="s_", population=True)
 
 
+def _numbered(df: DataFrame, period: str, features: Sequence[str]) -> tuple[DataFrame, list]:
+    """Rows with the number of their period and their features as one array, written once; and the periods."""
+    periods = period_list(df, period)
+    number = F.coalesce(*[F.when(F.col(period).eqNullSafe(F.lit(p)), F.lit(i)) for i, p in enumerate(periods)], F.lit(0))
+    kept = stage(df.withColumns({"_p": number, "_x": F.array(*[F.col(f).cast("double") for f in features])}))
+    return kept, periods
+
+
+def _seeded(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centres spread over a sample: each next one drawn by squared distance to the nearest so far."""
+    chosen = [points[rng.integers(len(points))]]
+    gap = ((points - chosen[0]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = gap.sum()
+        at = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
+        chosen.append(points[at])
+        gap = np.minimum(gap, ((points - points[at]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def _lloyd(rows: DataFrame, centres: dict[tuple, np.ndarray], size: int) -> dict[tuple, tuple[np.ndarray, float]]:
+    """Run all fits, keyed (period number, k, restart), side by side: one pass over the rows moves every centre.
+
+    A task adds up what it holds for each centre, so only sums by centre are shuffled. A fit is done when its centres move
+    by less than the tolerance, or after ``MAX_ITER`` passes. Returns centres and inertia.
+    """
+    done: dict[tuple, tuple[np.ndarray, float]] = {}
+    open_fits, turn = dict(centres), 0
+    while open_fits:
+        names = list(open_fits)
+        by_period: dict[int, list[int]] = {}
+        for n, key in enumerate(names):
+            by_period.setdefault(key[0], []).append(n)
+        current = [open_fits[key] for key in names]
+
+        def add(batches):
+            sums = [np.zeros((len(c), size + 2)) for c in current]
+            for batch in batches:
+                period = batch.column("_p").to_numpy()
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                for p in np.unique(period):
+                    part = x[period == p]
+                    for n in by_period.get(int(p), []):
+                        gaps = ((part[:, None, :] - current[n][None]) ** 2).sum(2)
+                        near = gaps.argmin(1)
+                        np.add.at(sums[n], near, np.column_stack([part, np.ones(len(part)), gaps[np.arange(len(part)), near]]))
+            flat = np.concatenate(sums)
+            fit = np.repeat(np.arange(len(sums)), [len(s) for s in sums])
+            cell = np.concatenate([np.arange(len(s)) for s in sums])
+            yield pa.RecordBatch.from_arrays([pa.array(fit), pa.array(cell), *[pa.array(flat[:, i]) for i in range(size + 2)]],
+                                             ["fit", "cell", *[f"s{i}" for i in range(size + 2)]])
+
+        schema = "fit long, cell long, " + ", ".join(f"s{i} double" for i in range(size + 2))
+        moved = rows.select("_p", "_x").mapInArrow(add, schema).groupBy("fit", "cell").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size + 2)])
+        totals = [np.zeros((len(c), size + 2)) for c in current]
+        for r in moved.collect():  # one row per centre
+            totals[r[0]][r[1]] = r[2:]
+        turn += 1
+        for n, key in enumerate(names):
+            count = totals[n][:, size:size + 1]
+            new = np.where(count > 0, totals[n][:, :size] / np.maximum(count, 1), current[n])
+            if ((new - current[n]) ** 2).sum() <= TOLERANCE**2 or turn > MAX_ITER:
+                done[key] = (current[n], float(totals[n][:, size + 1].sum()))
+                del open_fits[key]
+            else:
+                open_fits[key] = new
+    return done
+
+
+def _assigned(rows: DataFrame, centres: dict[int, np.ndarray], size: int) -> DataFrame:
+    """Rows with the nearest centre of their period as ``cluster_id``; ties go to the smaller id."""
+    tables = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres[p]]) for p in sorted(centres)])
+    own = F.get(tables, F.col("_p"))
+    gaps = F.transform(own, lambda c: F.aggregate(F.zip_with(c, F.col("_x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return rows.withColumn("_g", gaps).withColumn("cluster_id", (F.array_position("_g", F.array_min("_g")) - 1).cast("int")).drop("_g")
+
+
 def kmeans_by_period(prepared: DataFrame, period: str, metrics: Sequence[str], ks: Sequence[int] | None = None,
-                     restarts: int = 20, seed: int = 42, distance: str = "squared",
-                     parallelism: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     restarts: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Best of several k-means fits per period and k (ML3-ML5).
 
-    Every fit is a distributed job on one period's folder; ``parallelism`` of them run side by side.
-    Returns (assignments of the chosen k, diagnostics per k, chosen k per period).
+    All fits share their passes over the rows (``_lloyd``); they start from a bounded sample of each period. Rows of the
+    NULL period are a period of their own. Returns (assignments of the chosen k, diagnostics per k, chosen k per period).
     """
     features = [f"s_{m}" for m in metrics]
-    vectors = stage(VectorAssembler(inputCols=features, outputCol="_x").transform(prepared), period)
-    periods = period_list(vectors, period)
-    sizes = {r[0]: r[1] for r in vectors.groupBy(period).count().collect()}  # one row per period
-    wanted = {p: list(ks or k_values(sizes[p])) for p in periods}
-
-    def fit(task: tuple) -> tuple:
-        p, k, i = task
-        rows = vectors.where(F.col(period) == p)
-        model = KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster_id").fit(rows)
-        return model.summary.trainingCost, model.transform(rows).drop("_x")
-
-    tasks = [(p, k, i) for p in periods for k in wanted[p] for i in range(restarts)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        fitted = dict(zip(tasks, pool.map(inheritable_thread_target(prepared.sparkSession)(fit), tasks)))
-    results: dict = {}
+    rows, periods = _numbered(prepared, period, features)
+    sizes = {r[0]: r[1] for r in rows.groupBy("_p").count().collect()}  # one row per period
+    wanted = {p: list(ks or k_values(sizes[p])) for p in range(len(periods)) if p in sizes}
+    starts: dict[tuple, np.ndarray] = {}
+    for p in wanted:
+        drawn = rows.where(F.col("_p") == p).orderBy(F.xxhash64("_x", F.lit(seed))).limit(INIT_SAMPLE).select("_x").toArrow()
+        points = np.array(drawn.column("_x").to_pylist(), float)
+        for k in wanted[p]:
+            for i in range(restarts):
+                starts[p, k, i] = _seeded(points, k, np.random.default_rng([seed, p, k, i]))
+    fitted = _lloyd(rows, starts, len(features))
+    best = {(p, k): min((fitted[p, k, i] for i in range(restarts)), key=lambda f: f[1]) for p in wanted for k in wanted[p]}
+    scores: dict[tuple, float] = {}
     for k in sorted({k for options in wanted.values() for k in options}):
-        labels = {p: min((fitted[p, k, i] for i in range(restarts)), key=lambda f: f[0]) for p in periods if k in wanted[p]}
-        scored = silhouette(union_all([df for _, df in labels.values()]), period, features, distance=distance)
-        scores = {r[0]: r[1] for r in scored.groupBy(period).agg(F.avg("silhouette")).collect()}
-        results |= {(p, k): (float(inertia), scores[p], df) for p, (inertia, df) in labels.items()}
-    best = {p: min(wanted[p], key=lambda k: (-results[p, k][1], k)) for p in periods}
+        some = {p: best[p, k][0] for p in wanted if k in wanted[p]}
+        labels = _assigned(rows.where(F.col("_p").isin(list(some))), {p: some.get(p, np.empty((0, len(features)))) for p in range(len(periods))}, len(features))
+        found = silhouette(labels.drop("_x"), "_p", features).groupBy("_p").agg(F.avg("silhouette")).collect()
+        scores |= {(r[0], k): r[1] for r in found}
+    chosen = {p: min(wanted[p], key=lambda k: (-scores[p, k], k)) for p in wanted}
     spark, kind = prepared.sparkSession, prepared.schema[period].dataType.simpleString()
-    diagnostics = literal_table(spark, [(p, k, *r[:2]) for (p, k), r in sorted(results.items(), key=lambda x: x[0])],
+    diagnostics = literal_table(spark, [(periods[p], k, best[p, k][1], scores[p, k]) for p, k in sorted(best)],
                                 f"{period} {kind}, k int, inertia double, silhouette double")
-    picks = literal_table(spark, [(p, k, sizes[p], *results[p, k][:2]) for p, k in best.items()],
+    picks = literal_table(spark, [(periods[p], k, sizes[p], best[p, k][1], scores[p, k]) for p, k in sorted(chosen.items())],
                           f"{period} {kind}, selected_k int, row_count long, inertia double, silhouette double")
-    assigned = union_all([results[p, k][2] for p, k in best.items()])
+    finals = {p: best[p, chosen[p]][0] if p in chosen else np.empty((0, len(features))) for p in range(len(periods))}
+    assigned = _assigned(rows, finals, len(features)).drop("_p", "_x")
     return assigned.withColumn("cluster_label", cluster_label("cluster_id")), diagnostics, picks
 
 
@@ -85,16 +153,12 @@ def cluster_label(c: str, prefix: str = "cluster_") -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def silhouette(df: DataFrame, period: str, features: Sequence[str], cluster: str = "cluster_id",
-               distance: str = "squared", max_rows: int = PAIRWISE_ROWS) -> DataFrame:
-    """Silhouette of every row within its period.
+def silhouette(df: DataFrame, period: str, features: Sequence[str], cluster: str = "cluster_id") -> DataFrame:
+    """Silhouette of every row within its period, by squared Euclidean distance.
 
-    'squared' uses squared Euclidean distance. The mean distance to a cluster then follows from its
-    size, centroid and mean squared norm, so the cost is linear and no pairs are formed.
-    'euclidean' has no such form: it needs all distances, so it is limited to a measured row count.
+    The mean distance to a cluster follows from its size, centroid and mean squared norm, so the cost is linear and no
+    pairs are formed. Plain distances have no such form: they need all pairs, and are not offered.
     """
-    if distance == "euclidean":
-        return _pairwise_silhouette(df, period, features, cluster, max_rows)
     norm = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
     stats = df.groupBy(period, cluster).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("c"), F.avg(norm).alias("q"))
@@ -115,30 +179,6 @@ def silhouette(df: DataFrame, period: str, features: Sequence[str], cluster: str
     return scored.withColumn("silhouette", value).drop("_t", "_f", "_q", "_a", "_b", "_one")
 
 
-def _pairwise_silhouette(df: DataFrame, period: str, features: Sequence[str], cluster: str, max_rows: int) -> DataFrame:
-    table = df.select(period, cluster, *features).limit(max_rows + 1).toPandas()
-    if len(table) > max_rows:
-        raise ValueError(f"Euclidean silhouette needs all distances and is limited to {max_rows} rows; "
-                         "use distance='squared'")
-    points = {p: (g[cluster].to_numpy(), g[list(features)].to_numpy(float)) for p, g in table.groupby(period)}
-
-    def score(batches):
-        for rows in batches:
-            out = np.zeros(len(rows))
-            for i, (p, c, x) in enumerate(zip(rows[period], rows[cluster], rows[list(features)].to_numpy(float))):
-                ids, xs = points[p]
-                gap = np.sqrt(((xs - x) ** 2).sum(axis=1))
-                means = {k: gap[ids == k].sum() / max((ids == k).sum() - (k == c), 1) for k in np.unique(ids)}
-                a = means.pop(c)
-                b = min(means.values(), default=a)
-                out[i] = 0.0 if (ids == c).sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b)
-            yield rows.assign(silhouette=out)
-
-    kept = df.drop("_x")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInPandas(score, f"{schema}, silhouette double")
-
-
 def choose_k(diagnostics: DataFrame, period: str) -> DataFrame:
     """Highest silhouette per period, ties to the smaller k (ML4)."""
     best = F.max(F.struct("silhouette", (-F.col("k")).alias("m"))).alias("b")
@@ -166,24 +206,39 @@ def centroid_spread(cents: DataFrame, period: str, features: Sequence[str]) -> D
 
 
 def pca_points(prepared: DataFrame, period: str, metrics: Sequence[str]) -> DataFrame:
-    """First two principal components per period; the largest loading of each is positive (ML8)."""
-    vectors = stage(VectorAssembler(inputCols=[f"s_{m}" for m in metrics], outputCol="_x").transform(prepared), period)
-    parts = []
-    for p in period_list(vectors, period):
-        rows = vectors.where(F.col(period) == p)
-        model = PCA(k=2, inputCol="_x", outputCol="_pc").fit(rows)
-        load = model.pc.toArray()
-        sign = [float(np.sign(load[np.abs(load[:, j]).argmax(), j]) or 1.0) for j in range(2)]
-        pc = vector_to_array("_pc")
-        parts.append(model.transform(rows).withColumns({"pc1": pc[0] * sign[0], "pc2": pc[1] * sign[1]}).drop("_x", "_pc"))
-    return union_all(parts)
+    """First two principal components per period; the largest loading of each is positive (ML8).
+
+    One aggregate gives the means and products of all periods; the rows are projected in one more pass, without centring,
+    as the features are standardised. Rows of the NULL period are a period of their own.
+    """
+    features, size = [f"s_{m}" for m in metrics], len(metrics)
+    rows, _ = _numbered(prepared, period, features)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    x = [F.col("_x")[i] for i in range(size)]
+    stats = rows.groupBy("_p").agg(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).collect()
+    loads: dict[int, np.ndarray] = {}
+    for r in stats:  # one row per period
+        matrix = np.zeros((size, size))
+        for (i, j), v in zip(pairs, r[1:], strict=True):
+            matrix[i, j] = matrix[j, i] = v or 0.0
+        vectors = np.linalg.eigh(matrix)[1][:, ::-1][:, :2]
+        if size == 1:
+            vectors = np.column_stack([vectors, np.zeros(1)])
+        peak = vectors[np.abs(vectors).argmax(0), [0, 1]]
+        loads[r[0]] = vectors * np.where(peak < 0, -1.0, 1.0)
+    count = max(loads, default=-1) + 1
+    out = {}
+    for c in range(2):
+        table = F.array(*[F.array(*[F.lit(float(v)) for v in loads.get(p, np.zeros((size, 2)))[:, c]]) for p in range(count)]) if count else F.array(F.array(F.lit(0.0)))
+        out[f"pc{c + 1}"] = F.aggregate(F.zip_with(F.get(table, F.col("_p")), F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.withColumns(out).drop("_p", "_x")
 
 
 def centroid_distances(cents: DataFrame, period: str, cluster: str, features: Sequence[str],
                        periods: Sequence) -> DataFrame:
     """Distances between the clusters of consecutive periods (J17); a missing coordinate counts as 0.
 
-    The input is a centroid table: at most ``K_MAX`` rows per period.
+    The input is a centroid table: a few rows per period.
     """
     follows = F.coalesce(*[F.when(F.col("from_period") == a, F.lit(b)) for a, b in zip(periods, periods[1:])])
     values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
@@ -196,36 +251,60 @@ def centroid_distances(cents: DataFrame, period: str, cluster: str, features: Se
         F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v)).alias("distance"))
 
 
-def match_one_to_one(cost: dict[tuple, float], left: Sequence, right: Sequence) -> list[tuple]:
-    """Pairs of least total cost, every cluster used once; equal totals go to the first in order."""
-    if max(len(left), len(right)) > K_MAX:
-        raise ValueError(f"at most {K_MAX} clusters per period")
-    if len(left) <= len(right):
-        options = (list(zip(left, chosen)) for chosen in permutations(right, len(left)))
-    else:
-        options = (list(zip(chosen, right)) for chosen in permutations(left, len(right)))
-    return min(options, key=lambda pairs: (round(sum(cost[p] for p in pairs), 12), sorted(pairs)))
+def _least_total(cost: np.ndarray) -> float:
+    """Least total cost of giving every row a column of its own (rows <= columns): augmenting paths on reduced costs."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            used[at] = True
+            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], back[1:][better] = reduced[better], at
+            free = np.where(used[1:], np.inf, least[1:])
+            to = int(free.argmin()) + 1
+            step = free[to - 1]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = to
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    return float(sum(cost[owner[j] - 1, j - 1] for j in range(1, m + 1) if owner[j]))
+
 
+def match_one_to_one(cost: dict[tuple, float], left: Sequence, right: Sequence) -> list[tuple]:
+    """Pairs of least total cost, every cluster of the shorter side used once; equal totals go to the first in order.
 
-def match_greedy(cost: dict[tuple, float]) -> list[tuple]:
-    """Cheapest free pair first (fallback of J18)."""
-    pairs: list[tuple] = []
-    for (a, b), _ in sorted(cost.items(), key=lambda kv: (kv[1], kv[0])):
-        if all(a != x and b != y for x, y in pairs):
-            pairs.append((a, b))
-    return pairs
+    The total is found in cubic time; then each cluster in turn takes the first partner that keeps it.
+    """
+    if not left or not right:
+        return []
+    flip = len(left) > len(right)
+    a, b = (list(right), list(left)) if flip else (list(left), list(right))
+    table = np.array([[cost[(y, x) if flip else (x, y)] for y in b] for x in a], float)
+    total, spent, pairs, free = _least_total(table), 0.0, [], list(range(len(b)))
+    for i in range(len(a)):
+        for j in free:
+            rest = [c for c in free if c != j]
+            later = _least_total(table[i + 1:][:, rest]) if i + 1 < len(a) else 0.0
+            if spent + table[i, j] + later <= total + 1e-9 * max(1.0, abs(total)):
+                break
+        spent, free = spent + table[i, j], [c for c in free if c != j]
+        pairs.append((b[j], a[i]) if flip else (a[i], b[j]))
+    return sorted(pairs, key=lambda p: list(left).index(p[0]))
 
 
 def align_clusters(cents: DataFrame, period: str, cluster: str, features: Sequence[str]) -> DataFrame:
     """Carry cluster ids through the periods (ML10): anchor, matched to previous, or new.
 
-    The distances come from Spark; matching walks over at most ``K_MAX`` x ``K_MAX`` of them per period.
+    The distances come from Spark; matching works on the centroid table, one row per cluster and period.
     """
-    periods = period_list(cents, period)
-    rows = cents.select(period, cluster).limit(MAX_PERIODS * K_MAX + 1).collect()
+    periods = [p for p in period_list(cents, period) if p is not None]
+    rows = cents.select(period, cluster).collect()
     members = {p: sorted(r[1] for r in rows if r[0] == p) for p in periods}
-    if any(len(m) > K_MAX for m in members.values()):
-        raise ValueError(f"at most {K_MAX} clusters per period")
     costs: dict = {}
     for r in centroid_distances(cents, period, cluster, features, periods).collect():
         costs.setdefault(r.to_period, {})[(r.from_cluster, r.to_cluster)] = r.distance

@@ -19,12 +19,22 @@ from hearthstat.operators.standardize import quantile_flag
 # Share that marks high risk, forest size and leaf size, boosting rounds, rate and depth.
 HIGH_RISK_QUANTILE = 0.75
 FOREST = {"numTrees": 400, "minInstancesPerNode": 2, "maxDepth": 30, "seed": 42}
+LOGISTIC_ITER = 2000
 BOOST = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42}
 
 
-def feature_pool(columns: Sequence[str], candidates: Sequence[str], excluded: Sequence[str] = ()) -> list[str]:
-    """Candidate metrics that exist and are not excluded, in candidate order (ML16)."""
-    return [c for c in candidates if c in columns and c not in excluded]
+# Candidate metrics where no metric sheet is given.
+FALLBACK_FEATURES = (
+    "median_household_income", "poverty_rate", "unemployment_rate", "pct_rent_burden_30_plus", "pct_rent_burden_50_plus",
+    "pct_hh_income_under_25k", "pct_hh_income_25k_50k", "pct_hh_income_100k_plus", "pct_bachelors_or_higher",
+    "pct_less_than_high_school", "pct_renter_occupied", "pct_age_18_24", "pct_age_65_plus", "pct_family_households",
+    "pct_one_person_households", "pct_households_with_own_children_under_18", "pct_households_with_60_plus",
+)
+
+
+def feature_pool(columns: Sequence[str], candidates: Sequence[str] = (), excluded: Sequence[str] = ()) -> list[str]:
+    """Candidate metrics that exist and are not excluded, in candidate order (ML16); a fixed list where none are given."""
+    return [c for c in candidates or FALLBACK_FEATURES if c in columns and c not in excluded]
 
 
 def targets(df: DataFrame, period: str, target: str, out: str = "high_risk",
@@ -111,7 +121,7 @@ def fit_classification(train: DataFrame, test: DataFrame, features: Sequence[str
         linear = name == "logistic_regression"
         a, b = _scaled(train, test, features) if linear else (train, test)
         if linear:
-            estimator = LogisticRegression(regParam=1.0 / max(a.count(), 1), elasticNetParam=0.0, standardization=False)
+            estimator = LogisticRegression(regParam=1.0 / max(a.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ITER)
         elif name == "random_forest":
             estimator = RandomForestClassifier(featureSubsetStrategy="sqrt", **forest)
         else:
@@ -161,8 +171,8 @@ def roc_auc(predictions: DataFrame, actual: str = "actual", score: str = "predic
         F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) == 0).alias("_n"))
     ranked = totals_below(per_score, ["model"], score, {"_below": F.col("_n")}, **limits)
     return ranked.groupBy("model").agg(
-        (F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)).cast("double")
-         / F.nullif((F.sum("_p") * F.sum("_n")).cast("double"), F.lit(0.0))).alias("roc_auc"))
+        (F.sum(F.col("_p").cast("double") * (F.col("_below") + F.col("_n") / 2.0))
+         / F.nullif(F.sum("_p").cast("double") * F.sum("_n").cast("double"), F.lit(0.0))).alias("roc_auc"))
 
 
 def classification_metrics(predictions: DataFrame, actual: str = "actual", predicted: str = "predicted_class",

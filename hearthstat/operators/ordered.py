@@ -1,22 +1,20 @@
 """Exact order statistics that never put a whole group into one task.
 
 Built-in windows and ``percentile`` gather all (distinct) values of a group in one place. They are
-used only for groups measured to be small. Larger groups are cut into value ranges by approximate
-pooled quantiles; the cuts steer only where rows go, so every result stays exact.
+used only for groups measured to be small. Larger groups are dealt by ranges of their values: every
+task holds a stretch of the order, and per-stretch totals say where each stretch begins. Both ways
+give the same rows for numbers, NaN, infinities, text, dates and decimals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import join_skewed, join_small, stage
+from hearthstat.operators.scale import join_rows, join_small, stage
 
 GROUP_ROWS = 500_000
-RANGES = 1_000
-CUT_SAMPLE = 1_000_000
 
 
 def group_sizes(df: DataFrame, groups: Sequence[str]) -> tuple[int, int]:
@@ -26,106 +24,75 @@ def group_sizes(df: DataFrame, groups: Sequence[str]) -> tuple[int, int]:
     return biggest or 0, total or 0
 
 
-def _cut_ranges(df: DataFrame, value: str, ranges: int, rows: int) -> DataFrame:
-    """Add ``_range``: the index of the pooled value range a row falls in.
+def positions(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Add, per row, the sum of each expression over the rows that come before it in its group, 0 for the first.
 
-    The cuts come from a bounded sample, as in a range partitioner: they decide which task handles
-    a row, never which rows count.
+    The rows are dealt by ranges of groups and order, sorted, and written with the number of their stretch, so the number
+    of tasks and not the groups decides how much one task holds. Totals per stretch are a small table. NULL sorts last;
+    rows equal in all order columns may change places.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    seen = df if rows <= CUT_SAMPLE else df.sample(fraction=CUT_SAMPLE / rows, seed=17)
-    found = seen.agg(F.percentile_approx(value, probs, 5 * ranges)).first()[0] or []
-    cuts = sorted({float(v) for v in found if v == v and abs(v) != float("inf")})
-    if not cuts:
-        return df.withColumn("_range", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(df)
+    keys = [F.col(c).asc_nulls_last() for c in [*groups, *order]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = df.withColumns({f"_s_{n}": c for n, c in sums.items()})
+    cut = stage(flat.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns(
+        {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    unbounded = W.unboundedPreceding
+    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(unbounded, -1)
+    inside = W.partitionBy("_part", *groups).orderBy("_row").rowsBetween(unbounded, -1)
+    totals = cut.groupBy(*groups, "_part").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
+    totals = totals.select(*groups, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    rows = cut.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0)) for n in sums})
+    joined = join_rows(rows, totals, [*groups, "_part"], "inner")
+    return joined.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],
-              group_rows: int = GROUP_ROWS, ranges: int = RANGES) -> DataFrame:
-    """Linear-interpolated exact quantiles of ``value`` per group; NULL values are skipped.
+              group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Linear-interpolated exact quantiles of ``value`` per group; NULL values are skipped, NaN is the largest.
 
     Groups that hold no value at all are absent from the result.
     """
-    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    biggest, total = group_sizes(rows, groups)
+    rows = df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null")
+    biggest, _ = group_sizes(rows, groups)
     if biggest <= group_rows:
         aggs = [F.percentile("_v", p).alias(name) for name, p in probs.items()]
         return rows.groupBy(*groups).agg(*aggs)
 
-    # Pass 1: rows per (group, value range). Pass 2: only the ranges that hold a wanted rank.
-    cut = _cut_ranges(rows, "_v", ranges, total)
-    keys = [*groups, "_range"]
-    per_group = W.partitionBy(*groups)
-    hist = (
-        cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(per_group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_total", F.sum("_n").over(per_group))
-        .withColumn("_before", F.coalesce("_before", F.lit(0)))
-    )
+    # One row per distinct value with its number, placed by running numbers; the rows that cover a wanted rank are few.
+    counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = positions(counted, groups, ["_v"], {"_before": F.col("_c")})
+    totals = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    ranks = (
-        hist.select(*keys, "_n", "_before", "_total", F.explode(wanted).alias("_w"))
-        .withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
-        .withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
-        .where("_rank >= _before and _rank < _before + _n")
-        .select(*keys, "_before", "_pos", "_rank", F.col("_w.name").alias("_name"))
-        .distinct()
-    )
-    ranks = stage(ranks)
-    needed = ranks.select(*keys, "_before").distinct()
-    inside = (
-        join_small(cut, needed, keys, "inner")
-        .groupBy(*keys, "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(W.partitionBy(*keys).orderBy("_v")))
-    )
-    hits = join_ranks(inside, ranks.drop("_before"), keys)
-    weight = F.col("_pos") - F.floor("_pos")
-    part = F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))
-    upper = F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))
-    picked = hits.groupBy(*groups, "_name").agg(
-        F.max(part).alias("lo"), F.max(upper).alias("hi"), F.max(weight).alias("w"))
-    picked = picked.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w"))
-    return picked.groupBy(*groups).pivot("_name", list(probs)).agg(F.first("q"))
-
-
-def join_ranks(inside: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Values whose run of equal rows covers a wanted rank."""
-    renamed = ranks.withColumnsRenamed({c: f"_k_{c}" for c in keys})
-    test = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
-    for c in keys:
-        test = test & inside[c].eqNullSafe(renamed[f"_k_{c}"])
-    return inside.join(renamed, test).drop(*[f"_k_{c}" for c in keys])
+    ranks = totals.select(*groups, F.explode(wanted).alias("_w"), "_total").withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
+    ranks = ranks.select(*groups, F.col("_w.name").alias("_name"), "_pos")
+    inside = (F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_c") > F.floor("_pos"))
+    hits = join_small(placed, ranks, groups, "inner", where=inside)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.struct("_v")))["_v"]
+
+    picked = hits.groupBy(*groups, "_name", "_pos").agg(at(F.floor("_pos")).alias("lo"), at(F.ceil("_pos")).alias("hi"))
+    between = (F.ceil("_pos") - F.col("_pos")) * F.col("lo") + (F.col("_pos") - F.floor("_pos")) * F.col("hi")
+    picked = picked.withColumn("q", F.when((F.floor("_pos") == F.ceil("_pos")) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(between))
+    return picked.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == n, F.col("q"))).alias(n) for n in probs])
 
 
 def totals_below(df: DataFrame, groups: Sequence[str], value: str, sums: Mapping[str, Column],
-                 group_rows: int = GROUP_ROWS, ranges: int = RANGES) -> DataFrame:
+                 group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add, per row, the sum of each expression over the rows of its group with a smaller value.
 
     ``df`` holds one row per (group, value); aggregate first.
     """
+    if group_sizes(df, groups)[0] > group_rows:
+        return positions(df, groups, [value], sums)
     flat = df.withColumns({f"_s_{n}": c for n, c in sums.items()})
-    ordered = W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    biggest, total = group_sizes(flat, groups)
-    if biggest <= group_rows:
-        w = ordered.partitionBy(*groups)
-        out = flat.withColumns({n: F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)) for n in sums})
-        return out.drop(*[f"_s_{n}" for n in sums])
-    flat = stage(flat.withColumn("_v", F.col(value).cast("double")))
-    cut = _cut_ranges(flat, "_v", ranges, total)
-    keys = [*groups, "_range"]
-    earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = cut.groupBy(*keys).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
-    starts = starts.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = ordered.partitionBy(*keys)
-    out = join_small(cut, starts, keys).withColumns(
-        {n: F.col(f"_b_{n}") + F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0)) for n in sums})
-    return out.drop("_v", "_range", *[f"_s_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+    w = W.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    out = flat.withColumns({n: F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)) for n in sums})
+    return out.drop(*[f"_s_{n}" for n in sums])
 
 
 def dense_ranks(df: DataFrame, groups: Sequence[str], value: str, up: str = "rank_asc", down: str = "rank_desc",
-                group_rows: int = GROUP_ROWS, ranges: int = RANGES) -> DataFrame:
+                group_rows: int = GROUP_ROWS) -> DataFrame:
     """Dense rank in both directions within each group; rows without a value are dropped."""
     rows = df.where(F.col(value).isNotNull())
     if group_sizes(rows, groups)[0] <= group_rows:
@@ -135,13 +102,13 @@ def dense_ranks(df: DataFrame, groups: Sequence[str], value: str, up: str = "ran
             down: F.dense_rank().over(w.orderBy(F.col(value).desc())),
         })
     values = rows.select(*groups, value).distinct()
-    ranked = totals_below(values, groups, value, {"_lower": F.lit(1)}, 0, ranges)
+    ranked = positions(values, groups, [value], {"_lower": F.lit(1)})
     size = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_values"))
     ranked = join_small(ranked, size, groups).select(
         *groups, value,
         (F.col("_lower") + 1).cast("int").alias(up),
         (F.col("_values") - F.col("_lower")).cast("int").alias(down))
-    return join_skewed(rows, ranked, [*groups, value], "inner")
+    return join_rows(rows, ranked, [*groups, value], "inner")
 
 
 def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_order") -> DataFrame:
@@ -152,3 +119,16 @@ def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int,
     """
     w = W.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
+def both_ends(df: DataFrame, groups: Sequence[str], value: str, key: Sequence[str], n: int, rank: str = "rank_order",
+              tag: str = "_end", names: tuple[str, str] = ("high", "low")) -> DataFrame:
+    """The ``n`` highest and ``n`` lowest rows per group, numbered and tagged, from one scan; the key settles ties.
+
+    Every row is offered once for each end, so both lists are one group limit per task before the shuffle.
+    """
+    ends = F.array(F.struct(F.lit(names[0]).alias("t"), F.lit(-1).alias("s")), F.struct(F.lit(names[1]).alias("t"), F.lit(1).alias("s")))
+    rows = df.where(F.col(value).isNotNull()).withColumn("_e", F.explode(ends))
+    w = W.partitionBy(*groups, "_e").orderBy(F.col(value) * F.col("_e.s"), *[F.asc(k) for k in key])
+    picked = rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    return picked.withColumn(tag, F.col("_e.t")).drop("_e")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hearthstat.functions.expressions import has_text
-from hearthstat.operators.ordered import quantiles, top_n
+from hearthstat.operators.ordered import both_ends, quantiles
 from hearthstat.operators.reshape import rows_from
 from hearthstat.operators.scale import join_small
 
@@ -109,10 +109,7 @@ def change_summary(changes: DataFrame, keys: Sequence[str], value: str = "absolu
 def movers(changes: DataFrame, keys: Sequence[str], entity: str, n: int = 10,
            value: str = "absolute_change") -> DataFrame:
     """Biggest gainers and decliners per change window and metric."""
-    rows = changes.where(F.col(value).isNotNull())
-    up = top_n(rows, keys, [F.desc(value), F.asc(entity)], n).withColumn("direction", F.lit("gainer"))
-    down = top_n(rows, keys, [F.asc(value), F.asc(entity)], n).withColumn("direction", F.lit("decliner"))
-    return up.unionByName(down)
+    return both_ends(changes, keys, value, [entity], n, tag="direction", names=("gainer", "decliner"))
 
 
 def remap_by_period(period: str, rules: Mapping[str, Sequence[tuple[int | None, str | None]]]) -> dict[str, Column]:

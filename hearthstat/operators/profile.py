@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.functions.expressions import as_column, safe_number
+from hearthstat.functions.expressions import as_column
 from hearthstat.operators.household import COMPOSITION_KEYS
 from hearthstat.operators.ordered import quantiles
 from hearthstat.operators.reshape import rows_from, to_long, union_all
@@ -278,21 +278,27 @@ def formula_audit(df: DataFrame, groups: Sequence[str], checks: Mapping[str, tup
     return wide.unpivot(list(groups), list(checks), "check_name", "max_abs_diff")
 
 
+def plain_number(c: str) -> Column:
+    """A text read as a number in any usual notation, with sign and exponent; NULL for all else."""
+    text = F.trim(F.col(c))
+    return F.when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+
+
 def parse_ratios(df: DataFrame, columns: Sequence[str], share: float = 0.6, least: int = 3) -> DataFrame:
-    """How many values of each text column read as numbers, and whether to cast it."""
+    """How many values of each text column read as numbers, and whether to cast it (P33): the share of rows is rounded down."""
     wide = df.agg(
-        F.count(F.lit(1)).alias("row_count"), *[F.count(safe_number(c)).alias(f"_p_{c}") for c in columns],
+        F.count(F.lit(1)).alias("row_count"), *[F.count(plain_number(c)).alias(f"_p_{c}") for c in columns],
         *[F.count_if(F.col(c).isNotNull()).alias(f"_v_{c}") for c in columns])
     return rows_from(wide, ["row_count"], [
         {"column_name": F.lit(c), "non_null_count": F.col(f"_v_{c}"), "parsed_count": F.col(f"_p_{c}"),
-         "cast_to_number": F.col(f"_p_{c}") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("row_count"))}
+         "cast_to_number": F.col(f"_p_{c}") >= F.greatest(F.lit(least).cast("long"), F.floor(F.lit(share) * F.col("row_count")))}
         for c in columns])
 
 
 def auto_cast(df: DataFrame, columns: Sequence[str], share: float = 0.6, least: int = 3) -> DataFrame:
     """Cast the columns that are mostly numeric."""
     chosen = {r.column_name for r in parse_ratios(df, columns, share, least).collect() if r.cast_to_number}
-    return df.withColumns({c: safe_number(c) for c in columns if c in chosen}) if chosen else df
+    return df.withColumns({c: plain_number(c) for c in columns if c in chosen}) if chosen else df
 
 
 def column_ranking(df: DataFrame, columns: Sequence[str], n: int | None = None) -> DataFrame:

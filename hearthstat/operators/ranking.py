@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.operators.ordered import dense_ranks, top_n
+from hearthstat.operators.ordered import both_ends, dense_ranks, top_n
 from hearthstat.operators.reshape import to_long
 
 __all__ = ["dense_ranks", "top_n", "metric_ranks", "top_and_bottom", "worst_both_sides"]
@@ -21,10 +21,7 @@ def metric_ranks(df: DataFrame, ids: Sequence[str], period: str, metrics: Sequen
 def top_and_bottom(df: DataFrame, groups: Sequence[str], value: str, key: Sequence[str], n: int,
                    tag: str = "rank_group") -> DataFrame:
     """Highest and lowest ``n`` rows per group, tagged and numbered; the key settles ties."""
-    rows = df.where(F.col(value).isNotNull())
-    high = top_n(rows, groups, [F.desc(value), *[F.asc(k) for k in key]], n)
-    low = top_n(rows, groups, [F.asc(value), *[F.asc(k) for k in key]], n)
-    return high.withColumn(tag, F.lit(f"top_{n}")).unionByName(low.withColumn(tag, F.lit(f"bottom_{n}")))
+    return both_ends(df, groups, value, key, n, tag=tag, names=(f"top_{n}", f"bottom_{n}"))
 
 
 def worst_both_sides(df: DataFrame, value: str, key: Sequence[Column | str], n: int = 15) -> DataFrame:

@@ -7,7 +7,6 @@ period column would put every row of a period in one task, so the statistics are
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -16,54 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 50_000
-HOT_ROWS = 2_000_000
-SALTS = 256
+BROADCAST_BYTES = 8 << 20
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-               max_rows: int = BROADCAST_ROWS, where: Column | None = None) -> DataFrame:
+               max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, where: Column | None = None) -> DataFrame:
     """Join rows to a table that is expected to be small, on equal keys and an optional condition.
 
-    The small side is read up to ``max_rows``. Within the bound it is broadcast, so the big side is
-    not shuffled. Beyond it the join shuffles, with the hot keys of the big side kept out of it.
+    The small side is read up to ``max_rows`` and measured. Within both bounds it is broadcast, so the big side is not
+    shuffled; beyond them it is the plain shuffle join, whose skewed keys Spark splits. The rows are the same either way.
     Keys match with null-safe equality: a NULL group finds its own statistics.
     """
     head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
         fixed = big.sparkSession.createDataFrame(head, small.schema)
         return _null_safe_join(big, F.broadcast(fixed), on, how, where)
-    return join_skewed(big, small, on, how, where)
+    return join_rows(big, small, on, how, where)
 
 
-def join_skewed(big: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left", where: Column | None = None,
-                hot_rows: int = HOT_ROWS, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Shuffle join in which no key of the big side can overload one task.
-
-    Keys with more rows than ``hot_rows`` (and than a ``max_rows``-th of the table, so fewer than
-    ``max_rows`` of them can exist) are joined apart: their rows stay where they are and the matching
-    rows of the other side are broadcast. All other keys take the ordinary shuffle join.
-    """
-    sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
-    least = max(hot_rows, total // max_rows)
-    hot = sizes.where(F.col("_rows") > least).select(*on).toArrow() if total > least else None
-    if hot is None or hot.num_rows == 0:
-        return _null_safe_join(big, other, on, how, where)
-    keys = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(*on).schema).withColumn("_hot", F.lit(True)))
-    big_marked = _null_safe_join(big, keys, on, "left", None)
-    other_marked = _null_safe_join(other, keys, on, "left", None)
-    cold = _null_safe_join(big_marked.where("_hot is null").drop("_hot"),
-                           other_marked.where("_hot is null").drop("_hot"), on, how, where)
-    big_hot, other_hot = big_marked.where("_hot").drop("_hot"), other_marked.where("_hot").drop("_hot")
-    matches = other_hot.limit(max_rows + 1).toArrow()
-    if matches.num_rows <= max_rows:
-        fixed = big.sparkSession.createDataFrame(matches, other_hot.schema)
-        warm = _null_safe_join(big_hot, F.broadcast(fixed), on, how, where)
-    else:
-        salted = other_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = big_hot.withColumn("_salt", F.pmod(F.xxhash64(*big_hot.columns), F.lit(SALTS)).cast("int"))
-        warm = _null_safe_join(spread, salted, [*on, "_salt"], how, where).drop("_salt")
-    return cold.unionByName(warm)
+def join_rows(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", where: Column | None = None) -> DataFrame:
+    """Join of two tables of any size on null-safe keys; the optimizer picks the plan and splits skewed keys."""
+    return _null_safe_join(left, right, on, how, where)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
@@ -94,27 +66,27 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataF
     return spark.createDataFrame(data).select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local test session may get its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="hearthstat-checkpoint-")
-    sc.setCheckpointDir(configured)
+def stage_root(spark: SparkSession) -> str:
+    """This application's folder for staged tables, where all executors can read: below ``spark.checkpoint.dir``, or below
+    the warehouse where that is unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write a frame that several passes read once to the shared checkpoint folder.
+    """Write a frame that several passes read once to the shared folder.
 
     Later passes read only the columns they need, survive lost executors and know the table's size.
     With ``by`` there is one folder per value, so a filter on that column reads only its folder.
     """
     spark = df.sparkSession
-    checkpoint_ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that are still to be computed from it are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

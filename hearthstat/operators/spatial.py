@@ -1,18 +1,16 @@
 """Points and polygons on built-in expressions (inventory J15, J16, area and centroid of D14).
 
-Polygons enter as vertex rows (poly_id, ring, seq, x, y) and become one row with an edge array, so a
-point is tested against a polygon inside one row and no edge is ever shuffled with the points.
+Polygons enter as vertex rows (poly_id, ring, seq, x, y) and become one row with an edge array. Candidates are found by
+bounding boxes; an outline meets only the points whose box test it passed.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import join_small, stage
-
-SHAPE_ROWS = 5_000  # shapes are wide rows, so their broadcast bound is lower
+from hearthstat.operators.scale import stage
 
 # Fixed value: radius of the web-map projection in metres.
 EARTH_RADIUS = 6378137.0
@@ -70,76 +68,112 @@ def outline_distance(edges: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(edges, distance))
 
 
-def _cell(c: Column | str, size: float) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / size)
-
-
-def _cells_of(polygons: DataFrame, size: float) -> DataFrame:
-    """Each polygon once per grid cell its bounding box touches."""
-    across = polygons.withColumn("_cx", F.explode(F.sequence(_cell("min_x", size), _cell("max_x", size))))
-    return across.withColumn("_cy", F.explode(F.sequence(_cell("min_y", size), _cell("max_y", size))))
+def _cell(c: Column | str, size: Column | float) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("long")
 
 
 def cell_size(polygons: DataFrame) -> float:
-    """Typical polygon extent: a polygon then touches about four cells."""
-    row = polygons.agg(F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()
+    """Typical polygon extent."""
+    row = polygons.agg(F.avg(_extent())).first()
     return float(row[0] or 1.0) or 1.0
 
 
+def _extent() -> Column:
+    return F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+
+
+def cells(polygons: DataFrame, size: float) -> DataFrame:
+    """The grid cells (_level, _cx, _cy) that each polygon's box touches, with id and box.
+
+    Every polygon lies in the grid whose cells are about as wide as itself, so it touches at most four cells whatever the
+    others' sizes.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(_extent() / size, F.lit(1.0))))).cast("int")
+    boxes = polygons.select("poly_id", "min_x", "max_x", "min_y", "max_y", level.alias("_level"))
+    across = boxes.withColumn("_cx", F.explode(F.sequence(_cell("min_x", _width(size)), _cell("max_x", _width(size)))))
+    return across.withColumn("_cy", F.explode(F.sequence(_cell("min_y", _width(size)), _cell("max_y", _width(size)))))
+
+
+def _width(size: float) -> Column:
+    return F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+
+
+def _candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """(x, y, poly_id) where a polygon's bounding box holds the point; a point asks each grid in use once."""
+    table = cells(polygons, size)
+    levels = sorted(r[0] for r in table.select("_level").distinct().collect())  # one per doubling of extent
+    asked = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels or [0]])))
+    asked = asked.withColumns({"_cx": _cell("x", _width(size)), "_cy": _cell("y", _width(size))})
+    found = asked.join(table, ["_level", "_cx", "_cy"])
+    return found.where("x between min_x and max_x and y between min_y and max_y").select("x", "y", "poly_id")
+
+
 def within(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
-    """Points (x, y) with the polygon they lie in; NULL outside all, several rows on overlap."""
+    """Points (x, y) with the polygon they lie in; NULL outside all, several rows on overlap.
+
+    Outlines join only the candidates whose box holds the point, by polygon id.
+    """
     size = size or cell_size(polygons)
-    located = points.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
-    table = _cells_of(polygons.select("poly_id", "edges", "min_x", "max_x", "min_y", "max_y"), size)
-    table = table.select("_cx", "_cy", "poly_id", "edges")
-    hit = contains(F.col("edges"), F.col("x"), F.col("y"))
-    return join_small(located, table, ["_cx", "_cy"], "left", SHAPE_ROWS, hit).drop("_cx", "_cy", "edges")
+    pairs = _candidates(points.select("x", "y").where("x is not null and y is not null").distinct(), polygons, size)
+    hits = pairs.join(polygons.select("poly_id", "edges"), "poly_id").where(contains(F.col("edges"), F.col("x"), F.col("y")))
+    hits = hits.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "poly_id")
+    return points.join(hits, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_x", "_y")
+
+
+def _reach() -> tuple[Column, Column]:
+    """Least and greatest distance from a point to a bounding box."""
+    x, y = F.col("x"), F.col("y")
+    near = [F.greatest(F.col(f"min_{c}") - v, v - F.col(f"max_{c}"), F.lit(0.0)) for c, v in (("x", x), ("y", y))]
+    far = [F.greatest(F.abs(v - F.col(f"min_{c}")), F.abs(v - F.col(f"max_{c}"))) for c, v in (("x", x), ("y", y))]
+    return F.sqrt(near[0] ** 2 + near[1] ** 2), F.sqrt(far[0] ** 2 + far[1] ** 2)
+
+
+def _closest(rows: DataFrame, point_id: str) -> DataFrame:
+    """The boxes of each point that are no farther than the greatest distance to its best box."""
+    near, far = _reach()
+    bound = F.min("_far").over(W.partitionBy(point_id))
+    kept = rows.withColumns({"_near": near, "_far": far}).withColumn("_bound", bound)
+    return kept.where(F.col("_near") <= F.col("_bound") * (1 + 1e-12)).drop("_near", "_far", "_bound")
 
 
 def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float | None = None) -> DataFrame:
     """Nearest polygon and its distance for every point; ties go to the smaller id.
 
-    Each round looks at the 3 x 3 grid cells around a point. A hit is final when it is closer than
-    the edge of that block, otherwise the point goes on to a round with cells twice as wide.
+    The polygons form a tree of grid cells, each polygon in the one cell of its box's middle and every cell with the box
+    around all below it. Points go down the tree together, one join per level: a cell is left out as soon as all of it is
+    farther than the whole of another cell. So a point meets a few cells per level wherever it lies, and only the polygons
+    whose boxes remain are measured by their outlines.
     """
     size = size or cell_size(polygons)
-    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     box = polygons.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
-    if ends[0] is None or box[0] is None:
-        kind = polygons.schema["poly_id"].dataType
-        return points.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
-    extent = max(max(ends[1], box[1]) - min(ends[0], box[0]), max(ends[3], box[3]) - min(ends[2], box[2]), size)
-    rounds = max(1, math.ceil(math.log2(extent / size)) + 2)
-    waiting, found = points.select(point_id, "x", "y"), []
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    for step in range(rounds):
-        width = size * 2 ** step
-        cx, cy = _cell("x", width), _cell("y", width)
-        margin = width + F.least(F.col("x") - cx * width, (cx + 1) * width - F.col("x"),
-                                 F.col("y") - cy * width, (cy + 1) * width - F.col("y"))
-        block = (
-            waiting.withColumn("_margin", margin)
-            .withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-            .withColumns({"_cx": cx + F.col("_dx"), "_cy": cy + F.col("_dy")}).drop("_dx", "_dy"))
-        table = _cells_of(polygons, width).select("_cx", "_cy", "poly_id", "edges")
-        pairs = join_small(block, table, ["_cx", "_cy"], "inner", SHAPE_ROWS)
-        x, y, edges = F.col("x"), F.col("y"), F.col("edges")
-        gap = F.when(contains(edges, x, y), F.lit(0.0)).otherwise(outline_distance(edges, x, y))
-        best = pairs.groupBy(point_id, "_margin").agg(F.min(F.struct(gap.alias("distance"), "poly_id")).alias("b"))
-        done = best.select(point_id, "b.poly_id", "b.distance", "_margin")
-        if step < rounds - 1:
-            done = done.where(F.col("distance") <= F.col("_margin"))
-        done = stage(done.drop("_margin"))
-        found.append(done)
-        waiting = stage(waiting.join(done.select(point_id), point_id, "left_anti"))
-        if waiting.isEmpty():
-            break
     kind = polygons.schema["poly_id"].dataType
-    lost = waiting.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
-    out = lost  # points without coordinates keep their row
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    placed = points.where("x is not null and y is not null").select(point_id, "x", "y")
+    none = points.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
+    if box[0] is None:
+        return none
+    depth = max(0, math.ceil(math.log2(max(box[1] - box[0], box[3] - box[2], size) / size)))
+    middle = {"_cx": _cell((F.col("min_x") + F.col("max_x")) / 2 - box[0], size), "_cy": _cell((F.col("min_y") + F.col("max_y")) / 2 - box[2], size)}
+    edges = ("min_x", "max_x", "min_y", "max_y")
+    leaves = stage(polygons.select("poly_id", *edges).withColumns(middle))
+    sums = [F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")]
+    levels = [leaves.groupBy("_cx", "_cy").agg(*sums)]
+    for _ in range(depth):
+        up = {c: F.shiftright(c, 1) for c in ("_cx", "_cy")}
+        levels.append(levels[-1].withColumns(up).groupBy("_cx", "_cy").agg(*sums))
+    top = levels[-1].collect()  # at most four cells
+    start = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in top])
+    front = _closest(placed.withColumn("_t", F.explode(start)).select(point_id, "x", "y", "_t.*"), point_id)
+    for level in reversed(levels[:-1]):
+        below = level.withColumns({"_px": F.shiftright("_cx", 1), "_py": F.shiftright("_cy", 1)})
+        parents = front.select(point_id, "x", "y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+        front = _closest(parents.join(below, ["_px", "_py"]).drop("_px", "_py"), point_id)
+    pairs = _closest(front.select(point_id, "x", "y", "_cx", "_cy").join(leaves, ["_cx", "_cy"]), point_id)
+    pairs = pairs.select(point_id, "x", "y", "poly_id").join(polygons.select("poly_id", "edges"), "poly_id")
+    x, y, outline = F.col("x"), F.col("y"), F.col("edges")
+    gap = F.when(contains(outline, x, y), F.lit(0.0)).otherwise(outline_distance(outline, x, y))
+    best = pairs.groupBy(point_id).agg(F.min(F.struct(gap.alias("distance"), "poly_id")).alias("b"))
+    lost = none.join(placed.select(point_id), point_id, "left_anti")  # points without coordinates keep their row
+    return best.select(point_id, "b.poly_id", "b.distance").unionByName(lost)
 
 
 def locate(points: DataFrame, polygons: DataFrame, point_id: str, size: float | None = None) -> DataFrame:

@@ -126,9 +126,9 @@ def final_outputs(estimates: DataFrame, geography: DataFrame, periods: Sequence[
 
 
 def ml_layer(df: DataFrame, target: str = "estimated_rate_proxy_pct", train: Sequence[int] = TRAIN_PERIODS,
-             test: int = TEST_PERIOD, features: Sequence[str] | None = None, **options) -> dict[str, DataFrame]:
+             test: int = TEST_PERIOD, features: Sequence[str] | None = None, sheet: Sequence[tuple] = METRIC_SHEET, **options) -> dict[str, DataFrame]:
     """Targets, split, three regressions, three classifiers and their evaluation."""
-    pool = ml.feature_pool(df.columns, features or [name for name, _, _ in METRIC_SHEET], (*ML_EXCLUDED, target))
+    pool = ml.feature_pool(df.columns, features or [name for name, _, _ in sheet], (*ML_EXCLUDED, target))
     marked = stage(ml.targets(df.withColumn(target, F.col(target).cast("double")), PERIOD, target))
     train_rows, test_rows = ml.split(marked, PERIOD, train, [test], target)
     ids = [PERIOD, ENTITY]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType, StringType, StructType
 
@@ -14,6 +15,9 @@ from hearthstat.operators.scale import literal_table
 FILE_PATTERN = r"(?i)ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)$"
 
 
+# Conditions by which Spark says that a path or table is not there.
+MISSING = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND")
+
 # Periods of the pipeline; the label columns follow one form.
 PERIODS = (2019, 2021, 2022, 2023)
 
@@ -115,11 +119,9 @@ def write_dataset(df: DataFrame, path: str, by: Sequence[str] = (), fmt: str = "
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
-def write_report(df: DataFrame, path: str, order: Sequence[str], max_rows: int = 1_000_000) -> None:
-    """Small ordered CSV in a single file; a table that is not small is refused."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use write_dataset")
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Ordered CSV: the files in the order of their names hold the rows in the stated order (S11). A small table is one file."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> None:
@@ -136,7 +138,10 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> str:
 
 
 def first_available(spark: SparkSession, sources: Sequence[Callable[[], DataFrame] | str]) -> DataFrame:
-    """First source that exists: a catalog table name or a reader; errors name all tried."""
+    """First source that exists: a catalog table name or a reader.
+
+    Only a missing path or table moves on to the next source; any other error is raised. If none exists, all are named.
+    """
     tried = []
     for source in sources:
         if isinstance(source, str):
@@ -146,7 +151,10 @@ def first_available(spark: SparkSession, sources: Sequence[Callable[[], DataFram
             continue
         try:
             return source()
-        except Exception as error:  # a missing path or table moves on to the next source
+        except (AnalysisException, FileNotFoundError) as error:
+            missing = isinstance(error, FileNotFoundError) or error.getCondition() in MISSING
+            if not missing:
+                raise
             tried.append(f"{getattr(source, '__name__', 'reader')}: {type(error).__name__}")
     raise FileNotFoundError(f"no source available, tried {tried}")
 
@@ -188,13 +196,28 @@ def measure_columns(columns: Sequence[str], code: str) -> list[str]:
     return sorted(c for c in columns if re.match(rf"^{re.escape(code)}_.+[em]$", c))
 
 
-def matching_metrics(columns: Sequence[str], patterns: Sequence[str]) -> list[str]:
-    """For each pattern the shortest matching column, each column once."""
-    chosen: list[str] = []
-    for pattern in patterns:
-        hits = sorted((c for c in columns if re.search(pattern, c)), key=lambda c: (len(c), c))
-        if hits and hits[0] not in chosen:
-            chosen.append(hits[0])
+# Patterns for well-known metrics, the first that hits wins.
+METRIC_PATTERNS = {
+    "median_household_income": ("median.*household.*income", "household.*income.*median", "b19013"),
+    "poverty_rate": ("poverty.*rate", "below.*poverty", "pct.*poverty", "s1701"),
+    "rent_burden": ("rent.*burden", "gross.*rent.*income", "b25070"),
+    "unemployment_rate": ("unemploy", "s2301"),
+    "education_bachelors_or_higher": ("bachelor", "graduate", "college", "s1501"),
+    "owner_occupied_share": ("owner.*occupied", "owner", "b25003"),
+    "median_gross_rent": ("median.*gross.*rent", "gross.*rent.*median"),
+    "median_home_value": ("median.*value", "home.*value"),
+    "limited_english_share": ("limited.*english", "english.*less", "s1601"),
+    "population_65_plus_share": ("65.*over", "65.*plus", "elder", "senior"),
+}
+
+
+def matching_metrics(columns: Sequence[str], patterns: Mapping[str, Sequence[str]] = METRIC_PATTERNS) -> dict[str, str]:
+    """Column by metric name: the shortest that the first hitting pattern of the name matches, in any case."""
+    chosen = {}
+    for name, tried in patterns.items():
+        hits = next((h for p in tried if (h := [c for c in columns if re.search(p, c.lower())])), None)
+        if hits:
+            chosen[name] = min(hits, key=len)
     return chosen
 
 

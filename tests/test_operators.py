@@ -1,5 +1,7 @@
 """Invariants and small fixtures of the operators."""
 
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,15 +158,13 @@ def labelled_points(spark, n=60):
     return rows, literal_table(spark, rows, "year int, id int, cluster_id int, p double, q double")
 
 
-@pytest.mark.parametrize("distance", ["squared", "euclidean"])
-def test_silhouette_by_brute_force(spark, distance):
+def test_silhouette_by_brute_force(spark):
     rows, df = labelled_points(spark)
-    got = {(r.year, r.id): r.silhouette for r in cl.silhouette(df, "year", ["p", "q"], distance=distance).collect()}
+    got = {(r.year, r.id): r.silhouette for r in cl.silhouette(df, "year", ["p", "q"]).collect()}
     for y in (1, 2):
         part = [r for r in rows if r[0] == y]
         x, c = np.array([r[3:] for r in part]), np.array([r[2] for r in part])
         d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        d = d if distance == "squared" else np.sqrt(d)
         for i, r in enumerate(part):
             own = c == c[i]
             if own.sum() == 1:
@@ -176,19 +176,44 @@ def test_silhouette_by_brute_force(spark, distance):
             assert got[y, r[1]] == pytest.approx(want, abs=1e-9)
 
 
-def test_euclidean_silhouette_refuses_large_input(spark):
-    _, df = labelled_points(spark)
-    with pytest.raises(ValueError, match="limited"):
-        cl.silhouette(df, "year", ["p", "q"], distance="euclidean", max_rows=10)
-
-
 def test_matching():
     cost = {("a", "x"): 1.0, ("a", "y"): 2.0, ("b", "x"): 1.5, ("b", "y"): 9.0}
     assert sorted(cl.match_one_to_one(cost, ["a", "b"], ["x", "y"])) == [("a", "y"), ("b", "x")]
-    assert sorted(cl.match_greedy(cost)) == [("a", "x"), ("b", "y")]
     assert cl.match_one_to_one(cost, ["a", "b"], ["x"]) == [("a", "x")]
 
 
+def test_matching_of_many_clusters_is_optimal():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 5), (4, 6), (6, 3)):
+        table = rng.integers(0, 6, (n, m)).astype(float)
+        left, right = [f"l{i}" for i in range(n)], [f"r{j}" for j in range(m)]
+        pairs = cl.match_one_to_one({(left[i], right[j]): table[i, j] for i in range(n) for j in range(m)}, left, right)
+        short = table if n <= m else table.T
+        want = min(sum(short[i, j] for i, j in enumerate(p)) for p in permutations(range(max(n, m)), min(n, m)))
+        assert len(pairs) == min(n, m) and sum(table[left.index(a), right.index(b)] for a, b in pairs) == want
+    big = rng.random((9, 9))
+    names = list(range(9))
+    assert len(cl.match_one_to_one({(i, j): big[i, j] for i in names for j in names}, names, names)) == 9
+
+
+def test_clusters_of_many_periods_and_of_the_null_period(spark):
+    rng = np.random.default_rng(9)
+    rows = [(y, i, *map(float, rng.normal([(i % 3) * 20, -(i % 3) * 20], 1.0))) for y in [*range(150), None] for i in range(9)]
+    df = literal_table(spark, rows, "year int, id int, s_p double, s_q double")
+    assigned, diagnostics, picks = cl.kmeans_by_period(df, "year", ["p", "q"], ks=[2, 3], restarts=4)
+    got = assigned.toPandas()
+    assert len(got) == len(rows) and {r.selected_k for r in picks.collect()} == {3} and diagnostics.count() == 302
+    assert got[got.year.isna()].cluster_id.nunique() == 3
+    assert got.groupby(got.year.fillna(-1)).apply(lambda g: g.groupby(g.id % 3).cluster_id.nunique().max()).max() == 1
+    points = cl.pca_points(df, "year", ["p", "q"]).toPandas()
+    assert len(points) == len(rows) and points[["pc1", "pc2"]].notna().all().all()
+
+
+def test_area_under_the_curve_of_very_large_counts(spark):
+    df = spark.range(4).selectExpr("'m' AS model", "id % 2 AS actual", "id / 4 AS predicted_probability")
+    assert ml.roc_auc(df).first().roc_auc == 0.75
+
+
 def test_alignment_with_a_new_cluster(spark):
     rows = [(2019, 0, 0.0), (2019, 1, 10.0), (2021, 0, 9.5), (2021, 1, 0.5), (2021, 2, 99.0), (2022, 0, 98.0), (2022, 1, 9.0)]
     got = {(r.year, r.cluster_id): (r.aligned_cluster_id, r.match_type) for r in cl.align_clusters(
@@ -256,7 +281,7 @@ def test_auc_with_ties(spark, limit):
     df = literal_table(spark, rows, "model string, actual int, predicted_probability double")
     pos, neg = [s for _, a, s in rows if a], [s for _, a, s in rows if not a]
     want = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert ml.roc_auc(df, group_rows=limit, ranges=4).first().roc_auc == pytest.approx(want, abs=1e-12)
+    assert ml.roc_auc(df, group_rows=limit).first().roc_auc == pytest.approx(want, abs=1e-12)
 
 
 def test_no_predicted_positive_gives_zero(spark):
@@ -284,6 +309,18 @@ def test_locate_by_brute_force(spark):
         assert gaps[got[i][0]] == pytest.approx(min(gaps.values()), abs=1e-9)
 
 
+def test_one_large_polygon_among_many_small_ones(spark):
+    rng = np.random.default_rng(2)
+    squares = {i: (float(x), float(y), 0.01) for i, (x, y) in enumerate(rng.uniform(0, 100, (2000, 2)))} | {2000: (0.0, 0.0, 100.0)}
+    vertices = [(k, 0, i, x + dx * s, y + dy * s) for k, (x, y, s) in squares.items() for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+    shapes = spatial.shapes(literal_table(spark, vertices, "poly_id int, ring int, seq int, x double, y double")).cache()
+    assert spatial.cells(shapes, spatial.cell_size(shapes)).count() <= 10 * 2001
+    pts = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-5000, 5000, (40, 2)))] + [(99, 50.0, 50.0)]
+    got = {r.id: (r.poly_id, r.match_type) for r in spatial.locate(literal_table(spark, pts, "id int, x double, y double"), shapes, "id").collect()}
+    assert len(got) == 41 and got[99][1] == "within"
+    assert spatial.within(literal_table(spark, [(1.0, 1.0)], "x double, y double"), shapes.limit(0), 1.0).collect()[0].poly_id is None
+
+
 def test_points_without_coordinates_keep_their_row(spark):
     ring = [("p", 0, i, *c) for i, c in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])]
     shapes = spatial.shapes(literal_table(spark, ring, "poly_id string, ring int, seq int, x double, y double"))

@@ -1,5 +1,10 @@
 """The forms used for large or skewed groups give the same results as the plain ones."""
 
+import datetime
+import glob
+import os
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +13,7 @@ from pyspark.sql import functions as F
 from hearthstat.operators import ordered, quality, ranking, reshape, standardize
 from hearthstat.operators import profile as pf
 from hearthstat.operators import scale
-from hearthstat.operators.scale import join_skewed, join_small, literal_table
+from hearthstat.operators.scale import join_rows, join_small, literal_table
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +32,7 @@ def skewed(spark):
 def test_quantiles(spark, skewed, limit):
     rows, df = skewed
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
-    got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, group_rows=limit, ranges=7).collect()}
+    got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, group_rows=limit).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
     for g, part in pdf.groupby("g"):
         for name, p in probs.items():
@@ -44,7 +49,7 @@ def test_quantiles_of_constant_and_empty_groups(spark):
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_dense_ranks(spark, skewed, limit):
     rows, df = skewed
-    got = {r.id: (r.rank_asc, r.rank_desc) for r in ranking.dense_ranks(df, ["g"], "v", group_rows=limit, ranges=9).collect()}
+    got = {r.id: (r.rank_asc, r.rank_desc) for r in ranking.dense_ranks(df, ["g"], "v", group_rows=limit).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "v"]).dropna()
     up, down = pdf.groupby("g")["v"].rank("dense"), pdf.groupby("g")["v"].rank("dense", ascending=False)
     assert got == {i: (int(a), int(b)) for i, a, b in zip(pdf.id, up, down)}
@@ -54,7 +59,7 @@ def test_dense_ranks(spark, skewed, limit):
 def test_totals_below(spark, limit):
     rows = [("x", float(v), v % 3 + 1) for v in range(200)] + [("y", 5.0, 2)]
     df = literal_table(spark, rows, "g string, v double, n int")
-    got = {(r.g, r.v): r.below for r in ordered.totals_below(df, ["g"], "v", {"below": F.col("n")}, limit, 8).collect()}
+    got = {(r.g, r.v): r.below for r in ordered.totals_below(df, ["g"], "v", {"below": F.col("n")}, limit).collect()}
     seen = 0
     for g, v, n in rows[:200]:
         assert got[g, v] == seen
@@ -73,13 +78,48 @@ def test_join_small_bounds(spark, skewed, how, max_rows):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("max_rows", [1, 100])
-def test_join_skewed_keeps_every_row(spark, skewed, how, max_rows):
+def test_join_rows_keeps_every_row(spark, skewed, how):
     _, df = skewed
     other = df.select("g", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).distinct().where("g <> 'g2'")
     want = sorted((r.id, r.k or 0) for r in df.join(other, "g", how).collect())
-    joined = join_skewed(df, other, ["g"], how, hot_rows=300, max_rows=max_rows)
-    assert sorted((r.id, r.k or 0) for r in joined.collect()) == want
+    assert sorted((r.id, r.k or 0) for r in join_rows(df, other, ["g"], how).collect()) == want
+
+
+def test_a_wide_small_table_is_not_broadcast(spark, skewed):
+    _, df = skewed
+    small = df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.repeat(F.lit("x"), 1000))
+    joined = join_small(df, small, ["g"], max_bytes=2000)
+    assert joined.count() == df.count() and "broadcast" not in joined._jdf.queryExecution().logical().toString().lower()
+
+
+ODD = {"double": [1.0, 1.0, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, None, 2.5], "string": ["b", "a", "", None, "é", "B", "10", "9", "a"],
+       "date": [None, *[datetime.date(2020, 1, d) for d in (5, 1, 5, 9, 2, 3, 4, 7)]], "decimal(20,4)": [None, *[Decimal(x) for x in "1.5 -2 7 7 0 3.25 1.5 9".split()]]}
+
+
+@pytest.mark.parametrize("kind", list(ODD))
+def test_both_ways_agree_on_odd_values(spark, kind):
+    rows = [("x", v) for v in ODD[kind]] + [("y", v) for v in ODD[kind][:3]] + [(None, ODD[kind][1])]
+    df = literal_table(spark, rows, f"g string, v {kind}")
+    small, large = ([repr(r) for r in ranking.dense_ranks(df, ["g"], "v", group_rows=n).collect()] for n in (10**6, 0))
+    assert sorted(small) == sorted(large) and small
+    if kind in ("double", "decimal(20,4)"):
+        probs = {f"p{i}": i / 8 for i in range(9)}
+        one, two = ([repr(r) for r in ordered.quantiles(df, ["g"], "v", probs, group_rows=n).collect()] for n in (10**6, 0))
+        assert sorted(one) == sorted(two) and one
+
+
+def test_a_group_that_grows_is_dealt_over_more_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for n in (1_000, 100_000):
+            df = spark.range(n).selectExpr("'hot' AS g", "id % 50000 + id / 1e7 AS v")
+            placed = ordered.positions(df, ["g"], ["v"], {"before": F.lit(1)}).withColumn("part", F.spark_partition_id())
+            assert placed.agg(F.max("before"), F.countDistinct("before")).first() == (n - 1, n)
+            stretch = spark.read.parquet(sorted(glob.glob(scale.stage_root(spark).removeprefix("file:") + "/*"), key=os.path.getmtime)[-1])
+            assert stretch.groupBy("_part").count().agg(F.max("count")).first()[0] < 3 * n / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_null_group_finds_its_statistics(spark):
@@ -88,11 +128,10 @@ def test_null_group_finds_its_statistics(spark):
     assert sorted((r.v, r.m) for r in got) == [(1.0, 2.0), (3.0, 2.0), (5.0, 5.0)]
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
-    scale.checkpoint_ready(spark)
-    before = spark.sparkContext.getCheckpointDir()
-    scale.checkpoint_ready(spark)
-    assert spark.sparkContext.getCheckpointDir() == before is not None
+def test_stages_lie_in_the_shared_folder_and_can_be_cleared(spark):
+    assert scale.stage_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    kept = scale.stage(spark.range(5).toDF("a"))
+    assert kept.count() == 5 and kept.inputFiles()[0].startswith(scale.stage_root(spark))
 
 
 def plan(df):

@@ -19,7 +19,7 @@ YEARS = list(range(1995, 2002))
 FULL_AREA, PART_AREA, PART_FACTOR = 1901, 1902, 0.25
 INDEX = {1995: 250, 1996: 262, 1997: 275, 1998: 286, 1999: 295, 2000: 304, 2001: 318}
 UPLIFTS = {1995: 25000, 1996: 37500, 1997: 37500}
-BUDGETS = [5 * b for b in th.MONTHLY_BUDGET]
+BUDGET_SCALE = 5
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -93,7 +93,7 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @cache
 def raw_thresholds(spark: SparkSession) -> DataFrame:
-    table = th.backfilled(th.base_thresholds(spark, BUDGETS), INDEX, 2001)
+    table = th.backfilled(th.base_thresholds(spark, BUDGET_SCALE), INDEX, 2001)
     return table.where("not (year = 1998 and hh_comp_key = 'other')")
 
 
@@ -180,16 +180,14 @@ fin AS (
 """
 
 
-# Panel: customers (areas) over order years, unbalanced by a rule, with one metric that has gaps.
+# Panel: customers (areas) over order years, unbalanced since not every customer orders every year; one metric has gaps.
 
 METRICS = ["orders_total", "spend", "max_price", "pct_open", "pct_urgent"]
 
 
-def cells(spark: SparkSession, folder: str, full: bool = False) -> DataFrame:
+def cells(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("area"), F.year("o_orderdate").alias("year"), "o_totalprice", "o_orderstatus", "o_orderpriority")
-    if not full:
-        orders = orders.where((F.col("area") * 7 + F.col("year")) % 11 != 0)
     n = F.count(F.lit(1))
     out = orders.groupBy("area", "year").agg(
         n.alias("orders_total"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spend"),
@@ -219,7 +217,7 @@ cells AS (
          100.0 * count(*) FILTER (o_orderstatus = 'O') / count(*) AS pct_open,
          CASE WHEN (o_custkey + year(o_orderdate)) % 13 <> 0
               THEN 100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*) END AS pct_urgent
-  FROM orders WHERE (o_custkey * 7 + year(o_orderdate)) % 11 <> 0
+  FROM orders
   GROUP BY o_custkey, year(o_orderdate))"""
 
 GROUPED_SQL = CELLS_SQL + """,

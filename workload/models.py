@@ -163,18 +163,44 @@ def impute_and_scale(spark, folder):
         "area", "year", "pct_urgent", "s_pct_urgent", "s_spend")
 
 
-@query("kmeans_by_year")
+@query("kmeans_by_year", "year:i entity_count:i clusters_in_range:b not_nearest:i inertia_gap:d sizes_add_up:b", "WITH" + CELLS_SQL + """---
+       SELECT year, count(*) AS entity_count, TRUE AS clusters_in_range, 0 AS not_nearest, 0.0 AS inertia_gap, TRUE AS sizes_add_up
+       FROM cells GROUP BY year""", digits=4)
 def kmeans_by_year(spark, folder):
+    """What holds for every finished fit: all rows are assigned to their nearest mean and the inertia is their distance to it."""
     prepared = cl.prepare(cells_staged(spark, folder), "year", CLUSTER_METRICS)
-    assigned, _, picks = cl.kmeans_by_period(prepared, "year", CLUSTER_METRICS, ks=[2, 3], restarts=1)
-    sizes = assigned.groupBy("year", "cluster_label").agg(F.count(F.lit(1)).alias("entity_count"))
-    return sizes.join(picks.select("year", "selected_k", "silhouette", "inertia"), "year")
-
-
-@query("pca_points")
+    assigned, _, picks = cl.kmeans_by_period(prepared, "year", CLUSTER_METRICS)
+    rows = stage(assigned.select("area", "year", "cluster_id", F.array(*[f"s_{m}" for m in CLUSTER_METRICS]).alias("x")))
+    means = rows.groupBy("year", "cluster_id").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(CLUSTER_METRICS))]).alias("m"))
+    means = means.groupBy(F.col("year").alias("_year")).agg(F.collect_list(F.struct("cluster_id", "m")).alias("all"))
+
+    def gap(m):
+        return F.aggregate(F.zip_with(m, "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    gaps = rows.join(means, F.col("year") == F.col("_year")).withColumns({
+        "least": F.array_min(F.transform("all", lambda c: gap(c["m"]))), "k": F.size("all"),
+        "own": gap(F.filter("all", lambda c: c["cluster_id"] == F.col("cluster_id"))[0]["m"])})
+    found = gaps.groupBy("year").agg(F.count(F.lit(1)).alias("entity_count"), F.count_if(F.col("own") > F.col("least") + 1e-6).alias("not_nearest"),
+                                     F.sum("own").alias("inertia_now"), F.max("k").alias("k"))
+    return found.join(picks, "year").select(
+        "year", "entity_count", (F.col("k") == F.col("selected_k")).alias("clusters_in_range"), "not_nearest",
+        (F.abs(F.col("inertia_now") - F.col("inertia")) / F.col("inertia")).alias("inertia_gap"),
+        (F.col("entity_count") == F.col("row_count")).alias("sizes_add_up"))
+
+
+@query("pca_points", "year:i entity_count:i variance_1:d variance_2:d covariance:d", "WITH" + CELLS_SQL + """,
+       f AS (SELECT year, spend, pct_open, coalesce(pct_urgent, m) AS u FROM cells
+             JOIN (SELECT year, quantile_cont(pct_urgent, 0.5) AS m FROM cells GROUP BY year) USING (year)),
+       c AS (SELECT year, count(*) AS n, corr(spend, pct_open) AS a, corr(spend, u) AS b, corr(pct_open, u) AS c FROM f GROUP BY year),
+       p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c),
+       e AS (SELECT *, 1 + 2 * p * cos(acos(a * b * c / p ** 3) / 3) AS high, 1 + 2 * p * cos(acos(a * b * c / p ** 3) / 3 + 2 * pi() / 3) AS low FROM p)---
+       SELECT year, n AS entity_count, high AS variance_1, 3 - high - low AS variance_2, 0.0 AS covariance FROM e""", digits=5)
 def pca_points(spark, folder):
+    """Variances of the components are the largest eigenvalues of the correlations, which have a closed form for three metrics."""
     prepared = cl.prepare(cells_staged(spark, folder), "year", CLUSTER_METRICS)
-    return cl.pca_points(prepared, "year", CLUSTER_METRICS).select("area", "year", "pc1", "pc2")
+    points = cl.pca_points(prepared, "year", CLUSTER_METRICS)
+    return points.groupBy("year").agg(F.count(F.lit(1)).alias("entity_count"), F.var_pop("pc1").alias("variance_1"),
+                                      F.var_pop("pc2").alias("variance_2"), F.covar_pop("pc1", "pc2").alias("covariance"))
 
 
 # Supervised layer: train on the years to 2000, test on 2001, with the spend of a customer as target.
@@ -273,31 +299,59 @@ def worst_areas(spark, folder):
 
 
 ML_FEATURES = ["orders_total", "max_price", "pct_open", "pct_urgent"]
-SMALL_FOREST = {"numTrees": 20, "minInstancesPerNode": 2, "maxDepth": 8, "seed": 42}
-SMALL_BOOST = {"maxIter": 10, "stepSize": 0.1, "maxDepth": 3, "seed": 42}
+REGRESSORS, CLASSIFIERS = ("ridge", "random_forest", "gradient_boosting"), ("logistic_regression", "random_forest", "gradient_boosting")
 
 
 def fitted_regression(spark, folder):
     train, test = ml.split(stage(targets(spark, folder)), "year", TRAIN, TEST, "spend")
-    return ml.fit_regression(train, test, ML_FEATURES, "spend", ["area", "year"], forest=SMALL_FOREST, boost=SMALL_BOOST)
+    made, importance = ml.fit_regression(train, test, ML_FEATURES, "spend", ["area", "year"])
+    return stage(made), importance
 
 
-@query("fit_regression")
-def fit_regression(spark, folder):
-    return ml.regression_metrics(fitted_regression(spark, folder)[0])
+def _models_sql(names):
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") m(model)"
 
 
-@query("fit_classification")
+@query("fit_regression", "model:s row_count:i residual_gap:d error_gap:d beats_mean:b", ML_SQL + f"""---
+       SELECT model, count(*) AS row_count, 0.0 AS residual_gap, 0.0 AS error_gap, TRUE AS beats_mean
+       FROM t, {_models_sql(REGRESSORS)} WHERE year = 2001 GROUP BY model""", digits=5)
+def fit_regression(spark, folder):
+    """What holds for every fit: all test rows are predicted, residuals add up, metrics follow from them, the mean is beaten."""
+    made, _ = fitted_regression(spark, folder)
+    direct = made.groupBy("model").agg(
+        F.max(F.abs(F.col("actual") - F.col("predicted_target") - F.col("residual"))).alias("residual_gap"),
+        F.sqrt(F.avg(F.col("residual") ** 2)).alias("again"), F.stddev_pop("actual").alias("spread"))
+    return ml.regression_metrics(made).join(direct, "model").select(
+        "model", "row_count", "residual_gap", (F.abs(F.col("rmse") - F.col("again")) / F.col("rmse")).alias("error_gap"),
+        (F.col("rmse") < F.col("spread")).alias("beats_mean"))
+
+
+@query("fit_classification", "model:s row_count:i positives:i classes_fit:i shares_in_range:b better_than_chance:b", ML_SQL + f"""---
+       SELECT model, count(*) AS row_count, sum(high_risk) AS positives, count(*) AS classes_fit, TRUE AS shares_in_range,
+              TRUE AS better_than_chance
+       FROM t, {_models_sql(CLASSIFIERS)} WHERE year = 2001 GROUP BY model""")
 def fit_classification(spark, folder):
+    """What holds for every fit: all test rows are predicted, a class is 1 where its probability says so, ranks beat chance."""
     train, test = ml.split(stage(targets(spark, folder)), "year", TRAIN, TEST, "spend")
-    made, _ = ml.fit_classification(train, test, ML_FEATURES, "high_risk", ["area", "year"], forest=SMALL_FOREST, boost=SMALL_BOOST)
-    return ml.classification_metrics(made)
-
-
-@query("feature_importance")
+    made = stage(ml.fit_classification(train, test, ML_FEATURES, "high_risk", ["area", "year"])[0])
+    p = F.col("predicted_probability")
+    fits = ((p > 0.5) == (F.col("predicted_class") == 1)) | (F.abs(p - 0.5) < 1e-9)
+    direct = made.groupBy("model").agg(F.sum("actual").alias("positives"), F.count_if(fits).alias("classes_fit"),
+                                       (F.min(p) >= 0).alias("_lo"), (F.max(p) <= 1).alias("_hi"))
+    return ml.classification_metrics(made).join(direct, "model").select(
+        "model", "row_count", "positives", "classes_fit", (F.col("_lo") & F.col("_hi")).alias("shares_in_range"),
+        (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+@query("feature_importance", "model:s feature_count:i total:d smallest_is_negative:b", f"""---
+       SELECT model, {len(ML_FEATURES)} AS feature_count, CASE WHEN model = 'ridge' THEN 0.0 ELSE 1.0 END AS total, FALSE AS smallest_is_negative
+       FROM {_models_sql(REGRESSORS)}""")
 def feature_importance(spark, folder):
+    """Importances of trees add up to one; those of ridge are the sizes of its signed values."""
     importance = fitted_regression(spark, folder)[1]
-    return importance.orderBy("model", F.desc("importance"), "feature")
+    total = F.sum(F.when(F.col("signed_value").isNull(), F.col("importance")).otherwise(F.col("importance") - F.abs("signed_value")))
+    return importance.groupBy("model").agg(F.count(F.lit(1)).alias("feature_count"), total.alias("total"),
+                                           (F.min("importance") < 0).alias("smallest_is_negative"))
 
 
 @query("ridge_predictions", "area:i year:i actual:d predicted_target:d residual:d", ML_SQL + """,

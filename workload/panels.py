@@ -67,7 +67,7 @@ def dense_rank_rows(spark, folder):
 @query("dense_ranks_by_ranges", RANK_SPEC, RANK_SQL)
 def dense_rank_ranges(spark, folder):
     """The form for groups too large for one task, on the same panel."""
-    return rk.metric_ranks(cells(spark, folder), ["area"], "year", METRICS, group_rows=0, ranges=16)
+    return rk.metric_ranks(cells(spark, folder), ["area"], "year", METRICS, group_rows=0)
 
 
 @query("top_bottom_n", "area:i year:i spend:d rank_order:i rank_group:s", "WITH" + CELLS_SQL + """,
@@ -174,7 +174,7 @@ def quantile_rows(spark, folder):
 @query("quantiles_by_ranges", QUANTILE_SPEC, QUANTILE_SQL)
 def quantile_ranges(spark, folder):
     """The form for groups too large for one task, on the same rows."""
-    return quantiles(_prices(spark, folder), ["year", "status"], "o_totalprice", QUANTILES, group_rows=0, ranges=16)
+    return quantiles(_prices(spark, folder), ["year", "status"], "o_totalprice", QUANTILES, group_rows=0)
 
 
 @query("quantile_flag", "area:i year:i cut:d high:i", "WITH" + CELLS_SQL + """---
