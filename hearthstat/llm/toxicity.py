@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         c = group["n"].to_numpy(float)
         vectors[where[int(i)]] = (t, c)
         weights[t, where[int(i)]] = _vector(index, t, c)
-    index.highest = weights.reshape(len(names), -1, BLOCK).max(2)
+    index.highest = weights.reshape(len(names), weights.shape[1] // BLOCK, BLOCK).max(2)
     if n1 and n0:
         _calibrate(index, vectors)
     index.ids, index.labels = (np.append(x, np.zeros(weights.shape[1] - len(x), np.int64)) for x in (ids, y))
