@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from hearthstat.llm.common import boxed, stage
 from hearthstat.llm.graph import components
@@ -18,7 +19,8 @@ WORDS = 5
 PERCENT = 80
 TOKENS = 64
 TREES = 16
-SMALL = 32
+SMALL = 256
+THIN = 16
 CHUNK = 1_000_000
 SKETCH = "doc_id long, n_shingles long, key binary, tokens array<int>"
 
@@ -49,7 +51,7 @@ def _shingle_set(text: Column, words: int) -> Column:
     return to_set(text)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many hashes two sorted sets share."""
     def count(x: bytes, y: bytes) -> int:
@@ -60,14 +62,17 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([count(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int64())
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only documents of a pair are read into sets."""
-    pairs = pairs.select("a", "b").distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", _shingle_set(F.col("text"), words).alias("set"))
-    sets = stage(sets, "sets", "lz4")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_both", _common("set_a", "set_b"))
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Full shingle sets (doc_id, set) of the documents named, written once for all confirmations."""
+    return stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", _shingle_set(F.col("text"), words).alias("set")), "sets", "lz4")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), each given once, whose full shingle sets are similar enough. Only sets of a pair are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    some = sets.join(ids, "doc_id", "left_semi")
+    left, right = (some.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("_both", _common("set_a", "set_b"))
     union = (F.octet_length("set_a") + F.octet_length("set_b")) / 8 - F.col("_both")
     return both.where(F.col("_both") * 100 >= union * percent).select("a", "b").distinct()
 
@@ -99,16 +104,17 @@ def _compare(nodes: DataFrame, least: int, tokens: int) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: int = TOKENS, trees: int = TREES,
-          small: int = SMALL) -> DataFrame:
+          small: int = SMALL, thin: int = THIN) -> DataFrame:
     """Confirmed links that connect what is similar: (a, b) from representatives (rep, tokens).
 
     Every tree branches from its root: a node picks token positions, each with probability 1 / (similarity x positions),
     and a document goes to one child per picked position, named by its token there. A pair as similar as the threshold
     keeps one common child on average at each step. Nodes of up to ``small`` documents compare all their pairs by tokens,
-    and the pairs that may be similar are confirmed on the full sets. In a larger node all compare with one random member;
-    those confirmed with it form one class, classes that share a confirmed document merge, and pairs inside a class need no
-    comparison any more, since their documents are connected. What still holds two classes branches on. So a large group of
-    near copies costs a few comparisons for each of its documents, and nothing is capped.
+    in a larger node all compare with one random member; what may be similar is confirmed on the full sets. After each step
+    the components of all links so far are known, and pairs inside a component need no comparison any more, in any tree. A
+    node with up to ``thin`` documents outside its largest component compares those with all; any other node that holds
+    two components or more branches on. So a large group of near copies costs a few comparisons for each of its documents,
+    and nothing is capped.
     """
     share = percent / 100
     least = max(1, math.floor(tokens * share - 4 * math.sqrt(tokens * share * (1 - share))))
@@ -116,36 +122,41 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: in
     picks = [(t, i) for t in range(trees) for i in np.flatnonzero(rng.random(tokens) < 1 / (share * tokens)).tolist()]
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(i), F.col("tokens")[i]) for t, i in picks]))
     level = reps.select(roots.alias("node"), "rep", F.col("rep").alias("cls"))
-    found = stars = None
+    linked = sets = parts = None
     while True:
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"),
-                                          F.min(F.struct(F.xxhash64("node", "rep"), "rep", "cls")).alias("_lead"))
-        wide = sizes.where("_lo < _hi").select(F.col("node").alias("_node"), "n", F.col("_lead.rep").alias("lead"), F.col("_lead.cls").alias("lead_cls"))
+        classes = level.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("l"))
+        sizes = classes.groupBy(F.col("node").alias("_node")).agg(
+            F.sum("c").alias("n"), F.max(F.struct("c", "cls")).alias("_top"), F.min(F.struct("l", "cls")).alias("_lead"), F.count(F.lit(1)).alias("_k"))
+        wide = sizes.where("_k > 1").select("_node", "n", F.col("_top.cls").alias("top"), (F.col("n") - F.col("_top.c")).alias("other"),
+                                            F.col("_lead.l.rep").alias("lead"), F.col("_lead.cls").alias("lead_cls"))
         wide = level.join(wide, F.col("node") == F.col("_node")).drop("_node")
         wide = stage(wide.join(reps.select(F.col("rep").alias("_rep"), "tokens"), F.col("rep") == F.col("_rep")).drop("_rep"), "nodes")
         few = wide.where(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("rep", "cls", "tokens")).alias("members"))
-        pairs = stage(_compare(few.select("members"), least, tokens).distinct(), "pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = wide.where(F.col("n") > small)
-        if large.isEmpty():
-            break
+        apart = wide.where((F.col("n") > small) & (F.col("other") <= thin))
+        large = wide.where((F.col("n") > small) & (F.col("other") > thin))
+        ends = [F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")]
+        alike = _matches(F.col("tokens"), F.col("_tokens")) >= least
+        rest = apart.where("cls != top").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"), F.col("cls").alias("_cls"), F.col("tokens").alias("_tokens"))
+        rest = apart.join(rest, (F.col("node") == F.col("_node")) & (F.col("cls") != F.col("_cls")) & alike).select(*ends)
         heads = reps.select(F.col("rep").alias("_rep"), F.col("tokens").alias("_tokens"))
-        star = large.where("rep != lead").select("lead", "rep", "tokens").dropDuplicates(["lead", "rep"]).join(heads, F.col("lead") == F.col("_rep"))
-        star = star.where(_matches(F.col("tokens"), F.col("_tokens")) >= least).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-        sure = stage(confirm(star, docs, words, percent), "stars")
-        stars = sure if stars is None else stars.unionByName(sure)
-        key = (F.least("lead", "rep") == F.col("a")) & (F.greatest("lead", "rep") == F.col("b"))
-        marked = large.join(sure, key, "left").withColumn("_with", F.col("a").isNotNull() | (F.col("rep") == F.col("lead"))).drop("a", "b")
-        merged = marked.where("_with").select(F.col("node").alias("_node"), F.col("cls").alias("_cls")).distinct().withColumn("_in", F.lit(True))
-        marked = large.join(merged, (F.col("node") == F.col("_node")) & (F.col("cls") == F.col("_cls")), "left")
-        now = F.when(F.col("_in"), F.col("lead_cls")).otherwise(F.col("cls"))
+        star = large.where("cls != lead_cls").select("lead", "rep", "tokens").dropDuplicates(["lead", "rep"])
+        star = star.join(heads, (F.col("lead") == F.col("_rep")) & alike).select(*ends)
+        pairs = stage(_compare(few.select("members"), least, tokens).unionByName(rest).unionByName(star).distinct(), "pairs")
+        if sets is None:
+            involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(wide.where(F.col("n") > small).select(F.col("rep").alias("doc_id")))
+            sets = shingle_sets(docs, involved.distinct(), words)
+        sure = stage(confirm(pairs, sets, percent), "confirmed")
+        fresh = parts is None or not sure.isEmpty()
+        linked = sure if linked is None else linked.unionByName(sure)
+        if large.isEmpty():
+            return linked
+        parts = components(linked) if fresh else parts
         chance = int(2**20 / (share * tokens))
         kids = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.when(
             F.pmod(F.xxhash64(F.lit("pick"), F.col("node"), i), F.lit(2**20)) < chance, F.xxhash64(F.col("node"), i, F.get("tokens", i)))),
             lambda x: x.isNotNull())
-        level = stage(marked.select(F.explode(kids).alias("node"), "rep", now.alias("cls")), "level")
-    sure = confirm(found, docs, words, percent)
-    return sure if stars is None else sure.unionByName(stars)
+        level = large.select(F.explode(kids).alias("node"), "rep").join(parts, F.col("rep") == F.col("id"), "left")
+        level = stage(level.select("node", "rep", F.coalesce("component", "rep").alias("cls")), "level")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tokens: int = TOKENS, trees: int = TREES,
