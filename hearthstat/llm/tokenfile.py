@@ -17,6 +17,8 @@ from hearthstat.llm.words import Cutter, WordIds, chunks
 
 END_ID = 2
 BLOCK_TOKENS = 4_000_000
+SEPARATOR = ","
+JOINED = 512
 MAGIC = b"TKF1"
 HEAD = "<4s6q"  # magic, part, number in the part, documents, ids, control bytes, data bytes
 BLOCK = ("part int, seq int, n_docs long, n_tokens long, doc_ids binary, known binary, lens binary, ids binary, "
@@ -27,18 +29,18 @@ SIZES = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)],
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of numbers below 2**32: one to four bytes each, two bits of control."""
-    values = values.astype(np.int64)
-    extra = (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.int64)
-    codes[:len(values)] = extra
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
-    size = extra + 1
-    first = np.cumsum(size) - size
-    data = np.empty(int(size.sum()), np.uint8)
+    values = np.asarray(values).astype(np.uint32)
+    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    codes = np.zeros((-(-len(values) // 4), 4), np.uint8)
+    codes.reshape(-1)[:len(values)] = extra
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(values) + 1)
+    first = ends - extra - 1
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     data[first] = values & 0xFF
     for k in range(1, 4):
-        more = extra >= k
-        data[first[more] + k] = values[more] >> 8 * k & 0xFF
+        more = np.flatnonzero(extra >= k)
+        data[first[more] + k] = values[more] >> np.uint32(8 * k) & 0xFF
     return control.tobytes(), data.tobytes()
 
 
@@ -57,8 +59,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Words:
     """Ids of texts by the tokenizers library, which sees each distinct part of the texts once.
 
-    Texts are cut where the tokenizer's own rules end a word: beside white space, and between a Latin letter and an ASCII
-    punctuation mark other than the apostrophe. A text that could hold an added token goes to the library whole.
+    Texts are cut where the tokenizer's own rules end a word: before white space, and between a Latin letter and an ASCII
+    punctuation mark other than the apostrophe. It lower-cases in any case, so A-Z become a-z first. A text that could hold
+    an added token goes to the library whole.
     """
 
     def __init__(self, tokenizer: bytes):
@@ -73,11 +76,33 @@ class Words:
         kinds[[ord(c) for c in string.punctuation if c != "'"]] = 2
         kinds[[ord(c) for c in " \t\n\r"]] = 3
         joined = np.ones((4, 4), bool)
-        joined[1, 2] = joined[2, 1] = False
-        joined[3, :] = joined[:, 3] = False
-        self.cut, self.words = Cutter(kinds, joined), WordIds(self._encode)
+        joined[1, 2] = joined[2, 1] = joined[0, 3] = joined[1, 3] = joined[2, 3] = False
+        comma = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = comma[0] if len(comma) == 1 else None
+        self.cut, self.words = Cutter(kinds, joined, lower=True), WordIds(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words are one text for the library, a comma between each two; words with a comma go by themselves."""
+        if self.separator is None:
+            return self._one_by_one(words)
+        plain = np.array([SEPARATOR not in w for w in words])
+        joined = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        texts = [f" {SEPARATOR} ".join(joined[a:a + JOINED]) for a in range(0, len(joined), JOINED)]
+        found = [np.array([*e.ids, self.separator], np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, np.int32), *found])
+        ends = np.flatnonzero(flat == self.separator)
+        many = np.empty(len(words), np.int64)
+        many[plain] = np.diff(np.concatenate(([-1], ends))) - 1
+        flat = flat[flat != self.separator]
+        if plain.all():
+            return flat, many
+        odd_ids, odd_many = self._one_by_one([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        many[~plain] = odd_many
+        out, odd = np.empty(int(many.sum()), np.int32), np.repeat(~plain, many)
+        out[odd], out[~odd] = odd_ids, flat
+        return out, many
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         many = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int32, int(many.sum())), many
@@ -87,7 +112,7 @@ class Words:
         odd = [any(m in t for m in self.marks) for t in texts]
         if not any(odd):
             return self.words.lookup(*self.cut(texts))
-        ids = [self._encode([t])[0] if whole else self.words.lookup(*self.cut([t]))[0] for t, whole in zip(texts, odd, strict=True)]
+        ids = [self._one_by_one([t])[0] if whole else self.words.lookup(*self.cut([t]))[0] for t, whole in zip(texts, odd, strict=True)]
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
 
@@ -116,7 +141,9 @@ def blocks(docs: DataFrame, tokenizer: bytes, end: int = END_ID, most: int = BLO
         def block() -> pa.RecordBatch:
             names, lens, ids = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3))
             known = np.concatenate([h[1] for h in held])
-            seen, times = np.unique(ids, return_counts=True)
+            counts = np.bincount(ids)
+            seen = np.flatnonzero(counts)
+            times = counts[seen]
             row = {"part": [part], "seq": [seq], "n_docs": [len(lens)], "n_tokens": [len(ids)], "doc_ids": [names.astype("<i8").tobytes()],
                    "known": [known.astype(np.uint8).tobytes()], "lens": [lens.astype("<i8").tobytes()], "ids": [ids.astype("<u4").tobytes()],
                    "seen": [seen], "times": [times]}

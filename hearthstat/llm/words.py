@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 4_000_000
-WORDS_KEPT = 300_000
+CHUNK_CHARS = 1_000_000
+WORDS_KEPT = 400_000
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -29,17 +30,28 @@ class WordIds:
     """Ids of words, found once per distinct word while it is remembered.
 
     ``encode`` gives for a list of non-empty words their ids one after another and how many each has. When more than
-    ``kept`` words are known, all are forgotten: memory stays bounded and results don't depend on it.
+    ``kept`` words are known, those seen in one chunk only are forgotten first: memory stays bounded and results don't
+    depend on it.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = WORDS_KEPT):
         self.encode, self.kept = encode, kept
-        self._forget()
-
-    def _forget(self) -> None:
         self.at = {"": 0}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.first, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.first, self.many, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        n, least = len(self.at), 1
+        while (self.seen[1:n] > least).sum() > self.kept // 2:
+            least *= 2
+        stay = np.concatenate(([0], np.flatnonzero(self.seen[1:n] > least) + 1))
+        known = list(self.at)
+        self.at = {known[i]: k for k, i in enumerate(stay.tolist())}
+        many, first = self.many[stay], self.first[stay]
+        ends = np.cumsum(many)
+        self.used = int(ends[-1])
+        self.flat = self.flat[np.repeat(first - (ends - many), many) + np.arange(self.used)]
+        self.first, self.many, self.seen = ends - many, many, np.zeros(len(stay), np.int64)
 
     def _room(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -51,7 +63,7 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         ids, many = self.encode(words)
         n = len(self.at)
-        for name, need in (("flat", self.used + len(ids)), ("first", n + len(words)), ("many", n + len(words))):
+        for name, need in (("flat", self.used + len(ids)), *((x, n + len(words)) for x in ("first", "many", "seen"))):
             self._room(name, need)
         self.flat[self.used:self.used + len(ids)] = ids
         self.many[n:n + len(words)] = many
@@ -65,10 +77,13 @@ class WordIds:
             self._forget()
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.at]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        place = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = len(self.at) + np.arange(len(missing))
+            self._learn([distinct[i] for i in missing.tolist()])
+        self.seen[place] += 1
+        at = place[coded.indices.to_numpy()]
         many = self.many[at]
         ends = np.cumsum(many)
         flat = self.flat[np.repeat(self.first[at] - (ends - many), many) + np.arange(int(many.sum()))]
@@ -77,10 +92,13 @@ class WordIds:
 
 
 class Cutter:
-    """Cuts texts between neighbouring characters whose kinds don't join; ``kinds`` has the kind of every code point."""
+    """Cuts texts between neighbouring characters whose kinds don't join; ``kinds`` has the kind of every code point.
+
+    With ``lower``, A-Z become a-z in the parts.
+    """
 
-    def __init__(self, kinds: np.ndarray, joined: np.ndarray):
-        self.kinds, self.width, self.cuts = kinds, len(joined), ~joined.reshape(-1)
+    def __init__(self, kinds: np.ndarray, joined: np.ndarray, lower: bool = False):
+        self.kinds, self.width, self.cuts, self.lower = kinds, len(joined), ~joined.reshape(-1), lower
 
     def __call__(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
         """The parts of all texts in turn, and how many each text has; an empty text has none."""
@@ -97,7 +115,7 @@ class Cutter:
             return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
         wide = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         offsets = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)[bounds - 1])).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        words = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(offsets), pa.py_buffer(whole.encode().lower() if self.lower else whole.encode()))
         return words, np.diff(np.concatenate(([0], np.searchsorted(bounds, ends, "right") * (ends > 0))))
 
 
