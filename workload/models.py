@@ -292,7 +292,7 @@ def error_summary(spark, folder):
 @query("worst_areas", "area:i residual:d side:s", ML_SQL + """,
        g AS (SELECT area, residual FROM rp WHERE model = 'group_mean')---
        SELECT area, residual, 'underpredicted' AS side FROM (FROM g ORDER BY residual DESC, area LIMIT 15)
-       UNION ALL SELECT area, residual, 'overpredicted' FROM (FROM g ORDER BY residual, area LIMIT 15)""", digits=3)
+       UNION ALL SELECT area, residual, 'overpredicted' FROM (FROM g ORDER BY residual, area LIMIT 15)""")
 def worst_areas(spark, folder):
     rows = predictions(spark, folder).where("model = 'group_mean'").select("area", "residual")
     return ml.worst_areas(rows, ["area"])
