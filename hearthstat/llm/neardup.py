@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ WORDS = 5
 PERCENT = 80
 TOKENS = 64
 TREES = 16
+RECALL = 0.99
 SMALL = 256
 THIN = 16
 CHUNK = 1_000_000
@@ -103,26 +105,86 @@ def _compare(nodes: DataFrame, least: int, tokens: int) -> DataFrame:
     return nodes.mapInArrow(run, "a long, b long")
 
 
+def fresh_tokens(sets: DataFrame, ids: DataFrame, tokens: int, turn: int) -> DataFrame:
+    """(rep, tokens): minwise tokens of the sets named, by hash functions of this round alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [minwise(np.frombuffer(s.as_py(), np.uint64), tokens, turn).view(np.int32) for s in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(least, pa.list_(pa.int32()))], ["rep", "tokens"])
+
+    some = sets.where(F.octet_length("set") > 0).join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    return some.mapInArrow(run, "rep long, tokens array<int>").distinct()
+
+
+def missed(share: float, tokens: int, least: int, picks: list[int], depth: int) -> float:
+    """The chance that a pair as similar as ``share`` meets in no tree of a round, if its nodes branch ``depth`` times at most.
+
+    ``picks`` says how many positions each root picked. The tokens of a pair agree in a binomial number of positions, the
+    same in all trees of the round; given that, trees are independent branching processes.
+    """
+    agree = range(tokens + 1)
+    chance = np.array([math.comb(tokens, m) * share**m * (1 - share) ** (tokens - m) for m in agree])
+    pick, lost = min(1.0, 1 / (share * tokens)), np.zeros(tokens + 1)
+    for _ in range(depth):
+        lost = (1 - pick + pick * lost) ** np.arange(tokens + 1)
+    none = np.ones(tokens + 1)
+    for k in picks:
+        none *= sum(np.array([math.comb(m, j) * math.comb(tokens - m, k - j) / math.comb(tokens, k) for m in agree]) * lost**j for j in range(k + 1))
+    none[:least] = 1
+    return float((chance * none).sum())
+
+
 def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: int = TOKENS, trees: int = TREES,
-          small: int = SMALL, thin: int = THIN) -> DataFrame:
+          small: int = SMALL, thin: int = THIN, recall: float = RECALL) -> DataFrame:
     """Confirmed links that connect what is similar: (a, b) from representatives (rep, tokens).
 
-    Every tree branches from its root: a node picks token positions, each with probability 1 / (similarity x positions),
-    and a document goes to one child per picked position, named by its token there. A pair as similar as the threshold
-    keeps one common child on average at each step. Nodes of up to ``small`` documents compare all their pairs by tokens,
-    in a larger node all compare with one random member; what may be similar is confirmed on the full sets. After each step
-    the components of all links so far are known, and pairs inside a component need no comparison any more, in any tree. A
-    node with up to ``thin`` documents outside its largest component compares those with all; any other node that holds
-    two components or more branches on. So a large group of near copies costs a few comparisons for each of its documents,
-    and nothing is capped.
+    Every tree branches from its root, which picks one token position or more: a node picks positions, each with probability
+    1 / (similarity x positions), and a document goes to one child per picked position, named by its token there. A pair as
+    similar as the threshold keeps one common child on average at each step. Nodes of up to ``small`` documents compare all
+    their pairs by tokens, in a larger node all compare with one random member; what may be similar is confirmed on the full
+    sets. After each step the components of all links so far are known, and pairs inside a component need no comparison any
+    more, in any tree. A node with up to ``thin`` documents outside its largest component compares those with all; any other
+    node that holds two components or more branches on. So a large group of near copies costs a few comparisons for each of
+    its documents, and nothing is capped.
+
+    The chance that a pair at the threshold meets nowhere grows with the depth of its nodes. It is computed for the depth
+    that each document has seen; documents for which it exceeds 1 - ``recall`` get another round of ``trees`` trees with
+    fresh tokens, until it does for none. ``trees`` grows in the first round if small nodes need it.
     """
     share = percent / 100
     least = max(1, math.floor(tokens * share - 4 * math.sqrt(tokens * share * (1 - share))))
-    rng = np.random.default_rng(11)
-    picks = [(t, i) for t in range(trees) for i in np.flatnonzero(rng.random(tokens) < 1 / (share * tokens)).tolist()]
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(i), F.col("tokens")[i]) for t, i in picks]))
-    level = reps.select(roots.alias("node"), "rep", F.col("rep").alias("cls"))
-    linked = sets = parts = None
+    linked = sets = parts = seen = None
+    rounds, deepest = [], 0
+    if (1 - share) ** tokens >= 1 - recall:
+        raise ValueError(f"{tokens} tokens cannot reach a recall of {recall}")
+    while True:
+        rng = np.random.default_rng(11 + len(rounds))
+        roots = []
+        while len(roots) < trees or not rounds and missed(share, tokens, 0, [len(r) for r in roots], 0) > 1 - recall:
+            roots.append(rng.choice(tokens, min(tokens, int(1 / share + rng.random())), replace=False).tolist())
+        rounds.append([len(r) for r in roots])
+        linked, sets, parts, depths = _round(reps, docs, words, percent, tokens, len(rounds) - 1, roots, small, thin, least, linked, sets, parts)
+        deepest = max(deepest, len(depths))
+        if not depths:
+            return linked
+        steps = [d.select("rep", F.lit(i + 1).alias("depth")) for i, d in enumerate(depths)] + ([] if seen is None else [seen])
+        seen = stage(reduce(DataFrame.unionByName, steps).groupBy("rep").agg(F.max("depth").alias("depth")), "depths")
+        enough = next((d for d in range(deepest, 0, -1) if math.prod(missed(share, tokens, least, r, d) for r in rounds) <= 1 - recall), 0)
+        if enough == deepest:
+            return linked
+        reps = stage(fresh_tokens(sets, seen.where(F.col("depth") > enough), tokens, len(rounds)), "reps")
+
+
+def _round(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: int, turn: int, roots: list[list[int]], small: int, thin: int,
+           least: int, linked: DataFrame | None, sets: DataFrame | None, parts: DataFrame | None) -> tuple:
+    """One round of trees: all links so far, the sets, components, and who was in a node that branched, step by step."""
+    picks = F.explode(F.array(*[F.xxhash64(F.lit(turn), F.lit(t), F.lit(i), F.col("tokens")[i]) for t, r in enumerate(roots) for i in r]))
+    level = reps.select(picks.alias("node"), "rep")
+    if parts is None:
+        level = level.withColumn("cls", F.col("rep"))
+    else:
+        level = level.join(parts, F.col("rep") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "rep").alias("cls"))
+    depths = []
     while True:
         classes = level.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("l"))
         sizes = classes.groupBy(F.col("node").alias("_node")).agg(
@@ -149,9 +211,10 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: in
         fresh = parts is None or not sure.isEmpty()
         linked = sure if linked is None else linked.unionByName(sure)
         if large.isEmpty():
-            return linked
+            return linked, sets, components(linked) if fresh else parts, depths
+        depths.append(large)
         parts = components(linked) if fresh else parts
-        chance = int(2**20 / (share * tokens))
+        chance = int(2**20 * 100 / (percent * tokens))
         kids = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.when(
             F.pmod(F.xxhash64(F.lit("pick"), F.col("node"), i), F.lit(2**20)) < chance, F.xxhash64(F.col("node"), i, F.get("tokens", i)))),
             lambda x: x.isNotNull())
@@ -160,13 +223,13 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: in
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tokens: int = TOKENS, trees: int = TREES,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                    doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that id).
 
     Documents are linked if 100 x common shingles >= percent x all shingles of both; shingles are runs of ``words`` words,
     lower-cased in A-Z, and fewer words are one shingle. Equal sets are one representative, so copies cost nothing after
-    one grouping. Links are confirmed on full sets; trees are independent, so a pair is missed with a chance that falls
-    exponentially with their number.
+    one grouping. Links are confirmed on full sets; trees are added until a pair at the threshold is missed with a computed
+    chance of 1 - ``recall`` or less.
 
     NULL and empty texts have no shingles, link with nothing and are kept. Rows that repeat an id count as one document in
     the links. Rows without an id link with nothing but equal sets: they get the component of those, and are not kept. An
@@ -176,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     known = stage(sketches(plain, words, tokens), "sketches")
     reps = known.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     reps = stage(reps.where("rep is not null"), "reps")
-    parts = components(links(reps.select("rep", "tokens"), plain, words, percent, tokens, trees))
+    parts = components(links(reps.select("rep", "tokens"), plain, words, percent, tokens, trees, recall=recall))
     named = reps.select(F.col("key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("id"), "left")
     named = named.select("_key", F.coalesce("component", "rep").alias("_component"))
     joined = known.join(named, (F.col("key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")

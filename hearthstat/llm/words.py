@@ -199,9 +199,9 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def minwise(found: np.ndarray, size: int) -> np.ndarray:
-    """``size`` minimum hash values of a set that is not empty, 32 bits each."""
-    masks, factors = _seeds(size, 4), _seeds(size, 5)
+def minwise(found: np.ndarray, size: int, turn: int = 0) -> np.ndarray:
+    """``size`` minimum hash values of a set that is not empty, 32 bits each; every ``turn`` has hash functions of its own."""
+    masks, factors = _seeds(size, 4 + 2 * turn), _seeds(size, 5 + 2 * turn)
     least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(found), 4096):
         least = np.minimum(least, ((found[a:a + 4096, None] ^ masks) * factors).min(0))

@@ -326,3 +326,34 @@ def test_pipeline_stages(spark):
     last = counts["pieces"][1].collect()
     texts = {r.doc_id: r.text for r in taken.collect()}
     assert len(last) == taken.count() and all(r.decoded == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in last)
+
+
+# Recall of near duplicates
+
+
+@pytest.mark.parametrize("depth, trees", [(1, 16), (20, 16), (12, 8)])
+def test_rounds_reach_their_recall(docs, spark, monkeypatch, depth, trees):
+    """Rounds of trees go on until a pair at the threshold is missed with a chance of 0.01 at most, and no root is empty."""
+    rows = [(i, " ".join(f"w{k}" for k in range(40) if k != i), "a") for i in range(4)]
+    plain = docs(rows).select("doc_id", "text")
+    known = neardup.sketches(plain, 3).select(F.col("doc_id").alias("rep"), "tokens")
+    sets = neardup.shingle_sets(plain, plain.select("doc_id"), 3)
+    asked, given = [], []
+
+    def one(reps, *rest):
+        asked.append(rest[5])
+        given.append({tuple(r.tokens) for r in reps.collect()})
+        return plain, sets, None, [reps.select("rep")] * depth
+
+    monkeypatch.setattr(neardup, "_round", one)
+    neardup.links(known, plain, 3, 85, trees=trees)
+    assert all(len(r) > 0 for roots in asked for r in roots) and not set.intersection(*given) or len(given) == 1
+    lost = [neardup.missed(0.85, 64, 0, [len(r) for r in roots], depth) for roots in asked]
+    assert np.prod(lost) <= 0.01 and (len(lost) == 1 or np.prod(lost[:-1]) > 0.0099)
+
+
+def test_missed_follows_depth_and_picks():
+    for picks in ([1] * 16, [2] * 16):
+        lost = [neardup.missed(0.85, 64, 1, picks, d) for d in (0, 10, 20, 40)]
+        assert lost[0] < 1e-6 and sorted(lost) == lost and lost[3] > 0.2
+    assert neardup.missed(0.85, 64, 1, [1] * 10 + [0] * 6, 20) > neardup.missed(0.85, 64, 1, [1] * 16, 20)
