@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,23 +44,24 @@ def nodes(distinct: DataFrame) -> DataFrame:
     return distinct.select("rep", "vector").mapInArrow(run, "rep long, half binary")
 
 
-def first_graph(known: DataFrame, size: int, tables: int, seed: int) -> DataFrame:
+def first_graph(known: DataFrame, size: int, tables: int, seed: int, count: int) -> DataFrame:
     """Edges (u, v, sim) to start from: in several random orders, every vector and the next few.
 
-    An order sorts by the signs of random projections, then by one more projection. It is dealt by range, so a task holds a
-    stretch of it.
+    An order sorts by the signs of random projections, as many as leave about ``REACH`` of the ``count`` vectors with equal
+    signs, then by one more projection. It is dealt by range, so a task holds a stretch of it.
     """
     spark = known.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(40, max(1, math.ceil(math.log2(max(2, count) / REACH))))
     made = None
     for k in range(tables):
-        planes = np.random.default_rng(seed + k).standard_normal((size, 11)).astype(np.float32)
+        planes = np.random.default_rng([seed, k]).standard_normal((size, bits + 1)).astype(np.float32)
 
         def place(batches: Iterator[pa.RecordBatch], planes: np.ndarray = planes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     side = _from_halves(batch.column("half")) @ planes
-                    code = ((side[:, :-1] > 0) * (1 << np.arange(10))).sum(1)
+                    code = ((side[:, :-1] > 0) * (1 << np.arange(bits))).sum(1)
                     yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("half"), pa.array(code * 100.0 + side[:, -1])], ["rep", "half", "at"])
 
         def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +92,7 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("_r") <= k).drop("_r")
 
 
-def descend(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
+def descend(lists: DataFrame, known: DataFrame, k: int, least: float = LEAST, turn: int = 0) -> DataFrame:
     """Edges that neighbours of neighbours bring: all who have a vector in common compare, if one of them is new there.
 
     The forward and backward neighbours of a vector meet in groups of about ``JOIN``, so a vector that very many have as
@@ -98,7 +101,7 @@ def descend(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
     around = lists.select(F.col("u").alias("w"), F.col("v").alias("x"), "new").unionByName(lists.select(F.col("v").alias("w"), F.col("u").alias("x"), "new"))
     around = around.groupBy("w", "x").agg(F.max("new").alias("new"))
     sizes = around.groupBy(F.col("w").alias("_w")).agg(F.count(F.lit(1)).alias("_n"), F.max("new").alias("_any")).where("_any")
-    around = around.join(sizes, F.col("w") == F.col("_w")).withColumn("part", F.pmod(F.xxhash64("x", "w"), F.ceil(F.col("_n") / JOIN)))
+    around = around.join(sizes, F.col("w") == F.col("_w")).withColumn("part", F.pmod(F.xxhash64("x", "w", F.lit(turn)), F.ceil(F.col("_n") / JOIN)))
     full = lists.groupBy(F.col("u").alias("_u")).agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-2.0).cast("float").alias("worst"))
     rows = known.join(full, F.col("rep") == F.col("_u"), "left").select("rep", "half", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
     groups = around.join(rows, F.col("x") == F.col("rep")).groupBy("w", "part").agg(F.collect_list(F.struct("x", "new", "worst", "half")).alias("all"))
@@ -115,7 +118,7 @@ def descend(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
                 np.fill_diagonal(sims, -3)
                 better = (sims > worst[a:b, None]) & (new[a:b, None] | new[None, a:b])
                 floor = np.partition(sims, -min(6, b - a), axis=1)[:, -min(6, b - a)]
-                i, j = np.nonzero(better & ((sims >= floor[:, None]) | (sims >= LEAST - SLACK)))
+                i, j = np.nonzero(better & ((sims >= floor[:, None]) | (sims >= least - SLACK)))
                 u.append(ids[a + i])
                 v.append(ids[a + j])
                 s.append(sims[i, j])
@@ -144,38 +147,139 @@ def audit(known: DataFrame, least: float, count: int = AUDIT) -> dict[int, int]:
     return {r[0]: r[1] for r in counted}
 
 
-def candidate_edges(distinct: DataFrame, least: float = LEAST, k: int = NEIGHBOURS, recall: float = RECALL) -> DataFrame:
-    """Edges (u, v) of the neighbour graph that may reach ``least``, after as many rounds as the audit asks for.
+def plant(known: DataFrame, least: float, lonely: list[int]) -> tuple[DataFrame, dict[int, int]]:
+    """The nodes and, beside the ones named, one more node each just above the threshold; and (planted: its partner).
 
-    After each round the lists of a sample are held against its true links. If ``ROUNDS`` rounds don't reach ``recall``,
-    all lists are enlarged and get new random orders.
+    The audit names the vectors of its sample that have no link, so it is not empty however rare links are.
     """
-    known = stage(nodes(distinct), "nodes")
-    row = known.select(F.max(F.octet_length("half"))).first()[0]
+    spark = known.sparkSession
+    sample = known.where(F.col("rep").isin(lonely)).toArrow() if lonely else None
+    if sample is None:
+        return known, {}
+    rng = np.random.default_rng(17)
+    rows = _from_halves(sample.column("half").combine_chunks()).astype(float)
+    aside = rng.standard_normal(rows.shape)
+    aside -= rows * ((aside * rows).sum(1) / (rows * rows).sum(1))[:, None]
+    cosines = rng.uniform(least, least + (1 - least) / 4, len(rows))
+    norms = np.sqrt((aside * aside).sum(1))
+    aside /= np.where(norms > 1e-6, norms, 1)[:, None]
+    made = units(cosines[:, None] * units(rows) + np.sqrt(1 - cosines**2)[:, None] * aside)
+    while True:
+        first = int(rng.integers(-2**62, 2**62))
+        if known.where(F.col("rep").between(first, first + len(rows))).isEmpty():
+            break
+    names = [first + i for i in range(len(rows))]
+    planted = spark.createDataFrame([(i, r.astype(np.float16).tobytes()) for i, r in zip(names, made, strict=True)], "rep long, half binary")
+    return known.unionByName(planted), dict(zip(names, sample.column("rep").to_pylist(), strict=True))
+
+
+def candidate_edges(distinct: DataFrame, least: float = LEAST, k: int = NEIGHBOURS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of the neighbour graph that may reach ``least``, and the nodes (rep) whose lists are full of such edges.
+
+    After each round the lists of a sample are held against its true links, or a planted one where it has none, so the audit is
+    never empty. While lists change by a twentieth or more the descent goes on; otherwise twice as many new random orders as
+    before are added, until both reach ``recall``.
+    """
+    single = stage(nodes(distinct), "nodes")
+    truth = audit(single, least)
+    known, partner = plant(single, least, [i for i, n in truth.items() if not n])
+    known = stage(known, "planted")
+    row, count = known.select(F.max(F.octet_length("half")), F.count(F.lit(1))).first()
     size = (row or 0) // 2
-    truth = audit(known, least)
-    lists, turn = None, 0
+    lists, turn, tables, fresh = None, 0, TABLES, True
     while True:
-        if turn % ROUNDS == 0:
-            start = first_graph(known, size, TABLES, 100 + turn).withColumn("new", F.lit(True))
-            k = k if turn == 0 else 2 * k
-            start = start if lists is None else start.unionByName(lists)
+        if fresh:
+            start = first_graph(known, size, tables, 100 + turn, count).withColumn("new", F.lit(True))
+            start = start if lists is None else start.where(F.col("sim") >= least - SLACK).unionByName(lists.withColumn("new", F.lit(False)))
+            tables *= 2
         else:
-            start = descend(lists, known, k).withColumn("new", F.lit(True)).unionByName(lists.withColumn("new", F.lit(False)))
+            start = descend(lists, known, k, least, turn).withColumn("new", F.lit(True)).unionByName(lists.withColumn("new", F.lit(False)))
         lists = stage(best(start, k), "lists")
         turn += 1
-        seen = {r[0]: r[1] for r in lists.where(F.col("u").isin(list(truth)) & (F.col("sim") >= least)).groupBy("u").count().collect()} if truth else {}
-        hits, links = sum(min(seen.get(i, 0), n, k) for i, n in truth.items()), sum(min(n, k) for n in truth.values())
-        if turn >= ROUNDS and hits >= recall * links:
+        if turn < ROUNDS:
+            fresh = False
+            continue
+        asked = [*truth, *partner]
+        near = lists.where(F.col("u").isin(asked) & (F.col("sim") >= least - SLACK)).select("u", "v", "sim").collect() if asked else []
+        own, lengths, seen = {(r.u, r.v) for r in near}, Counter(r.u for r in near), Counter()
+        for r in near:
+            if r.sim >= least and (r.v not in partner or lengths[r.u] >= k):
+                seen[r.u] += 1
+        hits, links = sum(min(seen[i], n, k) for i, n in truth.items()), sum(min(n, k) for n in truth.values())
+        # A full list may leave a partner out; what is saturated is compared whole afterwards.
+        met = sum((i, j) in own or (j, i) in own or lengths[i] >= k and lengths[j] >= k for i, j in partner.items())
+        if hits >= recall * links and met >= recall * len(partner):
             break
-    return lists.where(F.col("sim") >= least - SLACK).select("u", "v")
+        total, changed = lists.agg(F.count(F.lit(1)), F.sum(F.col("new").cast("long"))).first()
+        fresh = 20 * (changed or 0) < total or turn % ROUNDS == 0
+    lists = lists.where(F.col("sim") >= least - SLACK)
+    full = lists.groupBy(F.col("u").alias("rep")).count().where(F.col("count") >= k).select("rep")
+    real = lists.where(~F.col("u").isin([*partner]) & ~F.col("v").isin([*partner])) if partner else lists
+    return real.select("u", "v"), full.where(~F.col("rep").isin([*partner])) if partner else full
+
+
+def cross_links(distinct: DataFrame, parts: DataFrame, full: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between different components of vectors whose lists are full, one at least for each two blocks that have any.
+
+    A link that no list holds has two full lists as ends. So these vectors are cut into blocks inside their components; two
+    blocks are compared, exactly and in double precision, unless the angles of their centres and radii rule out every link.
+    """
+    rows = distinct.join(full.withColumnRenamed("rep", "_full"), F.col("rep") == F.col("_full"), "left_semi").join(parts, F.col("rep") == F.col("id"))
+    sized = rows.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(sized, F.col("component") == F.col("_c")).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / BLOCK)))
+    blocks = stage(rows.groupBy("component", "block").agg(F.collect_list(F.struct("rep", "vector")).alias("rows")), "full")
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mids, radii = [], []
+            for n in range(batch.num_rows):
+                x = units(matrix(batch.column("rows")[n].values.field(1)))
+                mid = x.sum(0)
+                norm = np.sqrt((mid * mid).sum())
+                mid = mid / norm if norm > 1e-9 else x[0]
+                mids.append(mid.tolist())
+                radii.append(float(np.arccos(np.clip(x @ mid, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("block"), pa.array(mids, pa.list_(pa.float64())), pa.array(radii, pa.float64())],
+                                             ["component", "block", "mid", "radius"])
+
+    spread = blocks.mapInArrow(outline, "component long, block long, mid array<double>, radius double")
+    packs = spread.withColumn("pack", F.pmod(F.xxhash64("component", "block"), F.lit(max(1, blocks.count() // 1024))))
+    packs = stage(packs.groupBy("pack").agg(F.collect_list(F.struct("component", "block", "mid", "radius")).alias("all")), "packs")
+    wide = math.acos(max(-1.0, min(1.0, least))) + 1e-6
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                p, q = (batch.column(c)[n].values for c in ("p", "q"))
+                gap = np.arccos(np.clip(matrix(p.field(2)) @ matrix(q.field(2)).T, -1, 1))
+                c, d = p.field(0).to_numpy(), q.field(0).to_numpy()
+                i, j = np.nonzero((gap <= wide + p.field(3).to_numpy()[:, None] + q.field(3).to_numpy()) & (c[:, None] < d))
+                yield pa.RecordBatch.from_arrays([pa.array(c[i]), p.field(1).take(pa.array(i)), pa.array(d[j]), q.field(1).take(pa.array(j))], ["c", "i", "d", "j"])
+
+    pairs = packs.select(F.col("all").alias("p")).crossJoin(packs.select(F.col("all").alias("q"))).mapInArrow(close, "c long, i long, d long, j long")
+    left = blocks.select(F.col("component").alias("c"), F.col("block").alias("i"), F.col("rows").alias("a"))
+    right = blocks.select(F.col("component").alias("d"), F.col("block").alias("j"), F.col("rows").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_ids, b_ids = [], []
+            for n in range(batch.num_rows):
+                a, b = (batch.column(c)[n].values for c in ("a", "b"))
+                near = units(matrix(a.field(1))) @ units(matrix(b.field(1))).T >= least
+                if near.any():
+                    x, y = np.unravel_index(near.argmax(), near.shape)
+                    a_ids.append(a.field(0)[int(x)].as_py())
+                    b_ids.append(b.field(0)[int(y)].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
+
+    return pairs.join(left, ["c", "i"]).join(right, ["d", "j"]).select("a", "b").mapInArrow(compare, "a long, b long")
 
 
 def link_counts(distinct: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """(rep, others): how many vectors of its component each representative links with, exactly, in double precision.
 
-    This enlarges the lists of the saturated at once: whatever links lies in one component, and a component is compared
-    with itself in blocks, of which only counts come back. Copies count by their number.
+    This enlarges the lists of the saturated at once: after ``cross_links`` whatever links lies in one component, and a
+    component is compared with itself in blocks, of which only counts come back. Copies count by their number.
     """
     sized = parts.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     rows = parts.join(sized, F.col("component") == F.col("_c")).join(distinct, F.col("id") == F.col("rep"))
@@ -202,15 +306,16 @@ def near_vectors(df: DataFrame, least: float = LEAST, k: int = NEIGHBOURS, vec_i
     """One row per vector: vec_id, n_links, component_id (smallest id reachable by links), kept (it is that id).
 
     Two vectors link if their cosine in double precision is ``least`` or more. Equal vectors are one node with a number of
-    copies. NN-descent finds the neighbour graph, its edges near the threshold are confirmed on the original vectors, and
-    the links inside each component are counted exactly.
+    copies. NN-descent finds the neighbour graph, its edges near the threshold are confirmed on the original vectors,
+    vectors with full lists are compared across components, and the links inside each component are counted exactly.
 
     Vectors that are NULL, zero, or hold NULL or non-finite components link with nothing and are kept. Rows without an id
     link with nothing and are not kept. Rows that repeat an id and a vector count as copies. An empty table gives no rows.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     distinct = stage(distinct_vectors(rows, "vec_id", "vector"), "distinct", "lz4")
-    edges = candidate_edges(distinct, least, k).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    found, full = candidate_edges(distinct, least, k)
+    edges = found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     one, two = (distinct.select(F.col("rep").alias(c), F.col("vector").alias(f"vec_{c}")) for c in ("a", "b"))
 
     @F.arrow_udf("boolean")
@@ -219,7 +324,9 @@ def near_vectors(df: DataFrame, least: float = LEAST, k: int = NEIGHBOURS, vec_i
         return pa.array((p * q).sum(1) >= least) if len(x) else pa.array([], pa.bool_())
 
     sure = edges.join(one, "a").join(two, "b").where(linked("vec_a", "vec_b")).select("a", "b")
+    sure = stage(sure, "sure")
     parts = stage(components(sure), "parts")
+    parts = stage(components(sure.unionByName(cross_links(distinct, parts, full, least))), "parts")
     counts = link_counts(distinct, parts, least)
     known = distinct.join(parts, F.col("rep") == F.col("id"), "left").join(counts.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left")
     known = known.select(F.col("vector").alias("_vector"), F.coalesce("component", "rep").alias("_component"),

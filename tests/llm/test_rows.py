@@ -103,6 +103,40 @@ def test_nn_descent_finds_all_links(spark):
     assert nndescent.near_vectors(df.limit(0)).count() == 0
 
 
+def linked_pairs(x, least=0.9):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_links_between_saturated_families(spark):
+    """Two families whose members all have nearer neighbours of their own than those of the other family."""
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(64)
+    aside = rng.standard_normal(64)
+    aside -= one * (aside @ one) / (one @ one)
+    two = 0.905 * one + np.sqrt(1 - 0.905**2) * aside * np.linalg.norm(one) / np.linalg.norm(aside)
+    rows = np.array([c + 0.2 * rng.standard_normal(64) for c in (one, two) for _ in range(200)]).astype(np.float32).astype(float)
+    near = linked_pairs(rows)
+    assert near[:200, 200:].any()
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in nndescent.near_vectors(df).collect()}
+    assert [got[i].n_links for i in range(400)] == near.sum(1).tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
+def test_rare_links_are_found(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.standard_normal((6_000, 64))
+    aside = rng.standard_normal((60, 64))
+    rows[:60] = 0.92 * rows[60:120] + np.sqrt(1 - 0.92**2) * aside
+    rows = rows.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    want = int(linked_pairs(rows).sum())
+    assert nndescent.near_vectors(df).agg({"n_links": "sum"}).first()[0] >= 0.95 * want > 50
+
+
 def test_search_recall_ties_and_odd_rows(spark):
     df, vecs = clustered(spark, 4)
     got = ann.search(df, df.where("vec_id % 10 = 0")).toPandas()
