@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import ann, chat, divergence, mixing, neardup, nndescent, periodic, pieces, secrets, tokenfile, toxicity, warc
+from hearthstat.llm import ann, chat, divergence, mixing, neardup, nndescent, periodic, pieces, secrets, suffix, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,3 +283,11 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 @query("op13_source_divergence", DIVERGENCE_SQL)
 def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op11_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
