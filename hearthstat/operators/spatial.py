@@ -1,7 +1,7 @@
 """Points and polygons on built-in expressions (inventory J15, J16, area and centroid of D14).
 
 Polygons enter as vertex rows (poly_id, ring, seq, x, y) and become one row with an edge array. Candidates are found by
-bounding boxes; an outline meets only the points whose box test it passed.
+bounding boxes in a hierarchy of grids; an outline meets only the points whose box test it passed.
 """
 
 from __future__ import annotations
@@ -68,53 +68,83 @@ def outline_distance(edges: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(edges, distance))
 
 
-def _cell(c: Column | str, size: Column | float) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("long")
+CROWD = 16
+SPLITS = 6
+KEY = ("_lx", "_ly", "_cx", "_cy")
 
 
-def cell_size(polygons: DataFrame) -> float:
-    """Typical polygon extent."""
-    row = polygons.agg(F.avg(_extent())).first()
-    return float(row[0] or 1.0) or 1.0
+def _level(low: str, high: str) -> Column:
+    """Exponent of the narrowest power of two that is as wide as the extent, but not too fine for a whole number of cells."""
+    widest = F.greatest(F.abs(low), F.abs(high))
+    own, least = F.ceil(F.log2(F.col(high) - F.col(low))), F.ceil(F.log2(widest)) - 50  # the logarithm of 0 is NULL
+    return F.coalesce(F.greatest(own, least), F.lit(0)).cast("int")
 
 
-def _extent() -> Column:
-    return F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+def _cell(c: Column, level: Column) -> Column:
+    return F.floor(c * F.pow(F.lit(2.0), -level)).cast("long")
 
 
-def cells(polygons: DataFrame, size: float) -> DataFrame:
-    """The grid cells (_level, _cx, _cy) that each polygon's box touches, with id and box.
-
-    Every polygon lies in the grid whose cells are about as wide as itself, so it touches at most four cells whatever the
-    others' sizes.
-    """
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(_extent() / size, F.lit(1.0))))).cast("int")
-    boxes = polygons.select("poly_id", "min_x", "max_x", "min_y", "max_y", level.alias("_level"))
-    across = boxes.withColumn("_cx", F.explode(F.sequence(_cell("min_x", _width(size)), _cell("max_x", _width(size)))))
-    return across.withColumn("_cy", F.explode(F.sequence(_cell("min_y", _width(size)), _cell("max_y", _width(size)))))
+def _covering(boxes: DataFrame) -> DataFrame:
+    """Boxes with each cell of their levels that they touch."""
+    def cells_of(axis: str) -> Column:
+        level = F.col(f"_l{axis}")
+        first, last = (_cell(F.col(f"{end}_{axis}"), level) for end in ("min", "max"))
+        if f"_c{axis}" in boxes.columns:  # parts of a cell that was split: two at most along each axis
+            half = F.col(f"_c{axis}") * 2
+            first, last = F.greatest(first, half), F.least(last, half + 1)
+        return F.explode(F.sequence(first, last))
 
+    held = [c for c in boxes.columns if c not in ("_cx", "_cy")]
+    across = boxes.select(*held, *([F.col("_cy")] if "_cy" in boxes.columns else []), cells_of("x").alias("_nx"))
+    return across.select(*held, F.col("_nx").alias("_cx"), cells_of("y").alias("_ny")).withColumnRenamed("_ny", "_cy")
 
-def _width(size: float) -> Column:
-    return F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
 
+def cells(polygons: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The cells (_lx, _ly, _cx, _cy) of a hierarchy of grids that cover each polygon's box, with id and box.
 
-def _candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """(x, y, poly_id) where a polygon's bounding box holds the point; a point asks each grid in use once."""
-    table = cells(polygons, size)
-    levels = sorted(r[0] for r in table.select("_level").distinct().collect())  # one per doubling of extent
-    asked = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels or [0]])))
-    asked = asked.withColumns({"_cx": _cell("x", _width(size)), "_cy": _cell("y", _width(size))})
-    found = asked.join(table, ["_level", "_cx", "_cy"])
-    return found.where("x between min_x and max_x and y between min_y and max_y").select("x", "y", "poly_id")
+    Every polygon lies in the grid whose cells are the narrowest powers of two as wide and as high as its own box, so it
+    touches at most three cells along each axis and no other polygon's size matters. A cell of more than ``crowd`` boxes
+    hands them to its quarters, each box to those it touches, up to ``SPLITS`` times; a quarter is a cell of the grid one
+    level finer. The cells of one polygon never overlap.
+    """
+    edges = ("min_x", "max_x", "min_y", "max_y")
+    boxes = polygons.select("poly_id", *edges, _level("min_x", "max_x").alias("_lx"), _level("min_y", "max_y").alias("_ly"))
+    table = stage(_covering(boxes))
+    for _ in range(SPLITS):
+        crowded = stage(table.groupBy(*KEY).count().where(F.col("count") > crowd).select(*KEY))
+        if crowded.isEmpty():
+            break
+        full = table.join(crowded, [*KEY], "left_semi").withColumns({"_lx": F.col("_lx") - 1, "_ly": F.col("_ly") - 1})
+        table = stage(table.join(crowded, [*KEY], "left_anti").unionByName(_covering(full)))
+    return table
+
+
+def candidates(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Points (x, y) with the boxes of the polygons that share a cell with them, before any test.
+
+    A point asks each grid in use whose boxes reach as far as it; there are as many grids as pairs of extents that differ
+    by doubling, whatever the number of polygons.
+    """
+    table = cells(polygons)
+    reach = [F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")]
+    grids = [tuple(r) for r in table.groupBy("_lx", "_ly").agg(*reach).collect()]
+    names = ("lx", "ly", "min_x", "max_x", "min_y", "max_y")
+    kind = "array<struct<lx:int,ly:int,min_x:double,max_x:double,min_y:double,max_y:double>>"
+    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, g)]) for g in grids]).cast(kind)
+    x, y = F.col("x"), F.col("y")
+    near = F.filter(known, lambda g: x.between(g["min_x"], g["max_x"]) & y.between(g["min_y"], g["max_y"]))
+    asked = points.withColumn("_g", F.explode(near)).select(*points.columns, F.col("_g.lx").alias("_lx"), F.col("_g.ly").alias("_ly"))
+    asked = asked.withColumns({"_cx": _cell(x, F.col("_lx")), "_cy": _cell(y, F.col("_ly"))})
+    return asked.join(table, [*KEY])
 
 
-def within(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
+def within(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Points (x, y) with the polygon they lie in; NULL outside all, several rows on overlap.
 
-    Outlines join only the candidates whose box holds the point, by polygon id.
+    Only ids and boxes meet in the cells. Outlines join the candidates whose box holds the point, by polygon id.
     """
-    size = size or cell_size(polygons)
-    pairs = _candidates(points.select("x", "y").where("x is not null and y is not null").distinct(), polygons, size)
+    asked = candidates(points.select("x", "y").where("x is not null and y is not null").distinct(), polygons)
+    pairs = asked.where("x between min_x and max_x and y between min_y and max_y").select("x", "y", "poly_id")
     hits = pairs.join(polygons.select("poly_id", "edges"), "poly_id").where(contains(F.col("edges"), F.col("x"), F.col("y")))
     hits = hits.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "poly_id")
     return points.join(hits, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_x", "_y")
@@ -136,38 +166,81 @@ def _closest(rows: DataFrame, point_id: str) -> DataFrame:
     return kept.where(F.col("_near") <= F.col("_bound") * (1 + 1e-12)).drop("_near", "_far", "_bound")
 
 
-def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float | None = None) -> DataFrame:
+DEPTH, STEP = 48, 12
+LEAF = 8
+NODE = ("_l", "_cx", "_cy")
+
+
+def tree(polygons: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes of a quadtree over the middles of the polygons' boxes, the polygons with their leaves, and its depth.
+
+    A node has the box around all polygons below it. It has children if more than ``leaf`` polygons lie in it, so the tree
+    is as deep as the polygons are dense at a place, and a leaf holds few of them unless their middles all but coincide
+    (``DEPTH`` halvings of the whole). One aggregate counts the polygons in the nodes of ``STEP`` levels; only those that
+    are still crowded there take part in the next ones.
+    """
+    edges = ("min_x", "max_x", "min_y", "max_y")
+    x, y = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
+    low_x, high_x, low_y, high_y = polygons.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    side = max(high_x - low_x, high_y - low_y) if low_x is not None else 0.0
+    most = (1 << DEPTH) - 1
+
+    def part(c: Column, low: float | None) -> Column:
+        return F.least(F.lit(most), F.floor((c - (low or 0.0)) / (side or 1.0) * (most + 1))).cast("long")
+
+    def place(c: str, level: Column) -> Column:
+        return F.call_function("shiftright", c, F.lit(DEPTH) - level)
+
+    left = polygons.select("poly_id", *edges, part(x, low_x).alias("_px"), part(y, low_y).alias("_py"))
+    nodes = leaves = None
+    for start in range(0, DEPTH + 1, STEP):
+        end = min(start + STEP, DEPTH + 1)
+        paths = left.withColumn("_l", F.explode(F.array(*[F.lit(i) for i in range(start, end)])))
+        paths = paths.withColumns({"_cx": place("_px", F.col("_l")), "_cy": place("_py", F.col("_l"))})
+        counted = paths.groupBy(*NODE).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
+            F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
+        full = counted.where(F.col("_n") > leaf).select((F.col("_l") + 1).alias("_ul"), F.col("_cx").alias("_ux"), F.col("_cy").alias("_uy"))
+        up = (F.col("_l") == F.col("_ul")) & (F.shiftright("_cx", 1) == F.col("_ux")) & (F.shiftright("_cy", 1) == F.col("_uy"))
+        kept = counted.join(full, up, "left").where((F.col("_l") == start) | F.col("_ul").isNotNull())
+        ends = (F.col("_n") <= leaf) | (F.col("_l") == DEPTH)
+        kept = stage(kept.select(*NODE, *edges, ends.alias("_leaf")))
+        found = stage(paths.join(kept.where("_leaf").select(*NODE), [*NODE]).select("poly_id", *edges, *NODE))
+        nodes, leaves = (kept, found) if nodes is None else (nodes.unionByName(kept), leaves.unionByName(found))
+        crowded = kept.where(~F.col("_leaf") & (F.col("_l") == end - 1))
+        if end > DEPTH or crowded.isEmpty():
+            break
+        keys = crowded.select("_cx", "_cy")
+        left = stage(left.withColumns({"_cx": place("_px", F.lit(end - 1)), "_cy": place("_py", F.lit(end - 1))}).join(
+            keys, ["_cx", "_cy"], "left_semi").drop("_cx", "_cy"))
+    return nodes, leaves, nodes.agg(F.max("_l")).first()[0] or 0
+
+
+def nearest(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     """Nearest polygon and its distance for every point; ties go to the smaller id.
 
-    The polygons form a tree of grid cells, each polygon in the one cell of its box's middle and every cell with the box
-    around all below it. Points go down the tree together, one join per level: a cell is left out as soon as all of it is
-    farther than the whole of another cell. So a point meets a few cells per level wherever it lies, and only the polygons
-    whose boxes remain are measured by their outlines.
+    All points go down the tree together, one join per level: a node is left out as soon as all of it is farther than the
+    whole of another one. So a point meets a few nodes per level wherever it lies, and only the polygons whose boxes remain
+    are measured by their outlines.
     """
-    size = size or cell_size(polygons)
-    box = polygons.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
     kind = polygons.schema["poly_id"].dataType
     placed = points.where("x is not null and y is not null").select(point_id, "x", "y")
     none = points.select(point_id, F.lit(None).cast(kind).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
-    if box[0] is None:
-        return none
-    depth = max(0, math.ceil(math.log2(max(box[1] - box[0], box[3] - box[2], size) / size)))
-    middle = {"_cx": _cell((F.col("min_x") + F.col("max_x")) / 2 - box[0], size), "_cy": _cell((F.col("min_y") + F.col("max_y")) / 2 - box[2], size)}
+    nodes, leaves, depth = tree(polygons)
     edges = ("min_x", "max_x", "min_y", "max_y")
-    leaves = stage(polygons.select("poly_id", *edges).withColumns(middle))
-    sums = [F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")]
-    levels = [leaves.groupBy("_cx", "_cy").agg(*sums)]
-    for _ in range(depth):
-        up = {c: F.shiftright(c, 1) for c in ("_cx", "_cy")}
-        levels.append(levels[-1].withColumns(up).groupBy("_cx", "_cy").agg(*sums))
-    top = levels[-1].collect()  # at most four cells
-    start = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in top])
-    front = _closest(placed.withColumn("_t", F.explode(start)).select(point_id, "x", "y", "_t.*"), point_id)
-    for level in reversed(levels[:-1]):
-        below = level.withColumns({"_px": F.shiftright("_cx", 1), "_py": F.shiftright("_cy", 1)})
-        parents = front.select(point_id, "x", "y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
-        front = _closest(parents.join(below, ["_px", "_py"]).drop("_px", "_py"), point_id)
-    pairs = _closest(front.select(point_id, "x", "y", "_cx", "_cy").join(leaves, ["_cx", "_cy"]), point_id)
+    root = nodes.where("_l = 0").collect()  # one row, or none without polygons
+    if not root:
+        return none
+    held = (*NODE, *edges, "_leaf")
+    front = placed.select("*", *[F.lit(root[0][c]).alias(c) for c in held])
+    for level in range(1, depth + 1):
+        below = nodes.where(F.col("_l") == level).withColumnsRenamed({c: f"_b{c}" for c in held})
+        down = ~F.col("_leaf") & (F.shiftright("_b_cx", 1) == F.col("_cx")) & (F.shiftright("_b_cy", 1) == F.col("_cy"))
+        joined = front.join(below, down & (F.col("_l") == level - 1), "left")  # leaves found before stay
+        front = _closest(joined.select(point_id, "x", "y", *[F.coalesce(f"_b{c}", c).alias(c) for c in held]), point_id)
+        if level % 4 == 0 and level < depth:
+            front = stage(front)
+    pairs = _closest(front.select(point_id, "x", "y", *NODE).join(leaves, [*NODE]), point_id)
     pairs = pairs.select(point_id, "x", "y", "poly_id").join(polygons.select("poly_id", "edges"), "poly_id")
     x, y, outline = F.col("x"), F.col("y"), F.col("edges")
     gap = F.when(contains(outline, x, y), F.lit(0.0)).otherwise(outline_distance(outline, x, y))
@@ -176,12 +249,11 @@ def nearest(points: DataFrame, polygons: DataFrame, point_id: str, size: float |
     return best.select(point_id, "b.poly_id", "b.distance").unionByName(lost)
 
 
-def locate(points: DataFrame, polygons: DataFrame, point_id: str, size: float | None = None) -> DataFrame:
+def locate(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     """One polygon per point: the one it lies in, else the nearest (J16). Overlaps go to the smaller id."""
-    size = size or cell_size(polygons)
-    inside = within(points, polygons, size).groupBy(point_id, "x", "y").agg(F.min("poly_id").alias("poly_id"))
+    inside = within(points, polygons).groupBy(point_id, "x", "y").agg(F.min("poly_id").alias("poly_id"))
     inside = stage(inside)
-    near = nearest(inside.where("poly_id is null").select(point_id, "x", "y"), polygons, point_id, size)
+    near = nearest(inside.where("poly_id is null").select(point_id, "x", "y"), polygons, point_id)
     hits = inside.where("poly_id is not null").select(
         point_id, "poly_id", F.lit(0.0).alias("distance"), F.lit("within").alias("match_type"))
     return hits.unionByName(near.select(point_id, "poly_id", "distance", F.lit("nearest").alias("match_type")))

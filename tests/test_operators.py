@@ -314,11 +314,55 @@ def test_one_large_polygon_among_many_small_ones(spark):
     squares = {i: (float(x), float(y), 0.01) for i, (x, y) in enumerate(rng.uniform(0, 100, (2000, 2)))} | {2000: (0.0, 0.0, 100.0)}
     vertices = [(k, 0, i, x + dx * s, y + dy * s) for k, (x, y, s) in squares.items() for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
     shapes = spatial.shapes(literal_table(spark, vertices, "poly_id int, ring int, seq int, x double, y double")).cache()
-    assert spatial.cells(shapes, spatial.cell_size(shapes)).count() <= 10 * 2001
+    assert spatial.cells(shapes).count() <= 10 * 2001
     pts = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-5000, 5000, (40, 2)))] + [(99, 50.0, 50.0)]
     got = {r.id: (r.poly_id, r.match_type) for r in spatial.locate(literal_table(spark, pts, "id int, x double, y double"), shapes, "id").collect()}
     assert len(got) == 41 and got[99][1] == "within"
-    assert spatial.within(literal_table(spark, [(1.0, 1.0)], "x double, y double"), shapes.limit(0), 1.0).collect()[0].poly_id is None
+    assert spatial.within(literal_table(spark, [(1.0, 1.0)], "x double, y double"), shapes.limit(0)).collect()[0].poly_id is None
+
+
+def boxes(spark, rows):
+    """Shapes of axis-parallel boxes (id, x, y, width, height)."""
+    vertices = [(k, 0, i, x + dx * w, y + dy * h) for k, x, y, w, h in rows for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+    return spatial.shapes(literal_table(spark, vertices, "poly_id int, ring int, seq int, x double, y double")).cache()
+
+
+def test_candidates_follow_each_polygons_own_extent(spark):
+    rng = np.random.default_rng(9)
+    unit = [(i, float(x), float(y), 1.0, 1.0) for i, (x, y) in enumerate(rng.uniform(0, 200, (2000, 2)))]
+    pts = literal_table(spark, [tuple(map(float, p)) for p in rng.uniform(0, 200, (500, 2))], "x double, y double")
+
+    def most(shapes):
+        rows = spatial.candidates(pts, shapes).groupBy("x", "y").count().agg({"count": "max"}).first()[0]
+        found = {(r.x, r.y, r.poly_id) for r in spatial.within(pts, shapes).where("poly_id is not null").collect()}
+        return rows, found
+
+    rows, found = most(boxes(spark, [*unit, (9999, -4e5, -4e5, 1e6, 1e6)]))
+    assert rows <= 20
+    assert found == {(*p, k) for p in pts.collect() for k, x, y, w, h in [*unit, (9999, -4e5, -4e5, 1e6, 1e6)]
+                     if x <= p[0] < x + w and y <= p[1] < y + h}
+    strips = [(i, 0.0, i * 0.1, 200.0, 0.1) for i in range(2000)]  # as wide as the whole, a point lies in one or two
+    assert most(boxes(spark, strips))[0] <= 20
+    heap = [(i, 190 + 1e-4 * i, 190 + 1e-4 * i, 9.0, 9.0) for i in range(400)]  # all in one corner of the same cells
+    rows, found = most(boxes(spark, heap))
+    far = {(x, y) for x, y, _ in found}
+    held = spatial.candidates(pts, boxes(spark, heap)).groupBy("x", "y").count().collect()
+    assert sum(r["count"] for r in held if (r.x, r.y) not in far) <= 2 * 400
+
+
+def test_nearest_among_crowds_and_far_outliers(spark):
+    rng = np.random.default_rng(10)
+    crowd = [(i, float(x), float(y), 1e-3, 1e-3) for i, (x, y) in enumerate(rng.normal(0, 1e-2, (600, 2)))]
+    same = [(1000 + i, 5.0, 5.0, 0.5, 0.5) for i in range(20)]
+    rows = [*crowd, *same, (2000, 1e6, 1e6, 1.0, 1.0), (2001, -3.0, -3.0, 0.0, 0.0)]
+    nodes, leaves, depth = spatial.tree(boxes(spark, rows))
+    sizes = {r["count"] for r in leaves.groupBy("_l", "_cx", "_cy").count().collect()}
+    assert leaves.count() == len(rows) and max(sizes - {20}) <= 8 and 20 in sizes and depth == spatial.DEPTH
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate([*rng.uniform(-10, 10, (60, 2)), *rng.normal(0, 1e-2, (40, 2)), (9e5, 9e5), (-3.0, -3.0)])]
+    got = {r.id: (r.poly_id, r.distance) for r in spatial.nearest(literal_table(spark, pts, "id int, x double, y double"), boxes(spark, rows), "id").collect()}
+    for i, px, py in pts:
+        gaps = {k: np.hypot(max(x - px, 0, px - x - w), max(y - py, 0, py - y - h)) for k, x, y, w, h in rows}
+        assert got[i][1] == pytest.approx(min(gaps.values()), abs=1e-9) and gaps[got[i][0]] == pytest.approx(min(gaps.values()), abs=1e-9)
 
 
 def test_points_without_coordinates_keep_their_row(spark):
