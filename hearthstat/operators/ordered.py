@@ -1,9 +1,11 @@
 """Exact order statistics that never put a whole group into one task.
 
-Built-in windows and ``percentile`` gather all (distinct) values of a group in one place. They are
-used only for groups measured to be small. Larger groups are dealt by ranges of their values: every
-task holds a stretch of the order, and per-stretch totals say where each stretch begins. Both ways
-give the same rows for numbers, NaN, infinities, text, dates and decimals.
+Quantiles are selected by counting: a pass counts values by range, for all groups at once, and the
+next one looks only into the ranges that hold a wanted rank. Nothing is sorted and no group is
+gathered. Ranks and running totals need every row's place: windows serve groups measured to be
+small, larger ones are dealt by ranges of their values, every task holds a stretch of the order, and
+per-stretch totals say where each stretch begins. Both ways give the same rows for numbers, NaN,
+infinities, text, dates and decimals.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hearthstat.operators.scale import join_rows, join_small, stage
 
 GROUP_ROWS = 500_000
+BINS, FEW = 1024, 4096
 
 
 def group_sizes(df: DataFrame, groups: Sequence[str]) -> tuple[int, int]:
@@ -46,35 +49,76 @@ def positions(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums:
     return joined.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
 
 
-def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],
-              group_rows: int = GROUP_ROWS) -> DataFrame:
+def _magnitude(v: Column) -> Column:
+    """Number of the power of two that a value lies at, in the order of the values; NaN is the largest."""
+    power = (F.floor(F.log2(F.abs(v))) + 2000).cast("long")  # from 926 to 3023 for finite values other than 0
+    power = F.when(F.abs(v) == float("inf"), F.lit(4000)).otherwise(power)
+    return F.when(F.isnan(v), F.lit(4001)).when(v == 0, F.lit(0)).when(v > 0, power).otherwise(-power)
+
+
+def _wanted(probs: Sequence[float]) -> Column:
+    """The ranks, from 0, that quantiles of ``_total`` values stand on or between."""
+    places = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    return F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+
+
+def _ranges(counted: DataFrame, groups: Sequence[str], within: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The counted bins (_bin, _n, _lo, _hi) that hold a wanted rank, with the number of values ``_before`` them."""
+    order = W.partitionBy(*groups, *within).orderBy("_bin")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("_before", F.col("_base") + before)
+    holds = F.exists(_wanted(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    return stage(placed.where(holds).select(*groups, "_total", "_before", "_n", "_lo", "_hi"))
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], bins: int = BINS,
+              few: int = FEW) -> DataFrame:
     """Linear-interpolated exact quantiles of ``value`` per group; NULL values are skipped, NaN is the largest.
 
-    Groups that hold no value at all are absent from the result.
+    The first pass counts values by power of two; each next one cuts the ranges that hold a wanted rank into ``bins``
+    equal parts and counts those, for all groups and ranks together, with map-side combine. A range is done when its
+    values are all the same, or at most ``few``, which are then looked at one by one. So a group of 10^7 rows takes three
+    passes and one of 10^10 four, whatever its share of the rows. Groups that hold no value are absent from the result.
     """
-    rows = df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null")
-    biggest, _ = group_sizes(rows, groups)
-    if biggest <= group_rows:
-        aggs = [F.percentile("_v", p).alias(name) for name, p in probs.items()]
-        return rows.groupBy(*groups).agg(*aggs)
-
-    # One row per distinct value with its number, placed by running numbers; the rows that cover a wanted rank are few.
-    counted = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = positions(counted, groups, ["_v"], {"_before": F.col("_c")})
-    totals = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    ranks = totals.select(*groups, F.explode(wanted).alias("_w"), "_total").withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
-    ranks = ranks.select(*groups, F.col("_w.name").alias("_name"), "_pos")
-    inside = (F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_c") > F.floor("_pos"))
-    hits = join_small(placed, ranks, groups, "inner", where=inside)
+    ranks = list(probs.values())
+    rows = stage(df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null"))
+    sums = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    counted = rows.groupBy(*groups, _magnitude(F.col("_v")).alias("_bin")).agg(*sums)
+    total = F.sum("_n").over(W.partitionBy(*groups))
+    found = _ranges(counted.withColumns({"_total": total, "_base": F.lit(0)}), groups, [], ranks)
+    done = []
+    while True:
+        same = F.col("_lo").eqNullSafe(F.col("_hi"))
+        done.append(found.where(same | (F.col("_n") <= few)))
+        wide = found.where(~same & (F.col("_n") > few))
+        if wide.isEmpty():
+            break
+        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        held = join_rows(rows, wide.withColumnRenamed("_n", "_m"), groups, "inner", inside)
+        part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
+        held = held.select(*groups, "_v", F.col("_before").alias("_base"), "_total", part.alias("_bin"))
+        found = _ranges(held.groupBy(*groups, "_base", "_total", "_bin").agg(*sums), groups, ["_base"], ranks)
+    ranges = done[0]
+    for more in done[1:]:
+        ranges = ranges.unionByName(more)
+
+    single = F.col("_lo").eqNullSafe(F.col("_hi"))
+    some = join_rows(rows, ranges.where(~single), groups, "inner", F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    listed = some.groupBy(*groups, "_total", "_before", "_n").agg(F.array_sort(F.collect_list("_v")).alias("_all"))
+    alone = ranges.where(single).select(*groups, "_total", "_before", "_n", F.array("_lo").alias("_all"))
+    pieces = listed.unionByName(alone).groupBy(*groups, "_total").agg(F.collect_list(F.struct("_before", "_n", "_all")).alias("_p"))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.struct("_v")))["_v"]
-
-    picked = hits.groupBy(*groups, "_name", "_pos").agg(at(F.floor("_pos")).alias("lo"), at(F.ceil("_pos")).alias("hi"))
-    between = (F.ceil("_pos") - F.col("_pos")) * F.col("lo") + (F.col("_pos") - F.floor("_pos")) * F.col("hi")
-    picked = picked.withColumn("q", F.when((F.floor("_pos") == F.ceil("_pos")) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(between))
-    return picked.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == n, F.col("q"))).alias(n) for n in probs])
+        own = F.filter("_p", lambda p: (p["_before"] <= rank) & (rank < p["_before"] + p["_n"]))[0]
+        return F.when(F.size(own["_all"]) == 1, own["_all"][0]).otherwise(F.get(own["_all"], (rank - own["_before"]).cast("int")))
+
+    out = []
+    for name, p in probs.items():
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        out.append(F.when((F.floor(place) == F.ceil(place)) | (low == high), low).otherwise(between).alias(name))
+    return pieces.select(*groups, *out)
 
 
 def totals_below(df: DataFrame, groups: Sequence[str], value: str, sums: Mapping[str, Column],

@@ -28,11 +28,11 @@ def skewed(spark):
     return rows, literal_table(spark, rows, "id int, g string, v double")
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles(spark, skewed, limit):
+@pytest.mark.parametrize("bins, few", [(2, 0), (7, 3), (1024, 4096)])
+def test_quantiles(spark, skewed, bins, few):
     rows, df = skewed
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
-    got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, group_rows=limit).collect()}
+    got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, bins, few).collect()}
     pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
     for g, part in pdf.groupby("g"):
         for name, p in probs.items():
@@ -41,9 +41,29 @@ def test_quantiles(spark, skewed, limit):
 
 def test_quantiles_of_constant_and_empty_groups(spark):
     df = literal_table(spark, [("a", 2.0), ("a", 2.0), ("b", None), ("c", 7.0)], "g string, v double")
-    for limit in (0, 100):
-        got = {r.g: r.m for r in ordered.quantiles(df, ["g"], "v", {"m": 0.5}, group_rows=limit).collect()}
+    for few in (0, 100):
+        got = {r.g: r.m for r in ordered.quantiles(df, ["g"], "v", {"m": 0.5}, few=few).collect()}
         assert got == {"a": 2.0, "c": 7.0}
+    assert ordered.quantiles(df.where("v is null"), ["g"], "v", {"m": 0.5}).count() == 0
+    assert [tuple(r) for r in ordered.quantiles(df, [], "v", {"m": 0.5}).collect()] == [(2.0,)]
+
+
+def test_quantiles_of_far_spread_values(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([10.0 ** rng.uniform(-300, 300, 400) * rng.choice([-1, 1], 400), rng.integers(0, 3, 200), 1e9 + rng.random(400) * 1e-6, [5e-324, -5e-324]])
+    df = literal_table(spark, [(None if i % 3 else "a", float(v)) for i, v in enumerate(values)], "g string, v double")
+    probs = {f"p{i}": i / 40 for i in range(41)}
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()
+    for bins, few in ((1024, 5), (3, 1)):
+        assert sorted(map(repr, ordered.quantiles(df, ["g"], "v", probs, bins, few).collect())) == sorted(map(repr, want))
+
+
+def test_a_pass_looks_into_wanted_ranges_only(spark):
+    df = spark.range(200_000).selectExpr("'hot' AS g", "pow(1.0001, id) AS v")
+    got = ordered.quantiles(df, ["g"], "v", {"m": 0.5}, bins=16, few=100)
+    assert got.first().m == df.agg(F.percentile("v", 0.5)).first()[0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort " not in plan and "Window" not in plan  # windows run over counts only, before the last pass
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
@@ -104,8 +124,9 @@ def test_both_ways_agree_on_odd_values(spark, kind):
     assert sorted(small) == sorted(large) and small
     if kind in ("double", "decimal(20,4)"):
         probs = {f"p{i}": i / 8 for i in range(9)}
-        one, two = ([repr(r) for r in ordered.quantiles(df, ["g"], "v", probs, group_rows=n).collect()] for n in (10**6, 0))
-        assert sorted(one) == sorted(two) and one
+        one = df.where("v is not null").groupBy("g").agg(*[F.percentile(F.col("v").cast("double") + 0.0, p).alias(n) for n, p in probs.items()])
+        two = ordered.quantiles(df, ["g"], "v", probs, bins=4, few=1)
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
 
 
 def test_a_group_that_grows_is_dealt_over_more_tasks(spark):

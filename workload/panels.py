@@ -174,7 +174,7 @@ def quantile_rows(spark, folder):
 @query("quantiles_by_ranges", QUANTILE_SPEC, QUANTILE_SQL)
 def quantile_ranges(spark, folder):
     """The form for groups too large for one task, on the same rows."""
-    return quantiles(_prices(spark, folder), ["year", "status"], "o_totalprice", QUANTILES, group_rows=0)
+    return quantiles(_prices(spark, folder), ["year", "status"], "o_totalprice", QUANTILES, bins=8, few=4)
 
 
 @query("quantile_flag", "area:i year:i cut:d high:i", "WITH" + CELLS_SQL + """---
