@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -280,22 +281,19 @@ def _split(segs: DataFrame, least: int) -> DataFrame:
 
 def _matches(segs: DataFrame, least: int, group_rows: int) -> DataFrame:
     """Intervals of the windows that repeat among stretches of one group; groups too large for a task are cut finer."""
-    found = []
+    found, small = [], []
     while True:
         sizes = segs.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min(F.md5("seg")).alias("lo"), F.max(F.md5("seg")).alias("hi"))
         large = stage(sizes.where(F.col("rows") > group_rows).select("g", (F.col("lo") == F.col("hi")).alias("equal")), "suffix-large")
         none = large.isEmpty()
-        small = segs if none else segs.join(large, "g", "left_anti")
-        found.append(small.select("g", "key", "start", "n", "seg").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(least), INTERVALS))
+        small.append((segs if none else segs.join(large, "g", "left_anti")).select("g", "key", "start", "n", "seg"))
         if none:
             break
         rest = segs.join(large, "g")
         found.append(rest.where(F.col("equal") & (F.col("n") == 1)).select("key", "start", (F.col("start") + F.length("seg")).alias("stop")))
         segs = stage(_split(rest.where(~F.col("equal")), least), "suffix-split")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    fitting = reduce(DataFrame.unionByName, small).repartition("g").sortWithinPartitions("g")
+    return reduce(DataFrame.unionByName, found, fitting.mapInArrow(_compare(least), INTERVALS))
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -350,7 +348,7 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = 200, group_ro
     texts = spark.table(name)
 
     members = stage(texts.select("key", "body").mapInArrow(_members(least), MEMBERS), "suffix-members")
-    again = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again = stage(members.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "suffix-anchors")
     hits = stage(members.join(again, "anchor"), "suffix-hits")
     one = F.min(F.struct("key", "start", "windows", "away")).alias("one")
     classes = stage(hits.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), one), "suffix-classes")
