@@ -6,15 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hearthstat.operators.reshape import rows_from
 from hearthstat.operators.scale import join_small, literal_table, stage
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
-MAX_ITER, TOLERANCE = 300, 1e-8
-INIT_SAMPLE = 10_000
+# Passes at most, and the squared shift of all centres, relative to the mean variance of the features, that ends a fit.
+MAX_ITER, TOLERANCE = 300, 1e-4
+SAMPLE_ROWS = 10_000
+SHARE = 10
 
 
 def period_list(df: DataFrame, period: str) -> list:
@@ -55,13 +57,117 @@ def _seeded(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(chosen)
 
 
-def _lloyd(rows: DataFrame, centres: dict[tuple, np.ndarray], size: int) -> dict[tuple, tuple[np.ndarray, float]]:
+def _sums(points: np.ndarray, fits: list[np.ndarray]) -> list[np.ndarray]:
+    """Per fit and centre: the sum of the points nearest to it, their number, squared distances and squared lengths.
+
+    Points lie in columns. One matrix product gives the distances to the centres of all fits.
+    """
+    every = np.concatenate(fits)
+    gaps = (every * every).sum(1)[:, None] - 2 * (every @ points)
+    long = (points * points).sum(0)
+    out, first = [], 0
+    for centres in fits:
+        k = len(centres)
+        mine = gaps[first:first + k]
+        first += k
+        near = mine.argmin(0)
+        left = np.maximum(mine[near, np.arange(len(near))] + long, 0.0)
+        out.append(np.column_stack([np.bincount(near, c, k)[:k] for c in (*points, None, left, long)]))
+    return out
+
+
+def _settled(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centres that stand still on the given points.
+
+    Every point keeps an upper bound of the distance to its centre and a lower bound of that to any other one, moved on by
+    how far the centres went. By the triangle inequality only points whose bounds cross can change, and only they are
+    measured again and moved between the sums.
+    """
+    def gaps(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1), 0.0))
+
+    def two(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near, at = d.argmin(1), np.arange(len(d))
+        best = d[at, near]
+        d[at, near] = np.inf
+        return near, best, d.min(1)
+
+    def added(near: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.bincount(near, c, k)[:k] for c in (*x.T, None)])
+
+    k = len(centres)
+    label, upper, lower = two(gaps(points))
+    sums = added(label, points)
+    for turn in range(1, MAX_ITER + 1):
+        new = _moved(centres, sums)
+        shift = np.sqrt(((new - centres) ** 2).sum(1))
+        centres = new
+        if not shift.any():
+            break
+        upper += shift[label]
+        lower -= shift.max()
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+        np.fill_diagonal(apart, np.inf)
+        bound = np.maximum(lower, apart.min(1)[label] / 2)
+        some = np.flatnonzero(upper * (1 + 1e-9) >= bound)
+        if len(some):
+            near, best, second = two(gaps(points[some]))
+            other = near != label[some]
+            moved = some[other]
+            sums += added(near[other], points[moved]) - added(label[moved], points[moved])
+            label[some], upper[some], lower[some] = near, best, second
+        if turn % 16 == 0:
+            sums = added(label, points)
+    return centres
+
+
+def _moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The means of what is nearest to each centre; a centre without points stays."""
+    size, count = centres.shape[1], sums[:, centres.shape[1]:centres.shape[1] + 1]
+    return np.where(count > 0, sums[:, :size] / np.maximum(count, 1), centres)
+
+
+def _on_samples(rows: DataFrame, wanted: dict[int, list[int]], restarts: int, seed: int, size: int) -> dict[tuple, np.ndarray]:
+    """Centres of every (period, k, restart), settled on a bounded sample of the period's rows.
+
+    The sample is a fixed number of rows per period by hash; its fits run in tasks, a few restarts each. Fits that settle
+    on the same centres are one from here on.
+    """
+    order = W.partitionBy("_p").orderBy(F.xxhash64("_x", F.lit(seed)), "_x")
+    drawn = rows.select("_p", "_x").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_ROWS)
+    sample = drawn.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("_r", "_x")))["_x"].alias("xs"))
+    jobs = [(p, k, a, min(a + SHARE, restarts)) for p in wanted for k in wanted[p] for a in range(0, restarts, SHARE)]
+    listed = literal_table(rows.sparkSession, jobs, "p int, k int, a int, b int")
+    work = listed.join(sample, F.col("p") == F.col("_p")).select("p", "k", "a", "b", "xs").repartition(max(1, len(jobs)), "p", "k", "a")
+
+    def settle(batches):
+        for batch in batches:
+            p, k, a, b = (batch.column(c).to_pylist() for c in ("p", "k", "a", "b"))
+            for j in range(batch.num_rows):
+                points = batch.column("xs")[j].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                fits = [_settled(points, _seeded(points, k[j], np.random.default_rng([seed, p[j], k[j], i]))) for i in range(a[j], b[j])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[j]] * len(fits), pa.int32()), pa.array([k[j]] * len(fits), pa.int32()), pa.array(range(a[j], b[j]), pa.int32()),
+                     pa.array([f.ravel() for f in fits], pa.list_(pa.float64()))], ["p", "k", "i", "c"])
+
+    found, seen = {}, set()
+    for r in sorted(work.mapInArrow(settle, "p int, k int, i int, c array<double>").collect(), key=lambda r: r[:3]):  # one row per fit
+        centres = np.array(r.c).reshape(-1, size)
+        centres = centres[np.lexsort(centres.T[::-1])]
+        mark = (r.p, r.k, np.round(centres, 9).tobytes())
+        if mark not in seen:
+            seen.add(mark)
+            found[r.p, r.k, r.i] = centres
+    return found
+
+
+def _lloyd(rows: DataFrame, centres: dict[tuple, np.ndarray], size: int, least: dict[int, float]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
     """Run all fits, keyed (period number, k, restart), side by side: one pass over the rows moves every centre.
 
-    A task adds up what it holds for each centre, so only sums by centre are shuffled. A fit is done when its centres move
-    by less than the tolerance, or after ``MAX_ITER`` passes. Returns centres and inertia.
+    A task adds up what it holds for each centre, so only sums by centre are shuffled. A fit is done when the squared shift
+    of its centres is at most ``least`` of its period, or after ``MAX_ITER`` passes. Returns centres and sums.
     """
-    done: dict[tuple, tuple[np.ndarray, float]] = {}
+    done: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     open_fits, turn = dict(centres), 0
     while open_fits:
         names = list(open_fits)
@@ -71,39 +177,72 @@ def _lloyd(rows: DataFrame, centres: dict[tuple, np.ndarray], size: int) -> dict
         current = [open_fits[key] for key in names]
 
         def add(batches):
-            sums = [np.zeros((len(c), size + 2)) for c in current]
+            sums = [np.zeros((len(c), size + 3)) for c in current]
             for batch in batches:
                 period = batch.column("_p").to_numpy()
                 x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                for p in np.unique(period):
-                    part = x[period == p]
-                    for n in by_period.get(int(p), []):
-                        gaps = ((part[:, None, :] - current[n][None]) ** 2).sum(2)
-                        near = gaps.argmin(1)
-                        np.add.at(sums[n], near, np.column_stack([part, np.ones(len(part)), gaps[np.arange(len(part)), near]]))
+                for p in np.unique(period).tolist():
+                    if mine := by_period.get(p):
+                        for n, part in zip(mine, _sums(np.ascontiguousarray(x[period == p].T), [current[n] for n in mine])):
+                            sums[n] += part
             flat = np.concatenate(sums)
             fit = np.repeat(np.arange(len(sums)), [len(s) for s in sums])
             cell = np.concatenate([np.arange(len(s)) for s in sums])
-            yield pa.RecordBatch.from_arrays([pa.array(fit), pa.array(cell), *[pa.array(flat[:, i]) for i in range(size + 2)]],
-                                             ["fit", "cell", *[f"s{i}" for i in range(size + 2)]])
+            yield pa.RecordBatch.from_arrays([pa.array(fit), pa.array(cell), *[pa.array(flat[:, i]) for i in range(size + 3)]],
+                                             ["fit", "cell", *[f"s{i}" for i in range(size + 3)]])
 
-        schema = "fit long, cell long, " + ", ".join(f"s{i} double" for i in range(size + 2))
-        moved = rows.select("_p", "_x").mapInArrow(add, schema).groupBy("fit", "cell").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size + 2)])
-        totals = [np.zeros((len(c), size + 2)) for c in current]
-        for r in moved.collect():  # one row per centre
+        schema = "fit long, cell long, " + ", ".join(f"s{i} double" for i in range(size + 3))
+        added = rows.select("_p", "_x").mapInArrow(add, schema).groupBy("fit", "cell").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size + 3)])
+        totals = [np.zeros((len(c), size + 3)) for c in current]
+        for r in added.collect():  # one row per centre
             totals[r[0]][r[1]] = r[2:]
         turn += 1
         for n, key in enumerate(names):
-            count = totals[n][:, size:size + 1]
-            new = np.where(count > 0, totals[n][:, :size] / np.maximum(count, 1), current[n])
-            if ((new - current[n]) ** 2).sum() <= TOLERANCE**2 or turn > MAX_ITER:
-                done[key] = (current[n], float(totals[n][:, size + 1].sum()))
+            new = _moved(current[n], totals[n])
+            if ((new - current[n]) ** 2).sum() <= least[key[0]] or turn > MAX_ITER:
+                done[key] = (current[n], totals[n])
                 del open_fits[key]
             else:
                 open_fits[key] = new
     return done
 
 
+def _mean_silhouettes(rows: DataFrame, fits: dict[tuple[int, int], np.ndarray], size: int) -> dict[tuple[int, int], float]:
+    """Mean silhouette by squared distance of each (period, k) from the sums of its clusters, all in one pass."""
+    keys = list(fits)
+    by_period: dict[int, list[int]] = {}
+    for n, (p, _) in enumerate(keys):
+        by_period.setdefault(p, []).append(n)
+    count = [fits[key][:, size] for key in keys]
+    mean = [fits[key][:, :size] / np.maximum(fits[key][:, size:size + 1], 1) for key in keys]
+    norm = [fits[key][:, size + 2] / np.maximum(fits[key][:, size], 1) for key in keys]
+
+    def score(batches):
+        total = np.zeros((len(keys), 2))
+        for batch in batches:
+            period = batch.column("_p").to_numpy()
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for p in np.unique(period).tolist():
+                part = x[period == p]
+                long, at = (part * part).sum(1), np.arange(len(part))
+                for n in by_period.get(p, []):
+                    dots = part @ mean[n].T
+                    near = ((mean[n] * mean[n]).sum(1) - 2 * dots + np.where(count[n] > 0, 0, np.inf)).argmin(1)
+                    apart = np.maximum(long[:, None] - 2 * dots + norm[n], 0.0)
+                    own = count[n][near]
+                    a = apart[at, near] * own / np.maximum(own - 1, 1)
+                    apart[:, count[n] == 0] = np.inf
+                    apart[at, near] = np.inf
+                    b = apart.min(1)
+                    top = np.maximum(a, b)
+                    value = np.where((own > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where((top > 0) & np.isfinite(top), top, 1.0), 0.0)
+                    total[n] += value.sum(), len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(total[:, 0]), pa.array(total[:, 1])], ["fit", "s", "n"])
+
+    found = rows.select("_p", "_x").mapInArrow(score, "fit long, s double, n double").groupBy("fit").agg((F.sum("s") / F.sum("n")).alias("v"))
+    return {keys[r.fit]: r.v for r in found.collect()}  # one row per period and k
+
+
 def _assigned(rows: DataFrame, centres: dict[int, np.ndarray], size: int) -> DataFrame:
     """Rows with the nearest centre of their period as ``cluster_id``; ties go to the smaller id."""
     tables = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres[p]]) for p in sorted(centres)])
@@ -116,28 +255,30 @@ def kmeans_by_period(prepared: DataFrame, period: str, metrics: Sequence[str], k
                      restarts: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Best of several k-means fits per period and k (ML3-ML5).
 
-    All fits share their passes over the rows (``_lloyd``); they start from a bounded sample of each period. Rows of the
-    NULL period are a period of their own. Returns (assignments of the chosen k, diagnostics per k, chosen k per period).
+    Every restart settles on a bounded sample of its period first, then on all rows, where all fits share their passes
+    (``_lloyd``) and stop at ``TOLERANCE`` of the features' mean variance; the best of each period and k goes on until its
+    centres stand still, so that every row is at its nearest mean. On the sample, bounds by the triangle inequality are
+    kept between the steps; on all rows they are not: they would be numbers for each row and fit, to be written and read
+    with every pass, where the distances are one matrix product.
+    Rows of the NULL period are a period of their own. Returns (assignments of the chosen k, diagnostics per k, chosen k
+    per period).
     """
     features = [f"s_{m}" for m in metrics]
     rows, periods = _numbered(prepared, period, features)
-    sizes = {r[0]: r[1] for r in rows.groupBy("_p").count().collect()}  # one row per period
+    spread = sum((F.var_pop(F.col("_x")[i]) for i in range(len(features))), F.lit(0.0)) / len(features)
+    known = rows.groupBy("_p").agg(F.count(F.lit(1)), spread).collect()  # one row per period
+    sizes, least = {r[0]: r[1] for r in known}, {r[0]: TOLERANCE * (r[2] or 0.0) for r in known}
     wanted = {p: list(ks or k_values(sizes[p])) for p in range(len(periods)) if p in sizes}
-    starts: dict[tuple, np.ndarray] = {}
-    for p in wanted:
-        drawn = rows.where(F.col("_p") == p).orderBy(F.xxhash64("_x", F.lit(seed))).limit(INIT_SAMPLE).select("_x").toArrow()
-        points = np.array(drawn.column("_x").to_pylist(), float)
-        for k in wanted[p]:
-            for i in range(restarts):
-                starts[p, k, i] = _seeded(points, k, np.random.default_rng([seed, p, k, i]))
-    fitted = _lloyd(rows, starts, len(features))
-    best = {(p, k): min((fitted[p, k, i] for i in range(restarts)), key=lambda f: f[1]) for p in wanted for k in wanted[p]}
-    scores: dict[tuple, float] = {}
-    for k in sorted({k for options in wanted.values() for k in options}):
-        some = {p: best[p, k][0] for p in wanted if k in wanted[p]}
-        labels = _assigned(rows.where(F.col("_p").isin(list(some))), {p: some.get(p, np.empty((0, len(features)))) for p in range(len(periods))}, len(features))
-        found = silhouette(labels.drop("_x"), "_p", features).groupBy("_p").agg(F.avg("silhouette")).collect()
-        scores |= {(r[0], k): r[1] for r in found}
+    fitted = _lloyd(rows, _on_samples(rows, wanted, restarts, seed, len(features)), len(features), least)
+    inertia = len(features) + 1
+
+    def total(key: tuple) -> float:
+        return float(fitted[key][1][:, inertia].sum())
+
+    firsts = {(p, k): min((key for key in fitted if key[:2] == (p, k)), key=lambda key: (total(key), key)) for p in wanted for k in wanted[p]}
+    final = _lloyd(rows, {key: _moved(*fitted[key]) for key in firsts.values()}, len(features), {p: 1e-20 for p in wanted})
+    best = {(p, k): (final[key][0], float(final[key][1][:, inertia].sum())) for (p, k), key in firsts.items()}
+    scores = _mean_silhouettes(rows, {pk: final[key][1] for pk, key in firsts.items()}, len(features))
     chosen = {p: min(wanted[p], key=lambda k: (-scores[p, k], k)) for p in wanted}
     spark, kind = prepared.sparkSession, prepared.schema[period].dataType.simpleString()
     diagnostics = literal_table(spark, [(periods[p], k, best[p, k][1], scores[p, k]) for p, k in sorted(best)],

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hearthstat.operators.scale import join_rows, join_small, stage
 
 GROUP_ROWS = 500_000
-BINS, FEW = 1024, 4096
+BINS, FEW = 1024, 65_536
 
 
 def group_sizes(df: DataFrame, groups: Sequence[str]) -> tuple[int, int]:
@@ -75,37 +75,36 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
               few: int = FEW) -> DataFrame:
     """Linear-interpolated exact quantiles of ``value`` per group; NULL values are skipped, NaN is the largest.
 
-    The first pass counts values by power of two; each next one cuts the ranges that hold a wanted rank into ``bins``
-    equal parts and counts those, for all groups and ranks together, with map-side combine. A range is done when its
-    values are all the same, or at most ``few``, which are then looked at one by one. So a group of 10^7 rows takes three
-    passes and one of 10^10 four, whatever its share of the rows. Groups that hold no value are absent from the result.
+    The first pass counts values by power of two, for all groups and ranks together, with map-side combine. Ranges that
+    hold a wanted rank go on: those of more than ``few`` values are cut into ``bins`` equal parts and counted again, on
+    their own rows only, which are written once; at last the values of what is left are looked at one by one, at most
+    ``few`` per range. So the input is read twice whatever its size, and a group of 10^10 rows takes two counts more than
+    a small one, whatever its share of the rows. Groups that hold no value are absent from the result.
     """
     ranks = list(probs.values())
-    rows = stage(df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null"))
+    rows = df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null")
     sums = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     counted = rows.groupBy(*groups, _magnitude(F.col("_v")).alias("_bin")).agg(*sums)
     total = F.sum("_n").over(W.partitionBy(*groups))
     found = _ranges(counted.withColumns({"_total": total, "_base": F.lit(0)}), groups, [], ranks)
-    done = []
-    while True:
-        same = F.col("_lo").eqNullSafe(F.col("_hi"))
-        done.append(found.where(same | (F.col("_n") <= few)))
-        wide = found.where(~same & (F.col("_n") > few))
-        if wide.isEmpty():
-            break
-        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    same, inside = F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    ranges = found.where(same | (F.col("_n") <= few))
+    wide = found.where(~same & (F.col("_n") > few))
+    first = True
+    while not wide.isEmpty():
+        if first:
+            rows = stage(join_rows(rows, found.where(~same).select(*groups, "_lo", "_hi"), groups, "inner", inside).select(*groups, "_v"))
+            first = False
         held = join_rows(rows, wide.withColumnRenamed("_n", "_m"), groups, "inner", inside)
         part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
         held = held.select(*groups, "_v", F.col("_before").alias("_base"), "_total", part.alias("_bin"))
         found = _ranges(held.groupBy(*groups, "_base", "_total", "_bin").agg(*sums), groups, ["_base"], ranks)
-    ranges = done[0]
-    for more in done[1:]:
-        ranges = ranges.unionByName(more)
+        ranges = ranges.unionByName(found.where(same | (F.col("_n") <= few)))
+        wide = found.where(~same & (F.col("_n") > few))
 
-    single = F.col("_lo").eqNullSafe(F.col("_hi"))
-    some = join_rows(rows, ranges.where(~single), groups, "inner", F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    some = join_rows(rows, ranges.where(~same), groups, "inner", inside)
     listed = some.groupBy(*groups, "_total", "_before", "_n").agg(F.array_sort(F.collect_list("_v")).alias("_all"))
-    alone = ranges.where(single).select(*groups, "_total", "_before", "_n", F.array("_lo").alias("_all"))
+    alone = ranges.where(same).select(*groups, "_total", "_before", "_n", F.array("_lo").alias("_all"))
     pieces = listed.unionByName(alone).groupBy(*groups, "_total").agg(F.collect_list(F.struct("_before", "_n", "_all")).alias("_p"))
 
     def at(rank: Column) -> Column:
