@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import join_rows, join_small, stage
+from hearthstat.operators.scale import held, join_rows, join_small, stage
 
 GROUP_ROWS = 500_000
 BINS, FEW = 1024, 65_536
@@ -68,13 +68,15 @@ def _ranges(counted: DataFrame, groups: Sequence[str], within: Sequence[str], pr
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("_before", F.col("_base") + before)
     holds = F.exists(_wanted(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    return stage(placed.where(holds).select(*groups, "_total", "_before", "_n", "_lo", "_hi"))
+    return held(placed.where(holds).select(*groups, "_total", "_before", "_n", "_lo", "_hi"))
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], bins: int = BINS,
-              few: int = FEW) -> DataFrame:
+              few: int = FEW, count: str | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles of ``value`` per group; NULL values are skipped, NaN is the largest.
 
+    ``count`` names a column that says how many times a row's value stands there, for tables that are value counts.
+
     The first pass counts values by power of two, for all groups and ranks together, with map-side combine. Ranges that
     hold a wanted rank go on: those of more than ``few`` values are cut into ``bins`` equal parts and counted again, on
     their own rows only, which are written once; at last the values of what is left are looked at one by one, at most
@@ -82,8 +84,9 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
     a small one, whatever its share of the rows. Groups that hold no value are absent from the result.
     """
     ranks = list(probs.values())
-    rows = df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where("_v is not null")
-    sums = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    times = (F.lit(1) if count is None else F.col(count)).cast("long").alias("_c")
+    rows = df.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"), times).where("_v is not null")
+    sums = [F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     counted = rows.groupBy(*groups, _magnitude(F.col("_v")).alias("_bin")).agg(*sums)
     total = F.sum("_n").over(W.partitionBy(*groups))
     found = _ranges(counted.withColumns({"_total": total, "_base": F.lit(0)}), groups, [], ranks)
@@ -93,23 +96,27 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
     first = True
     while not wide.isEmpty():
         if first:
-            rows = stage(join_rows(rows, found.where(~same).select(*groups, "_lo", "_hi"), groups, "inner", inside).select(*groups, "_v"))
+            rows = stage(join_rows(rows, found.where(~same).select(*groups, "_lo", "_hi"), groups, "inner", inside).select(*groups, "_v", "_c"))
             first = False
-        held = join_rows(rows, wide.withColumnRenamed("_n", "_m"), groups, "inner", inside)
+        open_rows = join_rows(rows, wide.withColumnRenamed("_n", "_m"), groups, "inner", inside)
         part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
-        held = held.select(*groups, "_v", F.col("_before").alias("_base"), "_total", part.alias("_bin"))
-        found = _ranges(held.groupBy(*groups, "_base", "_total", "_bin").agg(*sums), groups, ["_base"], ranks)
+        parts = open_rows.select(*groups, "_v", "_c", F.col("_before").alias("_base"), "_total", part.alias("_bin"))
+        found = _ranges(parts.groupBy(*groups, "_base", "_total", "_bin").agg(*sums), groups, ["_base"], ranks)
         ranges = ranges.unionByName(found.where(same | (F.col("_n") <= few)))
         wide = found.where(~same & (F.col("_n") > few))
 
     some = join_rows(rows, ranges.where(~same), groups, "inner", inside)
-    listed = some.groupBy(*groups, "_total", "_before", "_n").agg(F.array_sort(F.collect_list("_v")).alias("_all"))
-    alone = ranges.where(same).select(*groups, "_total", "_before", "_n", F.array("_lo").alias("_all"))
-    pieces = listed.unionByName(alone).groupBy(*groups, "_total").agg(F.collect_list(F.struct("_before", "_n", "_all")).alias("_p"))
+    counts = some.repartition(*groups, "_before").groupBy(*groups, "_total", "_before", "_v").agg(F.sum("_c").alias("_n"))
+    order = W.partitionBy(*groups, "_before").orderBy("_v")
+    before = F.col("_before") + F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_first", before).where(F.exists(
+        _wanted(ranks), lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n"))))
+    alone = ranges.where(same).withColumns({"_v": F.col("_lo"), "_first": F.col("_before")})
+    each = [*groups, "_total", F.struct("_first", "_n", "_v").alias("_e")]
+    pieces = placed.select(*each).unionByName(alone.select(*each)).groupBy(*groups, "_total").agg(F.collect_list("_e").alias("_p"))
 
     def at(rank: Column) -> Column:
-        own = F.filter("_p", lambda p: (p["_before"] <= rank) & (rank < p["_before"] + p["_n"]))[0]
-        return F.when(F.size(own["_all"]) == 1, own["_all"][0]).otherwise(F.get(own["_all"], (rank - own["_before"]).cast("int")))
+        return F.filter("_p", lambda e: (e["_first"] <= rank) & (rank < e["_first"] + e["_n"]))[0]["_v"]
 
     out = []
     for name, p in probs.items():

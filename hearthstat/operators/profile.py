@@ -11,7 +11,7 @@ from hearthstat.functions.expressions import as_column
 from hearthstat.operators.household import COMPOSITION_KEYS
 from hearthstat.operators.ordered import quantiles
 from hearthstat.operators.reshape import rows_from, to_long, union_all
-from hearthstat.operators.scale import attach, join_small
+from hearthstat.operators.scale import attach, join_rows, join_small, stage
 
 
 def weighted_mean(x: Column | str, w: Column | str, skip_null: bool = False) -> Column:
@@ -65,15 +65,28 @@ PROFILE_SHARES = (
 PROFILE_COLUMNS = ["metric_group", "metric_name", "metric_value", "pct_of_households", "sort_order"]
 
 
-def stat_profile(df: DataFrame, groups: Sequence[str], weight: str = "analysis_weight") -> DataFrame:
-    """Tidy survey-weighted profile of each group (A12): one aggregate, then one row per statistic."""
+def profile_cube(df: DataFrame, groups: Sequence[str], weight: str = "analysis_weight") -> DataFrame:
+    """All sums that the profiles need, from one scan of the households, written once.
+
+    One row per group, composition, student-heavy and below flag, and income value: weights, records, and the weighted
+    sums behind every mean and share. Populations are subsets of its rows, and medians follow from its records per value.
+    """
     w = F.col(weight).cast("double")
-    means = [weighted_mean(F.expr(src), w).alias(name) for name, _, src, _, _ in PROFILE_MEANS]
-    shares = [weighted_where(F.coalesce(F.col(src), F.lit(0)) == 1, w).alias(name) for name, _, src, _ in PROFILE_SHARES]
-    wide = df.groupBy(*groups).agg(
-        F.coalesce(F.sum(w), F.lit(0.0)).alias("_total"), F.count(F.lit(1)).alias("_records"), *means, *shares)
-    median = quantiles(df, groups, "hincp_adj_real", {"_median": 0.5})
-    wide = join_small(wide, median, groups)
+    means = [F.sum(w * F.coalesce(F.expr(src), F.lit(0))).alias(f"_m_{name}") for name, _, src, _, _ in PROFILE_MEANS]
+    shares = [weighted_where(F.coalesce(F.col(src), F.lit(0)) == 1, w).alias(f"_s_{name}") for name, _, src, _ in PROFILE_SHARES]
+    flags = [F.coalesce(F.col("student_heavy_flag"), F.lit(0)).alias("_heavy"), F.col("below_flag").alias("_below")]
+    return stage(df.groupBy(*groups, F.coalesce("hh_comp_key", F.lit(COMPOSITION_KEYS[-1])).alias("_key"), *flags,
+                            F.col("hincp_adj_real").alias("_income")).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_records"), *means, *shares))
+
+
+def profile_of(cube: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Tidy survey-weighted profile of each group (A12) from a cube or some of its rows: one row per statistic."""
+    total = F.sum("_w")
+    means = [(F.sum(f"_m_{name}") / F.nullif(total, F.lit(0.0))).alias(name) for name, *_ in PROFILE_MEANS]
+    shares = [F.sum(f"_s_{name}").alias(name) for name, *_ in PROFILE_SHARES]
+    wide = cube.groupBy(*groups).agg(F.coalesce(total, F.lit(0.0)).alias("_total"), F.sum("_records").alias("_records"), *means, *shares)
+    median = quantiles(cube, groups, "_income", {"_median": 0.5}, count="_records")
+    wide = join_rows(wide, median, groups)
 
     def row(name: str, group: str, value: Column, share: Column, place: int) -> dict[str, Column]:
         return {"metric_group": F.lit(group), "metric_name": F.lit(name), "metric_value": value.cast("double"),
@@ -90,14 +103,20 @@ def stat_profile(df: DataFrame, groups: Sequence[str], weight: str = "analysis_w
              for n, g, _, place in PROFILE_SHARES]
     scalars = rows_from(wide, groups, rows)
 
-    named = df.withColumn("metric_name", F.coalesce("hh_comp_key", F.lit(COMPOSITION_KEYS[-1])))
-    parts = category_shares(named, groups, "metric_name", weight, COMPOSITION_KEYS).select(
-        *groups, F.lit("composition_hh_comp_key").alias("metric_group"), "metric_name",
-        F.col("weighted_households").alias("metric_value"), "pct_of_households",
-        (F.lit(200) + F.col("sort_order")).alias("sort_order"))
+    parts = cube.groupBy(*groups, F.col("_key").alias("metric_name")).agg(F.sum("_w").alias("_w"))
+    every = F.sum("_w").over(W.partitionBy(*groups))  # a handful of compositions per group
+    parts = parts.select(
+        *groups, F.lit("composition_hh_comp_key").alias("metric_group"), "metric_name", F.round("_w", 4).alias("metric_value"),
+        F.round(100.0 * F.col("_w") / F.nullif(every, F.lit(0.0)), 4).alias("pct_of_households"),
+        (F.lit(200) + sort_position("metric_name", COMPOSITION_KEYS)).alias("sort_order"))
     return scalars.unionByName(parts)
 
 
+def stat_profile(df: DataFrame, groups: Sequence[str], weight: str = "analysis_weight") -> DataFrame:
+    """Tidy survey-weighted profile of each group (A12): one scan, then one row per statistic."""
+    return profile_of(profile_cube(df, groups, weight), groups)
+
+
 def compare_profiles(base: DataFrame, other: DataFrame, keys: Sequence[str] = ("year", "metric_group", "metric_name"),
                      base_name: str = "complete", other_name: str = "nonstudent") -> DataFrame:
     """Two tidy profiles side by side with differences and ratio; one-sided rows stay."""
@@ -131,12 +150,16 @@ def below_totals(df: DataFrame, groups: Sequence[str], weight: str = "analysis_w
 
 def county_totals(df: DataFrame, period: str = "year", weight: str = "analysis_weight") -> DataFrame:
     """Below-threshold households of each variant against all households."""
-    below = F.col("below_flag") == 1
-    keep = F.coalesce("student_heavy_flag", F.lit(0)) == 0
-    wide = df.groupBy(period).agg(
-        F.sum(F.col(weight).cast("double")).alias("_all"),
-        weighted_where(below, weight).alias("_complete"),
-        weighted_where(below & keep, weight).alias("_nonstudent"))
+    heavy = F.coalesce("student_heavy_flag", F.lit(0))
+    return _totals_of(df.select(period, F.col(weight).alias("_w"), F.col("below_flag").alias("_below"), heavy.alias("_heavy")), period)
+
+
+def _totals_of(cube: DataFrame, period: str) -> DataFrame:
+    """The same from the weights of households or of cube rows."""
+    below, keep = F.col("_below") == 1, F.col("_heavy") == 0
+    wide = cube.groupBy(period).agg(
+        F.sum(F.col("_w").cast("double")).alias("_all"), weighted_where(below, "_w").alias("_complete"),
+        weighted_where(below & keep, "_w").alias("_nonstudent"))
     rows = [{"source_variant": F.lit(f"{v}_calibrated"),
              "below_households": F.round(f"_{v}", 4),
              "county_total_households": F.coalesce("_all", F.lit(0.0)),
@@ -145,6 +168,19 @@ def county_totals(df: DataFrame, period: str = "year", weight: str = "analysis_w
     return rows_from(wide, [period], rows)
 
 
+def survey_profiles(df: DataFrame, period: str = "year", weight: str = "analysis_weight") -> dict[str, DataFrame]:
+    """Profiles of all and of non-student households below the threshold, their comparison and the county totals.
+
+    Everything follows from one cube, so the households are read once.
+    """
+    cube = profile_cube(df, [period], weight)
+    below = cube.where("_below = 1")
+    complete, nonstudent = profile_of(below, [period]), profile_of(below.where("_heavy = 0"), [period])
+    return {"complete": complete, "nonstudent": nonstudent,
+            "comparison": compare_profiles(complete, nonstudent, (period, "metric_group", "metric_name")),
+            "county_totals": _totals_of(cube, period)}
+
+
 def target_compare(actual: DataFrame, targets: DataFrame, on: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Measures against external control totals, stacked (A17). ``targets`` carries ``target_<measure>``."""
     both = join_small(actual, targets, on, "inner")
@@ -218,6 +254,12 @@ def missingness(df: DataFrame, groups: Sequence[str], metrics: Sequence[str]) ->
          "missing_pct": 100.0 * F.col(f"_n_{m}") / F.col("row_count")} for m in metrics])
 
 
+def filled_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a value per column, one scan."""
+    wide = df.agg(*[F.count(F.col(c)).alias(f"_n_{c}") for c in columns])
+    return rows_from(wide, [], [{"column_name": F.lit(c), "filled": F.col(f"_n_{c}")} for c in columns])
+
+
 def trend(df: DataFrame, period: str, metrics: Sequence[str]) -> DataFrame:
     """Mean and median of each metric by period."""
     long = to_long(df, [period], metrics, "metric", "_v")

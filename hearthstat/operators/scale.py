@@ -33,6 +33,16 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     return join_rows(big, small, on, how, where)
 
 
+def held(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A table that is expected to be small and is used more than once: computed now, and kept as a local relation within
+    both bounds, as a staged table beyond them. The rows are the same either way.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
+        return df.sparkSession.createDataFrame(head, df.schema)
+    return stage(df)
+
+
 def join_rows(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", where: Column | None = None) -> DataFrame:
     """Join of two tables of any size on null-safe keys; the optimizer picks the plan and splits skewed keys."""
     return _null_safe_join(left, right, on, how, where)

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hearthstat.operators.scale import stage
+from hearthstat.operators.scale import held, stage
 
 # Fixed value: radius of the web-map projection in metres.
 EARTH_RADIUS = 6378137.0
@@ -94,9 +94,9 @@ def _covering(boxes: DataFrame) -> DataFrame:
             first, last = F.greatest(first, half), F.least(last, half + 1)
         return F.explode(F.sequence(first, last))
 
-    held = [c for c in boxes.columns if c not in ("_cx", "_cy")]
-    across = boxes.select(*held, *([F.col("_cy")] if "_cy" in boxes.columns else []), cells_of("x").alias("_nx"))
-    return across.select(*held, F.col("_nx").alias("_cx"), cells_of("y").alias("_ny")).withColumnRenamed("_ny", "_cy")
+    kept = [c for c in boxes.columns if c not in ("_cx", "_cy")]
+    across = boxes.select(*kept, *([F.col("_cy")] if "_cy" in boxes.columns else []), cells_of("x").alias("_nx"))
+    return across.select(*kept, F.col("_nx").alias("_cx"), cells_of("y").alias("_ny")).withColumnRenamed("_ny", "_cy")
 
 
 def cells(polygons: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -111,7 +111,7 @@ def cells(polygons: DataFrame, crowd: int = CROWD) -> DataFrame:
     boxes = polygons.select("poly_id", *edges, _level("min_x", "max_x").alias("_lx"), _level("min_y", "max_y").alias("_ly"))
     table = stage(_covering(boxes))
     for _ in range(SPLITS):
-        crowded = stage(table.groupBy(*KEY).count().where(F.col("count") > crowd).select(*KEY))
+        crowded = held(table.groupBy(*KEY).count().where(F.col("count") > crowd).select(*KEY))
         if crowded.isEmpty():
             break
         full = table.join(crowded, [*KEY], "left_semi").withColumns({"_lx": F.col("_lx") - 1, "_ly": F.col("_ly") - 1})
@@ -204,7 +204,7 @@ def tree(polygons: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, i
         up = (F.col("_l") == F.col("_ul")) & (F.shiftright("_cx", 1) == F.col("_ux")) & (F.shiftright("_cy", 1) == F.col("_uy"))
         kept = counted.join(full, up, "left").where((F.col("_l") == start) | F.col("_ul").isNotNull())
         ends = (F.col("_n") <= leaf) | (F.col("_l") == DEPTH)
-        kept = stage(kept.select(*NODE, *edges, ends.alias("_leaf")))
+        kept = held(kept.select(*NODE, *edges, ends.alias("_leaf")))
         found = stage(paths.join(kept.where("_leaf").select(*NODE), [*NODE]).select("poly_id", *edges, *NODE))
         nodes, leaves = (kept, found) if nodes is None else (nodes.unionByName(kept), leaves.unionByName(found))
         crowded = kept.where(~F.col("_leaf") & (F.col("_l") == end - 1))
@@ -231,13 +231,13 @@ def nearest(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     root = nodes.where("_l = 0").collect()  # one row, or none without polygons
     if not root:
         return none
-    held = (*NODE, *edges, "_leaf")
-    front = placed.select("*", *[F.lit(root[0][c]).alias(c) for c in held])
+    known = (*NODE, *edges, "_leaf")
+    front = placed.select("*", *[F.lit(root[0][c]).alias(c) for c in known])
     for level in range(1, depth + 1):
-        below = nodes.where(F.col("_l") == level).withColumnsRenamed({c: f"_b{c}" for c in held})
+        below = nodes.where(F.col("_l") == level).withColumnsRenamed({c: f"_b{c}" for c in known})
         down = ~F.col("_leaf") & (F.shiftright("_b_cx", 1) == F.col("_cx")) & (F.shiftright("_b_cy", 1) == F.col("_cy"))
         joined = front.join(below, down & (F.col("_l") == level - 1), "left")  # leaves found before stay
-        front = _closest(joined.select(point_id, "x", "y", *[F.coalesce(f"_b{c}", c).alias(c) for c in held]), point_id)
+        front = _closest(joined.select(point_id, "x", "y", *[F.coalesce(f"_b{c}", c).alias(c) for c in known]), point_id)
         if level % 4 == 0 and level < depth:
             front = stage(front)
     pairs = _closest(front.select(point_id, "x", "y", *NODE).join(leaves, [*NODE]), point_id)

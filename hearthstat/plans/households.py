@@ -65,12 +65,11 @@ def below(final: DataFrame, nonstudent: bool = False) -> DataFrame:
 
 def profiles(final: DataFrame) -> dict[str, DataFrame]:
     """Both tidy profiles, their comparison and the county totals."""
-    complete = pf.stat_profile(below(final), ["year"])
-    nonstudent = pf.stat_profile(below(final, True), ["year"])
+    found = pf.survey_profiles(final)
     return {
-        "complete_profile": complete.withColumn("population_type", F.lit("complete_below")),
-        "nonstudent_profile": nonstudent.withColumn("population_type", F.lit("nonstudent_below")),
-        "comparison": pf.compare_profiles(complete, nonstudent), "county_totals": pf.county_totals(final)}
+        "complete_profile": found["complete"].withColumn("population_type", F.lit("complete_below")),
+        "nonstudent_profile": found["nonstudent"].withColumn("population_type", F.lit("nonstudent_below")),
+        "comparison": found["comparison"], "county_totals": found["county_totals"]}
 
 
 def control_totals(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql.types import NumericType, StringType, StructType
 from hearthstat.operators.scale import literal_table
 
 # Fixed value: file name of a raw table: type, period, code, part and extension.
-FILE_PATTERN = r"(?i)ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)$"
+FILE_PATTERN = r"(?i)ACS(DT|ST|DP)5Y(\d{4})\.([A-Z0-9]+)-(Data|Column-Metadata|Table-Notes)\.(csv|txt)"
+# A large table may be a folder of that name with files in it.
+PART_PATTERN = FILE_PATTERN + r"(?:/[^/]+)?$"
 
 
 # Conditions by which Spark says that a path or table is not there.
@@ -79,7 +81,7 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     plain = F.url_decode(F.col("path"))
 
     def group(i: int) -> Column:
-        return F.regexp_extract(plain, FILE_PATTERN, i)
+        return F.regexp_extract(plain, PART_PATTERN, i)
 
     found = files.select(
         "path", F.upper(group(1)).alias("source_type"), F.nullif(group(2), F.lit("")).cast("int").alias("year"),
@@ -94,23 +96,6 @@ def table_family(code: Column | str) -> Column:
         c.startswith("B") | c.startswith("C"), "Detailed Table").otherwise("Unknown")
 
 
-def read_inventory_table(spark: SparkSession, inventory: DataFrame, code: str) -> DataFrame:
-    """All periods of one raw table in one scan, with period and code from the file name.
-
-    Files of different periods have different columns, so each period is read by its own header and
-    the frames are joined by name; the list of files is metadata.
-    """
-    rows = inventory.where((F.col("table_code") == code.upper()) & (F.col("file_kind") == "Data")).orderBy("year").collect()
-    frames = [with_clean_names(read_text_table(spark, r.path)).withColumns(
-        {"year": F.lit(r.year), "table_code": F.lit(code.upper())}) for r in rows]
-    if not frames:
-        raise FileNotFoundError(f"no data file for {code}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
-
-
 def write_dataset(df: DataFrame, path: str, by: Sequence[str] = (), fmt: str = "parquet", order: Sequence[str] = ()) -> None:
     """Distributed write, one folder per partition value."""
     writer = (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").format(fmt)

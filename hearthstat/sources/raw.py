@@ -40,6 +40,11 @@ def field_count(line: Column, sep: str = ",") -> Column:
     return F.when(~bare.contains('"'), F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1)
 
 
+def _plain(path: Column) -> Column:
+    """A path in one form, whatever part of Spark names it."""
+    return F.regexp_replace(F.coalesce(F.try_url_decode(path), path), r"^(\w+):/+", "$1:/")
+
+
 def read_aligned(spark: SparkSession, files: DataFrame, sep: str = ",") -> DataFrame:
     """All files of a listing as one frame of text columns, from one scan whatever their number.
 
@@ -48,10 +53,10 @@ def read_aligned(spark: SparkSession, files: DataFrame, sep: str = ",") -> DataF
     column gives NULL there. Files with equal headers share one rule, so the plan grows with the number of different
     headers. A line that has another number of fields than its header, or an open quote, is kept with what could be read
     and stands whole in ``_malformed_line``. Header lines are dropped wherever they stand, so a table may come in parts
-    that repeat it; empty lines are dropped. A quoted field ends on its line.
+    that repeat it; empty lines are dropped. Quotes in quoted fields are doubled; a quoted field ends on its line.
     """
     tags = [c for c in files.columns if c != "path"]
-    listed = files.orderBy(*tags, "path").collect()  # one row per file: metadata
+    listed = files.withColumn("_plain", _plain(F.col("path"))).orderBy(*tags, "path").collect()  # one row per file: metadata
     if not listed:
         raise FileNotFoundError("no files to read")
     heads = first_lines(spark, [r.path for r in listed])
@@ -62,17 +67,17 @@ def read_aligned(spark: SparkSession, files: DataFrame, sep: str = ",") -> DataF
     if clash:
         raise ValueError(f"columns of the files are called like those of the listing: {clash}")
     shape = files.schema
-    rows = [(r.path, kinds[heads[r.path]], heads[r.path], len(fields[kinds[heads[r.path]]]), *[r[c] for c in tags]) for r in listed]
+    rows = [(r["_plain"], kinds[heads[r.path]], heads[r.path], len(fields[kinds[heads[r.path]]]), *[r[c] for c in tags]) for r in listed]
     ddl = ", ".join(["_path string", "_kind int", "_head string", "_fields int", *[f"`_t_{c}` {shape[c].dataType.simpleString()}" for c in tags]])
     known = literal_table(spark, rows, ddl)
 
-    lines = spark.read.text([r.path for r in listed]).select("value", F.col("_metadata.file_path").alias("_file"))
+    lines = spark.read.text([r.path for r in listed]).select("value", _plain(F.col("_metadata.file_path")).alias("_file"))
     found = lines.join(F.broadcast(known), F.col("_file") == F.col("_path"))  # one row per file
     line = F.ltrim(F.col("value"), F.lit("﻿"))
     found = found.where((F.trim(line) != "") & (line != F.col("_head")))
     most = max(map(len, fields))
     schema = ", ".join(f"f{i} string" for i in range(most))
-    parsed = found.withColumn("_f", F.from_csv(line, schema, {"sep": sep, "mode": "PERMISSIVE"}))
+    parsed = found.withColumn("_f", F.from_csv(line, schema, {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}))
 
     def aligned(name: str) -> Column:
         places: dict[int, list[int]] = {}
@@ -85,3 +90,26 @@ def read_aligned(spark: SparkSession, files: DataFrame, sep: str = ",") -> DataF
 
     bad = F.when(~field_count(line, sep).eqNullSafe(F.col("_fields")), line).alias(MALFORMED)
     return parsed.select(*[aligned(c) for c in columns], *[F.col(f"_t_{c}").alias(c) for c in tags], bad)
+
+
+def shared_columns(spark: SparkSession, files: DataFrame, sep: str = ",") -> list[str]:
+    """Columns that the headers of all files have, in the order of the first one."""
+    heads = first_lines(spark, [r.path for r in files.orderBy(*[c for c in files.columns if c != "path"], "path").collect()])
+    fields = [field_names(line, sep) for line in heads.values()]
+    return [c for c in fields[0] if all(c in names for names in fields)]
+
+
+def data_files(inventory: DataFrame, code: str) -> DataFrame:
+    """Path, period and code of the data files of one table."""
+    rows = inventory.where((F.col("table_code") == code.upper()) & (F.col("file_kind") == "Data"))
+    return rows.select("path", "year", "table_code")
+
+
+def read_inventory_table(spark: SparkSession, inventory: DataFrame, code: str) -> DataFrame:
+    """All periods of one raw table in one scan, with period and code from the file names."""
+    return read_aligned(spark, data_files(inventory, code))
+
+
+def line_report(raw: DataFrame, by: Sequence[str] = ("year", "table_code")) -> DataFrame:
+    """Lines and malformed lines per period and table."""
+    return raw.groupBy(*by).agg(F.count(F.lit(1)).alias("line_count"), F.count(MALFORMED).alias("malformed_count"))

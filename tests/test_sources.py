@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthstat.operators.scale import literal_table
 from hearthstat.plans import tracts
-from hearthstat.sources import io
+from hearthstat.sources import io, raw, versions
 
 LINES = ['GEO_ID,NAME,B19013_001E,B19013_001M,', 'Geography,Geographic Area Name,Estimate,Margin,',
          '0100000US,United States,60000,100,',
@@ -41,17 +41,70 @@ def test_inventory_and_completeness(spark, raw_folder):
 
 def test_text_scan_keeps_everything(spark, raw_folder):
     inventory = io.file_inventory(spark, raw_folder)
-    df = io.read_inventory_table(spark, inventory, "b19013")
+    df = raw.read_inventory_table(spark, inventory, "b19013")
+    assert df.where(f"{raw.MALFORMED} is not null").count() == 0
     assert {t for _, t in df.drop("year").dtypes} == {"string"} and df.count() == 10
     assert df.columns[:5] == ["geo_id", "name", "b19013_001e", "b19013_001m", "unnamed_4"]
     with pytest.raises(FileNotFoundError):
-        io.read_inventory_table(spark, inventory, "b99999")
+        raw.read_inventory_table(spark, inventory, "b99999")
+
+
+def test_files_of_different_headers_are_one_scan(spark, tmp_path):
+    folder = tmp_path / "a table" / "ACSST5Y2021.S1901-Data.csv"
+    folder.mkdir(parents=True)
+    (tmp_path / "ACSST5Y2019.S1901-Data.csv").write_text('GEO_ID,NAME,A,B\n1,"x, ""y""",5,6\n2,plain,7\n\n3,"open,8,9\nGEO_ID,NAME,A,B\n4,z,1,2,3\n')
+    (folder / "part-1.csv").write_text("B,GEO_ID,C,NAME\r\nb1,5,c1,n5\r\nb2,6,c2,n6\r\n")
+    (folder / "part-2.csv").write_text("B,GEO_ID,C,NAME\nb3,7,c3,n7\n")
+    (tmp_path / "ACSST5Y2022.S1901-Data.csv").write_text("")
+    files = raw.data_files(io.file_inventory(spark, str(tmp_path)), "s1901")
+    assert files.count() == 3  # an empty file is no table
+    df = raw.read_aligned(spark, files.where("year < 2022"))
+    assert df.columns == ["geo_id", "name", "a", "b", "c", "year", "table_code", raw.MALFORMED]
+    got = {r.geo_id: tuple(r)[1:6] for r in df.collect()}
+    assert got["1"] == ("x, \"y\"", "5", "6", None, 2019) and got["5"] == ("n5", None, "b1", "c1", 2021) and got["7"] == ("n7", None, "b3", "c3", 2021)
+    bad = {r.geo_id: r[raw.MALFORMED] for r in df.where(f"{raw.MALFORMED} is not null").collect()}
+    assert bad == {"2": "2,plain,7", "3": '3,"open,8,9', "4": "4,z,1,2,3"}
+    assert raw.shared_columns(spark, files.where("year < 2022")) == ["geo_id", "name", "b"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("text\n") == 1
+    assert {tuple(r) for r in raw.line_report(df).collect()} == {(2019, "S1901", 4, 3), (2021, "S1901", 3, 0)}
+    with pytest.raises(ValueError, match="\\['b'\\]"):
+        raw.read_aligned(spark, files.where("year < 2022").withColumn("a", F.lit(1)).withColumnRenamed("a", "b").withColumn("year", F.lit(1)))
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    root = f"{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root)
+    one = literal_table(spark, [(1, "a"), (2, "b"), (3, "c")], "id int, v string")
+    assert versions.replace(one, root, "first") == 1
+    old = versions.read(spark, root)
+    two = old.where("id <> 1").withColumn("v", F.when(F.col("id") == 2, "B").otherwise(F.col("v"))).unionByName(literal_table(spark, [(9, "z")], "id int, v string"))
+    assert versions.replace(two, root, expect=1) == 2  # made from the table itself
+    assert {tuple(r) for r in versions.read(spark, root).collect()} == {(2, "B"), (3, "c"), (9, "z")}
+    assert {tuple(r) for r in versions.read(spark, root, 1).collect()} == {tuple(r) for r in old.collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    assert {tuple(r) for r in versions.changes(spark, root, 1, 2, ["id"]).collect()} == {(1, "removed"), (2, "changed"), (9, "added")}
+    with pytest.raises(versions.VersionConflict):
+        versions.replace(one, root, expect=1)
+    with pytest.raises(versions.VersionConflict):
+        versions._publish(spark, root, {"version": 2})
+    broken = one.withColumn("v", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        versions.replace(broken, root)
+    assert [(r.version, r.row_count, r.parent, r.note) for r in versions.history(spark, root).orderBy("version").collect()] == [(1, 3, 0, "first"), (2, 3, 1, "")]
+    assert versions.restore(spark, root, 1) == 3
+    assert versions.read(spark, root).count() == 3 and versions.read(spark, root).where("v = 'b'").count() == 1
+    assert versions.forget(spark, root, 1) == [1, 2]
+    assert {tuple(r) for r in versions.read(spark, root).collect()} == {(1, "a"), (2, "b"), (3, "c")}  # its files are version 1's
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, 2)
+    empty = one.where("false")
+    assert versions.replace(empty, root) == 4 and versions.read(spark, root).schema == one.schema and versions.read(spark, root).count() == 0
 
 
 def test_staging_and_typing(spark, raw_folder):
     path = io.file_inventory(spark, raw_folder).where("file_kind = 'Data' and year = 2019").first().path
-    raw = io.read_text_table(spark, path)
-    staged = tracts.stage_table(raw, "b19013", 2019, "Detailed Table", "DT", "17", "019")
+    table = io.read_text_table(spark, path)
+    staged = tracts.stage_table(table, "b19013", 2019, "Detailed Table", "DT", "17", "019")
     assert {"geo_id_2", "name_2", "unnamed_4"} <= set(staged.columns)
     typed = {r.tract_geoid: r for r in tracts.typed_table([staged], "b19013").collect()}
     assert set(typed) == {"17019000200", "17019005301"}

@@ -93,7 +93,7 @@ STAT_SPEC = "year:i metric_group:s metric_name:s metric_value:d pct_of_household
 
 @query("stat_profile", STAT_SPEC, FINAL_SQL + "---" + profile_sql("below_flag = 1"), digits=2)
 def stat_profile(spark, folder):
-    return pf.stat_profile(stage(final(spark, folder).where("below_flag = 1")), ["year"])
+    return pf.stat_profile(final(spark, folder).where("below_flag = 1"), ["year"])
 
 
 @query("profile_compare",
@@ -113,9 +113,7 @@ def stat_profile(spark, folder):
        FROM c FULL JOIN n ON c.year = n.year AND c.metric_group = n.metric_group AND c.metric_name = n.metric_name""",
        digits=2)
 def profile_compare(spark, folder):
-    below = stage(final(spark, folder).where("below_flag = 1"))
-    return pf.compare_profiles(pf.stat_profile(below, ["year"]),
-                               pf.stat_profile(below.where("student_heavy_flag = 0"), ["year"]))
+    return pf.survey_profiles(final(spark, folder))["comparison"]
 
 
 @query("county_totals", "year:i source_variant:s below_households:d county_total_households:d below_rate_pct:d",
