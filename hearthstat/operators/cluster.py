@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hearthstat.operators.reshape import rows_from
-from hearthstat.operators.scale import join_small, literal_table, stage
+from hearthstat.operators.scale import held, join_small, literal_table, stage
 from hearthstat.operators.standardize import impute_median, winsorize, zscores
 
 K_MIN, K_MAX = 2, 6
@@ -392,84 +392,143 @@ def centroid_distances(cents: DataFrame, period: str, cluster: str, features: Se
         F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v)).alias("distance"))
 
 
-def _least_total(cost: np.ndarray) -> float:
-    """Least total cost of giving every row a column of its own (rows <= columns): augmenting paths on reduced costs."""
+def _prices(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A cheapest one-to-one assignment of a square table: the column of each row, and row and column prices that prove it.
+
+    Rows enter one by one; each goes along the cheapest path of reduced costs to a free column, in cubic time over all.
+    """
+    n = len(cost)
+    u, v, owner = np.zeros(n), np.zeros(n), np.full(n, -1)
+    for i in range(n):
+        least, back, used = cost[i] - u[i] - v, np.full(n, -1), np.zeros(n, bool)
+        while True:
+            free = np.where(used, np.inf, least)
+            to = int(free.argmin())
+            step = free[to]
+            used[to] = True
+            if owner[to] < 0:
+                break
+            row = owner[to]
+            through = step + cost[row] - u[row] - v
+            better = ~used & (through < least)
+            least[better], back[better] = through[better], to
+        seen = used.copy()
+        seen[to] = False
+        u[i] += step
+        u[owner[seen]] += step - least[seen]
+        v[seen] -= step - least[seen]
+        while to >= 0:
+            before = back[to]
+            owner[to] = owner[before] if before >= 0 else i
+            to = before
+    match = np.empty(n, int)
+    match[owner] = np.arange(n)
+    return match, u, v
+
+
+def assignment(cost: np.ndarray) -> list[int]:
+    """The column of each row (rows <= columns) at least total cost; among equal totals, each row in turn takes the first
+    column that some cheapest assignment gives it.
+
+    Only pairs of reduced cost zero occur in cheapest assignments, so the choice among them is a search along alternating
+    paths of such pairs. Columns that stay over belong to rows of cost 0 that are added.
+    """
     n, m = cost.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[at]:
-            used[at] = True
-            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = ~used[1:] & (reduced < least[1:])
-            least[1:][better], back[1:][better] = reduced[better], at
-            free = np.where(used[1:], np.inf, least[1:])
-            to = int(free.argmin()) + 1
-            step = free[to - 1]
-            u[owner[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            at = to
-        while at:
-            owner[at], at = owner[back[at]], back[at]
-    return float(sum(cost[owner[j] - 1, j - 1] for j in range(1, m + 1) if owner[j]))
+    if not n:
+        return []
+    square = np.zeros((m, m))
+    square[:n] = cost
+    match, u, v = _prices(square)
+    tight = square - u[:, None] - v <= 1e-9 * max(1.0, float(np.abs(square).max()))
+    tight[np.arange(m), match] = True
+    owner = np.empty(m, int)
+    owner[match] = np.arange(m)
+    fixed = np.zeros(m, bool)
+    for i in range(n):
+        for j in np.flatnonzero(tight[i] & ~fixed).tolist():
+            if j == match[i]:
+                break
+            came, line, found = {int(owner[j]): -1}, [int(owner[j])], -1  # who loses j looks for a way to the column that i leaves
+            while line and found < 0:
+                row = line.pop(0)
+                if tight[row, match[i]]:
+                    found = row
+                    break
+                for c in np.flatnonzero(tight[row] & ~fixed).tolist():
+                    if c != j and (other := int(owner[c])) != i and other not in came:
+                        came[other] = row
+                        line.append(other)
+            if found >= 0:
+                column = match[i]
+                while found >= 0:
+                    column, match[found] = match[found], column
+                    owner[match[found]] = found
+                    found = came[found]
+                match[i], owner[j] = j, i
+                break
+        fixed[match[i]] = True
+    return match[:n].tolist()
 
 
 def match_one_to_one(cost: dict[tuple, float], left: Sequence, right: Sequence) -> list[tuple]:
-    """Pairs of least total cost, every cluster of the shorter side used once; equal totals go to the first in order.
-
-    The total is found in cubic time; then each cluster in turn takes the first partner that keeps it.
-    """
+    """Pairs of least total cost, every cluster of the shorter side used once; equal totals go to the first in order."""
     if not left or not right:
         return []
     flip = len(left) > len(right)
     a, b = (list(right), list(left)) if flip else (list(left), list(right))
-    table = np.array([[cost[(y, x) if flip else (x, y)] for y in b] for x in a], float)
-    total, spent, pairs, free = _least_total(table), 0.0, [], list(range(len(b)))
-    for i in range(len(a)):
-        for j in free:
-            rest = [c for c in free if c != j]
-            later = _least_total(table[i + 1:][:, rest]) if i + 1 < len(a) else 0.0
-            if spent + table[i, j] + later <= total + 1e-9 * max(1.0, abs(total)):
-                break
-        spent, free = spent + table[i, j], [c for c in free if c != j]
-        pairs.append((b[j], a[i]) if flip else (a[i], b[j]))
-    return sorted(pairs, key=lambda p: list(left).index(p[0]))
+    columns = assignment(np.array([[cost[(y, x) if flip else (x, y)] for y in b] for x in a], float))
+    pairs = [(b[j], x) if flip else (x, b[j]) for x, j in zip(a, columns, strict=True)]
+    place = {x: i for i, x in enumerate(left)}
+    return sorted(pairs, key=lambda p: place[p[0]])
+
+
+def match_periods(distances: DataFrame) -> DataFrame:
+    """One-to-one pairs of least total distance for every two periods in a row, each two in a task of its own.
+
+    A task holds the distances between the clusters of two periods: the square of their number, which is a parameter of
+    the fit and not of the rows. Equal totals go to the smaller cluster ids.
+    """
+    def solve(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        cost = dict(zip(zip(rows["from_cluster"], rows["to_cluster"]), rows["distance"]))
+        pairs = match_one_to_one(cost, sorted(set(rows["from_cluster"])), sorted(set(rows["to_cluster"])))
+        found = {c: [rows[c][0]] * len(pairs) for c in ("from_period", "to_period")}
+        found |= {"from_cluster": [a for a, _ in pairs], "to_cluster": [b for _, b in pairs], "distance": [float(cost[p]) for p in pairs]}
+        return pa.table(found, schema=table.schema)
+
+    columns = ["from_period", "to_period", "from_cluster", "to_cluster", "distance"]
+    return distances.select(*columns).groupBy("from_period", "to_period").applyInArrow(solve, distances.select(*columns).schema)
 
 
 def align_clusters(cents: DataFrame, period: str, cluster: str, features: Sequence[str]) -> DataFrame:
     """Carry cluster ids through the periods (ML10): anchor, matched to previous, or new.
 
-    The distances come from Spark; matching works on the centroid table, one row per cluster and period.
+    Costs and matches stay in Spark. Every matched cluster points to the one before; pointers are doubled until each shows
+    the first of its chain, and the firsts are numbered by period and id. The centroid table has a row per cluster and
+    period.
     """
     periods = [p for p in period_list(cents, period) if p is not None]
-    rows = cents.select(period, cluster).collect()
-    members = {p: sorted(r[1] for r in rows if r[0] == p) for p in periods}
-    costs: dict = {}
-    for r in centroid_distances(cents, period, cluster, features, periods).collect():
-        costs.setdefault(r.to_period, {})[(r.from_cluster, r.to_cluster)] = r.distance
-    aligned = {c: i for i, c in enumerate(members[periods[0]])}
-    table = [(periods[0], c, i, "anchor", 0.0) for c, i in aligned.items()]
-    next_id = len(aligned)
-    for before, now in zip(periods, periods[1:]):
-        cost = costs.get(now, {})
-        # Earlier clusters are offered in the order of their aligned ids, so ties are settled by them.
-        pairs = match_one_to_one(cost, sorted(members[before], key=aligned.get), members[now])
-        current = {b: aligned[a] for a, b in pairs}
-        table += [(now, b, aligned[a], "matched_to_previous", float(cost[(a, b)])) for a, b in pairs]
-        for c in members[now]:
-            if c not in current:
-                current[c] = next_id
-                table.append((now, c, next_id, "new_unmatched_cluster", None))
-                next_id += 1
-        aligned = current
-    kinds = [cents.schema[c].dataType.simpleString() for c in (period, cluster)]
-    mapping = literal_table(
-        cents.sparkSession,
-        table, f"{period} {kinds[0]}, {cluster} {kinds[1]}, aligned_cluster_id int, match_type string, "
-               "distance_to_previous double")
-    return mapping.withColumn("aligned_cluster_label", cluster_label("aligned_cluster_id", "aligned_cluster_"))
+    spark, kind = cents.sparkSession, cents.schema[period].dataType.simpleString()
+    order = literal_table(spark, list(enumerate(periods)), f"_i int, {period} {kind}")
+    pairs = match_periods(centroid_distances(cents, period, cluster, features, periods))
+    pairs = pairs.select(F.col("to_period").alias(period), F.col("to_cluster").alias(cluster), F.col("from_cluster").alias("_before"),
+                         F.col("distance").alias("distance_to_previous"))
+    rows = cents.select(period, cluster).distinct().join(order, period).join(pairs, [period, cluster], "left")
+    met = F.col("_before").isNotNull()
+    rows = held(rows.select("*", F.when(met, F.col("_i") - 1).otherwise(F.col("_i")).alias("_ri"), F.coalesce("_before", cluster).alias("_rc")))
+    step = 1
+    while step < len(periods):
+        further = rows.select(F.col("_i").alias("_ri"), F.col(cluster).alias("_rc"), F.col("_ri").alias("_fi"), F.col("_rc").alias("_fc"))
+        rows = held(rows.join(further, ["_ri", "_rc"]).select(period, cluster, "_i", "_before", "distance_to_previous", F.col("_fi").alias("_ri"), F.col("_fc").alias("_rc")))
+        step *= 2
+    firsts = rows.where("_before is null").select("_i", cluster)
+    number = F.row_number().over(W.orderBy("_i", cluster)) - 1  # over the firsts of all chains, a part of the centroid table
+    named = firsts.select(F.col("_i").alias("_ri"), F.col(cluster).alias("_rc"), number.alias("aligned_cluster_id"))
+    kinds = F.when(F.col("_i") == 0, "anchor").when(met, "matched_to_previous").otherwise("new_unmatched_cluster")
+    away = F.when(F.col("_i") == 0, F.lit(0.0)).otherwise(F.col("distance_to_previous"))
+    return rows.join(named, ["_ri", "_rc"]).select(
+        period, cluster, "aligned_cluster_id", kinds.alias("match_type"), away.alias("distance_to_previous"),
+        cluster_label("aligned_cluster_id", "aligned_cluster_").alias("aligned_cluster_label"))
 
 
 def apply_alignment(df: DataFrame, mapping: DataFrame, period: str, cluster: str) -> DataFrame:

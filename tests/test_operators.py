@@ -196,6 +196,35 @@ def test_matching_of_many_clusters_is_optimal():
     assert len(cl.match_one_to_one({(i, j): big[i, j] for i in names for j in names}, names, names)) == 9
 
 
+def test_equal_totals_go_to_the_first_in_order():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n = int(rng.integers(1, 5))
+        m = int(rng.integers(n, 6))
+        table = rng.integers(0, 3, (n, m)).astype(float)
+        every = [p for p in permutations(range(m), n)]
+        best = min(sum(table[i, j] for i, j in enumerate(p)) for p in every)
+        assert cl.assignment(table) == list(min(p for p in every if sum(table[i, j] for i, j in enumerate(p)) == best))
+
+
+def test_five_hundred_clusters_a_period(spark):
+    rng = np.random.default_rng(13)
+    places = rng.uniform(0, 100, (500, 2))
+    rows, want = [], {}
+    for year in (2019, 2021, 2022):
+        order = rng.permutation(500)
+        for c, k in enumerate(order):
+            rows.append((year, c, *map(float, places[k] + rng.normal(0, 1e-3, 2))))
+            want[year, c] = int(k)
+    rows += [(2022, 500 + i, 1e4 + i, 1e4) for i in range(3)]
+    got = cl.align_clusters(literal_table(spark, rows, "year int, cluster_id int, f double, g double"), "year", "cluster_id", ["f", "g"]).collect()
+    first = {want[2019, r.cluster_id]: r.aligned_cluster_id for r in got if r.year == 2019}
+    assert len(got) == 1503 and sorted(first.values()) == list(range(500))
+    assert all(r.aligned_cluster_id == first[want[r.year, r.cluster_id]] for r in got if (r.year, r.cluster_id) in want)
+    assert {(r.aligned_cluster_id, r.match_type, r.distance_to_previous) for r in got if r.cluster_id >= 500} == {
+        (500 + i, "new_unmatched_cluster", None) for i in range(3)}
+
+
 def test_clusters_of_many_periods_and_of_the_null_period(spark):
     rng = np.random.default_rng(9)
     rows = [(y, i, *map(float, rng.normal([(i % 3) * 20, -(i % 3) * 20], 1.0))) for y in [*range(150), None] for i in range(9)]
