@@ -137,15 +137,21 @@ def compare_profiles(base: DataFrame, other: DataFrame, keys: Sequence[str] = ("
     }).drop(f"_{base_name}_sort", f"_{other_name}_sort")
 
 
+def below_sums(weight: str = "analysis_weight", flag: str = "below_flag") -> dict[str, Column]:
+    return {"total_households": F.sum(F.col(weight).cast("double")), "below_households": weighted_where(F.col(flag) == 1, weight),
+            "above_households": weighted_where(F.col(flag) == 0, weight)}
+
+
+def balanced(sums: DataFrame) -> DataFrame:
+    """Totals with what their parts leave over."""
+    return sums.withColumn("balance_check", F.round(
+        F.col("total_households") - (F.col("below_households") + F.col("above_households")), 4))
+
+
 def below_totals(df: DataFrame, groups: Sequence[str], weight: str = "analysis_weight",
                  flag: str = "below_flag") -> DataFrame:
     """Weighted total, below, above and balance per group."""
-    sums = df.groupBy(*groups).agg(
-        F.sum(F.col(weight).cast("double")).alias("total_households"),
-        weighted_where(F.col(flag) == 1, weight).alias("below_households"),
-        weighted_where(F.col(flag) == 0, weight).alias("above_households"))
-    return sums.withColumn("balance_check", F.round(
-        F.col("total_households") - (F.col("below_households") + F.col("above_households")), 4))
+    return balanced(df.groupBy(*groups).agg(*[c.alias(n) for n, c in below_sums(weight, flag).items()]))
 
 
 def county_totals(df: DataFrame, period: str = "year", weight: str = "analysis_weight") -> DataFrame:
@@ -192,23 +198,32 @@ def target_compare(actual: DataFrame, targets: DataFrame, on: Sequence[str], mea
     return rows_from(both, on, rows)
 
 
-def filter_impact(df: DataFrame, groups: Sequence[str], before: Column, after: Column,
-                  weight: str = "analysis_weight") -> DataFrame:
-    """Weighted total before and after a filter, and what it removed."""
-    sums = df.groupBy(*groups).agg(
-        weighted_where(before, weight).alias("before_total"), weighted_where(before & after, weight).alias("after_total"))
+def impact_counts(before: Column, after: Column, weight: str = "analysis_weight") -> dict[str, Column]:
+    return {"before_total": weighted_where(before, weight), "after_total": weighted_where(before & after, weight)}
+
+
+def impact_of(sums: DataFrame) -> DataFrame:
+    """Totals with what the filter removed."""
     gone = F.col("before_total") - F.col("after_total")
     return sums.withColumns({
         "removed": gone, "pct_removed": F.round(100.0 * gone / F.nullif(F.col("before_total"), F.lit(0.0)), 2)})
 
 
-def threshold_match(df: DataFrame, thresholds: DataFrame, period: str = "year", tolerance: float = 0.01) -> DataFrame:
-    """Rows whose stored threshold differs from the table."""
+def filter_impact(df: DataFrame, groups: Sequence[str], before: Column, after: Column,
+                  weight: str = "analysis_weight") -> DataFrame:
+    """Weighted total before and after a filter, and what it removed."""
+    return impact_of(df.groupBy(*groups).agg(*[c.alias(n) for n, c in impact_counts(before, after, weight).items()]))
+
+
+def threshold_match(df: DataFrame, thresholds: DataFrame, period: str = "year", tolerance: float = 0.01,
+                    rows: str | None = None) -> DataFrame:
+    """Rows whose stored threshold differs from the table (A19); ``rows`` names the sizes where ``df`` holds groups of rows."""
     table = thresholds.select(period, "hh_comp_key", F.col("annual_threshold").alias("_t"))
     both = join_small(df, table, [period, "hh_comp_key"], "inner")
     wrong = F.col("annual_threshold").isNull() | (F.abs(F.col("annual_threshold") - F.col("_t")) > tolerance)
+    many = F.lit(1) if rows is None else F.col(rows)
     return both.groupBy(period).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(wrong).alias("threshold_mismatch_rows"))
+        F.sum(many).alias("row_count"), F.sum(F.when(wrong, many).otherwise(0)).alias("threshold_mismatch_rows"))
 
 
 def flag_reconciliation(df: DataFrame, groups: Sequence[str], stored: Column, recomputed: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthstat.functions.expressions import has_text, is_blank
+from hearthstat.operators.checks import Checks, excess
 from hearthstat.operators.reshape import rows_from, union_all
 from hearthstat.operators.scale import join_small, literal_table
 
@@ -75,9 +76,15 @@ def reference_coverage(source: DataFrame, reference: DataFrame, key: str, by: Se
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULL and blank counts of every column in one scan; the share is a fraction of 1 (Q6)."""
-    wide = df.agg(F.count(F.lit(1)).alias("row_count"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns],
-                  *[F.count_if(is_blank(c)).alias(f"_b_{c}") for c in columns])
+    return missing_rows(df.agg(F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in missing_counts(columns).items()]), columns)
+
+
+def missing_counts(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"_n_{c}": F.count_if(F.col(c).isNull()) for c in columns} | {f"_b_{c}": F.count_if(is_blank(c)) for c in columns}
+
+
+def missing_rows(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column from the counts of one row."""
     return rows_from(wide, ["row_count"], [
         {"column_name": F.lit(c), "null_count": F.col(f"_n_{c}"), "blank_or_null_count": F.col(f"_b_{c}"),
          "missing_pct": F.round(F.col(f"_b_{c}") / F.nullif(F.col("row_count"), F.lit(0)), 6)} for c in columns])
@@ -85,13 +92,22 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULL, zero and negative counts with the extremes of every numeric column in one scan (Q7)."""
-    aggs = [F.count(F.lit(1)).alias("row_count")]
+    return numeric_rows(df.agg(F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in numeric_counts(columns).items()]), columns)
+
+
+def numeric_counts(columns: Sequence[str]) -> dict[str, Column]:
+    out = {}
     for c in columns:
         v = F.col(c).cast("double")
-        aggs += [F.count_if(v.isNull()).alias(f"_n_{c}"), F.count_if(v == 0).alias(f"_z_{c}"),
-                 F.count_if(v < 0).alias(f"_g_{c}"), F.min(v).alias(f"_l_{c}"), F.max(v).alias(f"_h_{c}")]
-    return rows_from(df.agg(*aggs), ["row_count"], [
-        {"column_name": F.lit(c), "null_count": F.col(f"_n_{c}"), "zero_count": F.col(f"_z_{c}"),
+        out |= {f"_v_{c}": F.count_if(v.isNull()), f"_z_{c}": F.count_if(v == 0), f"_g_{c}": F.count_if(v < 0),
+                f"_l_{c}": F.min(v), f"_h_{c}": F.max(v)}
+    return out
+
+
+def numeric_rows(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column from the counts of one row."""
+    return rows_from(wide, ["row_count"], [
+        {"column_name": F.lit(c), "null_count": F.col(f"_v_{c}"), "zero_count": F.col(f"_z_{c}"),
          "negative_count": F.col(f"_g_{c}"), "min_value": F.col(f"_l_{c}"), "max_value": F.col(f"_h_{c}")}
         for c in columns])
 
@@ -103,9 +119,14 @@ def period_counts(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
 
 def grid_counts(df: DataFrame, key: str, key_values: Sequence, column: str, values: Sequence) -> DataFrame:
     """Rows in each cell of an expected literal grid; an unseen cell shows 0 and False."""
-    counts = df.groupBy(key, column).agg(F.count(F.lit(1)).alias("_n"))
+    return grid_of(df.groupBy(key, column).agg(F.count(F.lit(1)).alias("row_count")), key, key_values, column, values)
+
+
+def grid_of(groups: DataFrame, key: str, key_values: Sequence, column: str, values: Sequence) -> DataFrame:
+    """The same from groups with their sizes."""
+    counts = groups.select(key, column, F.col("row_count").alias("_n"))
     kinds = [counts.schema[c].dataType.simpleString() for c in (key, column)]
-    grid = literal_table(df.sparkSession, [(k, v) for k in key_values for v in values],
+    grid = literal_table(groups.sparkSession, [(k, v) for k in key_values for v in values],
                          f"{key} {kinds[0]}, {column} {kinds[1]}")
     seen = grid.join(counts, [key, column], "left")
     return seen.select(key, column, F.coalesce("_n", F.lit(0)).alias("row_count"),
@@ -162,16 +183,29 @@ def key_bounds(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
         F.min(key).alias("min_key"), F.max(key).alias("max_key"))
 
 
+def ask_suite(checks: Checks, keys: Sequence[str], entity: str) -> None:
+    """Ask for what the row of a table in a suite needs."""
+    text = F.trim(F.col(entity).cast("string"))
+    checks.rows("suite_size", null_keys=F.count_if(F.col(entity).isNull()), blank_keys=F.count_if(F.col(entity).isNotNull() & (text == "")))
+    checks.groups("suite_entities", {"_entity": F.when(has_text(entity), text)}).groups("suite_keys", keys)
+
+
+def suite_row(name: str, found: Mapping[str, DataFrame]) -> DataFrame:
+    """Sizes, keys and duplicates of one table (Q3, Q4, Q9)."""
+    dup = excess(found["suite_keys"])
+    return found["suite_size"].select(
+        F.lit(name).alias("table_name"), "row_count", found["suite_entities"].agg(F.count("_entity")).scalar().alias("distinct_keys"),
+        "null_keys", "blank_keys", dup.select("duplicate_groups").scalar().alias("duplicate_groups"),
+        dup.select("duplicate_rows").scalar().alias("duplicate_rows"))
+
+
 def table_suite(tables: Mapping[str, DataFrame], keys: Sequence[str], entity: str) -> DataFrame:
-    """Key, duplicate and size checks over a set of tables, one row per table (Q9)."""
+    """Key, duplicate and size checks over a set of tables, one row and one scan per table (Q9)."""
     rows = []
     for name, df in tables.items():
-        # One row each: the two aggregates meet through scalar subqueries.
-        dup = duplicate_stats(df, keys)
-        rows.append(key_checks(df, entity).select(
-            F.lit(name).alias("table_name"), "*",
-            dup.select("duplicate_groups").scalar().alias("duplicate_groups"),
-            dup.select("duplicate_rows").scalar().alias("duplicate_rows")))
+        checks = Checks(df)
+        ask_suite(checks, keys, entity)
+        rows.append(suite_row(name, checks.run()))
     return union_all(rows)
 
 

@@ -10,6 +10,7 @@ from hearthstat.functions.keys import areas_of_period
 from hearthstat.operators import household as hh
 from hearthstat.operators import profile as pf
 from hearthstat.operators import thresholds as th
+from hearthstat.operators.checks import Checks
 from hearthstat.operators.scale import literal_table
 
 # State, area codes of the study region by period, and the area only partly inside it.
@@ -79,18 +80,22 @@ def control_totals(spark: SparkSession) -> DataFrame:
 
 
 def validation_checks(final: DataFrame, raw: DataFrame, calibrated: DataFrame) -> dict[str, DataFrame]:
-    """The named checks of the final table."""
-    totals = pf.below_totals(final, ["year"])
+    """The named checks of the final table, which is read once."""
+    columns = ["analysis_weight", "hincp_adj_real", "hh_comp_key", "annual_threshold", "below_flag", "student_heavy_flag"]
+    asked = Checks(final).rows("nulls", ["year"], **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in columns})
+    asked.rows("totals", ["year"], **pf.below_sums())
+    asked.rows("impact", ["year"], **pf.impact_counts(F.col("below_flag") == 1, F.coalesce("student_heavy_flag", F.lit(0)) == 0))
+    asked.groups("thresholds", ["year", "hh_comp_key", "annual_threshold"])
+    found = asked.run()
+    totals = pf.balanced(found["totals"].drop("row_count"))
     measures = ["total_households", "below_households", "above_households"]
     return {
-        "01_calibrated_threshold_match": pf.threshold_match(final, calibrated),
+        "01_calibrated_threshold_match": pf.threshold_match(found["thresholds"], calibrated, rows="row_count"),
         "02_calibration_spot_check": th.spot_check(raw, calibrated),
-        "03_final_table_null_check": pf.null_counts(final, ["year"], [
-            "analysis_weight", "hincp_adj_real", "hh_comp_key", "annual_threshold", "below_flag", "student_heavy_flag"]),
+        "03_final_table_null_check": found["nulls"],
         "04_balance_check": totals,
         "05_control_total_compare": pf.target_compare(totals, control_totals(final.sparkSession), ["year"], measures),
-        "06_nonstudent_filter_impact": pf.filter_impact(
-            final, ["year"], F.col("below_flag") == 1, F.coalesce("student_heavy_flag", F.lit(0)) == 0),
+        "06_nonstudent_filter_impact": pf.impact_of(found["impact"].drop("row_count")),
     }
 
 

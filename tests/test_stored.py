@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthstat.operators import colocate, metrics, profile
+from hearthstat.operators import checks, colocate, metrics, profile
 from hearthstat.operators.metrics import Metric
 from hearthstat.operators.scale import literal_table, stage
-from hearthstat.plans import tracts
+from hearthstat.plans import households, tracts, validation
 
 
 @pytest.fixture
@@ -138,3 +138,69 @@ def test_lineage_closes_over_derived_metrics(spark):
     df = literal_table(spark, [(1, 2.0, 3.0, 4.0)], "id int, x double, y double, z double")
     chain = [s for s in specs if s.name != "x"]
     assert tuple(metrics.project_all(df, chain, ["id"]).first()) == (1, 5.0, 20.0, -15.0)
+
+
+# Checks
+
+
+def scans(df, path):
+    return sum(path in str(f) for f in df.inputFiles())
+
+
+@pytest.fixture
+def staged(monkeypatch):
+    """Frames that are written, in order."""
+    seen = []
+    monkeypatch.setattr(checks, "stage", lambda df: seen.append(df) or stage(df))
+    return seen
+
+
+def test_many_checks_are_one_scan(spark, tmp_path, staged):
+    rows = [(2019, "a", 1.0), (2019, "a", None), (2019, None, 3.0), (2020, " ", -4.0), (None, "b", 5.0), (2020, "c", 0.0)]
+    literal_table(spark, rows, "year int, k string, v double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    asked = checks.Checks(df).rows("all", nulls=F.count_if(F.col("v").isNull()), top=F.max("v")).rows("years", ["year"], total=F.sum("v"))
+    asked.groups("keys", ["k", "year"]).groups("upper", {"letter": F.upper("k")})
+    found = asked.run()
+    assert len(staged) == 1 and staged[0]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert [tuple(r) for r in found["all"].collect()] == [(6, 1, 5.0)]
+    assert {tuple(r) for r in found["years"].collect()} == {(2019, 3, 4.0), (2020, 2, -4.0), (None, 1, 5.0)}
+    assert {tuple(r) for r in found["keys"].collect()} == {("a", 2019, 2), (None, 2019, 1), (" ", 2020, 1), ("b", None, 1), ("c", 2020, 1)}
+    assert {r.letter for r in found["upper"].collect()} == {"A", None, " ", "B", "C"}
+    assert tuple(checks.excess(found["keys"]).first()) == (1, 1)
+    empty = checks.Checks(df.where("false")).rows("all", nulls=F.count_if(F.col("v").isNull()), top=F.max("v")).groups("keys", ["k"]).run()
+    assert [tuple(r) for r in empty["all"].collect()] == [(0, 0, None)] and empty["keys"].count() == 0
+    with pytest.raises(ValueError, match="two things"):
+        checks.Checks(df).groups("a", ["k"]).groups("b", {"k": F.upper("k")})
+    with pytest.raises(ValueError, match="already"):
+        checks.Checks(df).groups("a", ["k"]).groups("a", ["v"])
+
+
+def test_suites_read_each_table_once(spark, tmp_path, staged):
+    key = [(y, f"1701900{i:04d}") for y in (2019, 2021) for i in range(5)]
+    for name, rows in {"one": [*key, key[0]], "two": key[:3]}.items():
+        literal_table(spark, [(str(y), t, "x") for y, t in rows], "year string, tract_geoid string, v string").write.parquet(f"{tmp_path}/{name}")
+    tables = {f"stg_acs_2019_{c}_raw": spark.read.parquet(f"{tmp_path}/{n}") for c, n in (("b19013", "one"), ("b25003", "two"))}
+    suite = validation.layer_suite(spark, "stg", tables, literal_table(spark, key, "year int, tract_geoid string"))
+    for name in ("one", "two"):
+        assert sum(scans(df, f"{tmp_path}/{name}") > 0 for df in staged) == 1
+        assert all(not scans(df, f"{tmp_path}/{name}") for df in suite.values())
+    rows = {r.source: r for r in suite["table_counts"].collect()}
+    assert (rows["b19013"].row_count, rows["b19013"].distinct_keys, rows["b19013"].duplicate_groups, rows["b19013"].duplicate_rows) == (11, 5, 5, 6)
+    assert {(r.table_name[-10:-4], r.year, r.missing_from_source) for r in suite["bridge_coverage"].collect()} == {
+        ("b19013", 2019, 0), ("b19013", 2021, 0), ("b25003", 2019, 2)}
+
+
+def test_household_checks_read_the_final_table_once(spark, tmp_path, staged):
+    ddl = ("year int, analysis_weight double, hincp_adj_real double, hh_comp_key string, annual_threshold double, below_flag int, student_heavy_flag int")
+    rows = [(2019, 2.0, 5.0, "other", 10.0, 1, 0), (2019, 3.0, None, "other", 11.0, 0, 1), (2021, 1.0, 7.0, "x", None, 1, 1), (2021, 4.0, 7.0, "x", 5.0, None, None)]
+    literal_table(spark, rows, ddl).write.parquet(f"{tmp_path}/final")
+    final = spark.read.parquet(f"{tmp_path}/final")
+    table = literal_table(spark, [(2019, "other", 10.0), (2021, "x", 5.0)], "year int, hh_comp_key string, annual_threshold double")
+    found = households.validation_checks(final, *households.thresholds(spark)[:1], table)
+    assert len(staged) == 1 and staged[0]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert all(not scans(df, f"{tmp_path}/final") for df in found.values())
+    assert {tuple(r) for r in found["01_calibrated_threshold_match"].collect()} == {(2019, 2, 1), (2021, 2, 1)}
+    assert {tuple(r) for r in found["04_balance_check"].collect()} == {(2019, 5.0, 2.0, 3.0, 0.0), (2021, 5.0, 1.0, 0.0, 4.0)}
+    assert {tuple(r) for r in found["06_nonstudent_filter_impact"].collect()} == {(2019, 2.0, 2.0, 0.0, 0.0), (2021, 1.0, 0.0, 1.0, 100.0)}
+    assert {(r.year, r.null_hincp_adj_real, r.null_annual_threshold) for r in found["03_final_table_null_check"].collect()} == {(2019, 1, 0), (2021, 0, 1)}
