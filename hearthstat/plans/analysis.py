@@ -103,7 +103,7 @@ def final_outputs(estimates: DataFrame, geography: DataFrame, periods: Sequence[
     extra = [c for c in geography.columns if c == ENTITY or c not in estimates.columns]
     flat = estimates.join(geography.select(*extra).dropDuplicates([ENTITY]), ENTITY, "left")
     label = [c for c in ("display_area_label", "tract_name_canonical", ENTITY) if c in flat.columns]
-    flat = stage(flat.withColumn("display_area_label", F.coalesce(*label)))
+    flat = stage(flat.withColumn("display_area_label", F.coalesce(*[F.col(c).cast("string") for c in label])))
     lists = []
     for basis in ("estimated_households", "estimated_rate_proxy_pct"):
         rows = flat.select(ENTITY, PERIOD, "display_area_label", F.col(basis).alias("basis_value"))

@@ -1,6 +1,6 @@
 """All queries: importing the modules fills the registry."""
 
-from workload import facts, files, models, panels, places, survey, tables  # noqa: F401
+from workload import analyses, facts, files, models, panels, places, survey, tables  # noqa: F401
 from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
