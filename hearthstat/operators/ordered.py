@@ -56,10 +56,13 @@ def _magnitude(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(4001)).when(v == 0, F.lit(0)).when(v > 0, power).otherwise(-power)
 
 
-def _wanted(probs: Sequence[float]) -> Column:
-    """The ranks, from 0, that quantiles of ``_total`` values stand on or between."""
-    places = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    return F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+def _holds_wanted(first: Column, many: Column, probs: Sequence[float]) -> Column:
+    """Whether a stretch of ``many`` values from rank ``first``, of ``_total`` in all, holds a rank that a quantile stands on or between."""
+    holds = F.lit(False)
+    for p in dict.fromkeys(probs):
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        holds = holds | ((F.ceil(place) >= first) & (F.floor(place) < first + many))
+    return holds
 
 
 def _ranges(counted: DataFrame, groups: Sequence[str], within: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -67,8 +70,7 @@ def _ranges(counted: DataFrame, groups: Sequence[str], within: Sequence[str], pr
     order = W.partitionBy(*groups, *within).orderBy("_bin")
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("_before", F.col("_base") + before)
-    holds = F.exists(_wanted(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    return held(placed.where(holds).select(*groups, "_total", "_before", "_n", "_lo", "_hi"))
+    return held(placed.where(_holds_wanted(F.col("_before"), F.col("_n"), probs)).select(*groups, "_total", "_before", "_n", "_lo", "_hi"))
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], bins: int = BINS,
@@ -109,8 +111,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
     counts = some.repartition(*groups, "_before").groupBy(*groups, "_total", "_before", "_v").agg(F.sum("_c").alias("_n"))
     order = W.partitionBy(*groups, "_before").orderBy("_v")
     before = F.col("_before") + F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_first", before).where(F.exists(
-        _wanted(ranks), lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n"))))
+    placed = counts.withColumn("_first", before).where(_holds_wanted(F.col("_first"), F.col("_n"), ranks))
     alone = ranges.where(same).withColumns({"_v": F.col("_lo"), "_first": F.col("_before")})
     each = [*groups, "_total", F.struct("_first", "_n", "_v").alias("_e")]
     pieces = placed.select(*each).unionByName(alone.select(*each)).groupBy(*groups, "_total").agg(F.collect_list("_e").alias("_p"))
