@@ -20,7 +20,7 @@ COLUMNS = 16
 CHUNK = 1_024
 QUERIES = 256
 EPSILON = 3.0
-EXTRA = 10
+TIE = 1e-5
 
 
 def rotation(size: int, seed: int = 5) -> np.ndarray:
@@ -82,11 +82,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id"
     and the centres come from k-means on at most ``SAMPLE`` rows. Lists are stored in chunks by column blocks of the rotated
     unit vectors. A query's nearest list gives its first limit; then all probed lists are scanned against that limit, with
     early abandonment. How many lists are probed is set so that, for a bounded sample of queries compared with all rows,
-    the wanted share of true neighbours lies in them. What is left is scored on the original vectors in double precision.
+    the wanted share of true neighbours lies in them. Whatever is as near as the k-th within the error of single precision is
+    scored on the original vectors in double precision, so ties are settled there.
 
     Equal vectors are one candidate that stands for its k + 1 smallest ids, so no number of copies makes a long list.
     A query is no candidate of its own. Vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor
-    do rows without an id; rows that repeat an id count once. Fewer candidates than k give fewer rows, an empty table none.
+    do rows without an id; rows that repeat an id count once, with their nearest vector. Fewer candidates than k give fewer rows, an empty table none.
     """
     spark = df.sparkSession
     rows = df.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
@@ -172,13 +173,17 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id"
     first = stage(probe(routed.where("place = 0").withColumn("limit", wide)), "first", "lz4")
     limits = nearest(first, want).groupBy(F.col("query_id").alias("_query")).agg(F.when(F.count(F.lit(1)) >= want, F.max("gap").cast("double")).alias("_limit"))
     rest = routed.where("place > 0").join(limits, F.col("query_id") == F.col("_query"), "left").withColumn("limit", F.coalesce("_limit", wide))
-    close = nearest(first.unionByName(probe(rest.select("query_id", "list", "turned", "limit"))), want + EXTRA).select("query_id", "rep")
-    ids = rows.withColumn("_r", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("_r") <= 2 * want)
-    ids = ids.select("vec_id", F.col("vector").alias("_same")).dropDuplicates(["vec_id"])
+    every = stage(first.unionByName(probe(rest.select("query_id", "list", "turned", "limit"))), "candidates", "lz4")
+    edges = nearest(every, want).groupBy(F.col("query_id").alias("_query")).agg(F.when(F.count(F.lit(1)) >= want, F.max("gap").cast("double")).alias("_edge"))
+    near = F.col("_edge").isNull() | (F.col("gap") <= F.col("_edge") * (1 + TIE) + TIE)
+    close = every.join(edges, F.col("query_id") == F.col("_query")).where(near).select("query_id", "rep")
+    ids = rows.distinct().withColumn("_r", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("_r") <= want)
+    ids = ids.select("vec_id", F.col("vector").alias("_same"))
     originals = known.select(F.col("rep").alias("_rep"), F.col("vector").alias("_vector"))
     scored = close.join(originals, F.col("rep") == F.col("_rep")).join(asked.withColumnRenamed("query_id", "_query"), F.col("query_id") == F.col("_query"))
     scored = scored.select("query_id", "_vector", cosine(F.col("vector"), F.col("_vector")).alias("score"))
     named = scored.join(ids, F.col("_vector") == F.col("_same")).where("vec_id != query_id")
+    named = named.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place_of = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = named.withColumn("rank", F.row_number().over(place_of)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

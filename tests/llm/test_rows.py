@@ -166,3 +166,38 @@ def test_scan_keeps_what_is_near():
         left, _ = ann.scan(query, [np.ascontiguousarray(rows.T[a:a + 16]) for a in range(0, 64, 16)], limit, 6)
         lost += len({*np.argsort(gap)[:6].tolist()} - {*left.tolist()})
     assert lost <= 3
+
+
+def brute_nearest(rows, queries, k):
+    """Nearest by cosine in double precision, summed from the first component on; ties to the smaller id."""
+    def dot(x, y):
+        total = 0.0
+        for p, q in zip(x, y, strict=True):
+            total += p * q
+        return total
+
+    out = []
+    for q, v in queries.items():
+        best = {}
+        for i, w in rows:
+            if i != q:
+                score = dot(v, w) / (np.sqrt(dot(v, v)) * np.sqrt(dot(w, w)))
+                best[i] = max(best.get(i, -2.0), score)
+        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(ranked)]
+    return sorted(out)
+
+
+def test_search_with_a_repeated_id_and_with_scaled_copies(spark):
+    rng = np.random.default_rng(21)
+    base = [(i, rng.standard_normal(16).astype(np.float32).astype(float).tolist()) for i in range(300)]
+    vec = base[50][1]
+    rows = [r for r in base if not 51 <= r[0] <= 55] + [(50, vec)] * 20 + [(i, vec) for i in range(51, 56)]
+    one = base[120][1]
+    rows += [(1000 + i, [float(np.float32(x * (1 + i / 64))) for x in one]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, df.where("vec_id in (50, 120, 1007)")).select("query_id", "rank", "vec_id", "score").collect()
+    want = brute_nearest(rows, {50: vec, 120: one, 1007: dict(rows)[1007]}, 5)
+    assert [r[:3] for r in want] == sorted(tuple(r)[:3] for r in got)
+    assert [r.vec_id for r in sorted(got) if r.query_id == 50] == [51, 52, 53, 54, 55]
+    assert np.allclose([r[3] for r in want], [r.score for r in sorted(got)], atol=1e-15)
