@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,15 +43,40 @@ def spans(text: Column, rule: Rule) -> Column:
         F.slice(between, F.lit(1), F.size(found)), found,
         lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("long"),
                                 (F.length(counted(m)) >= rule.least).alias("kept")))
-    nothing = F.array().cast(FINDING)
+
+    def placed(p: Column) -> Column:
+        ends = prefixes(F.transform(p, lambda x: x["gap"] + x["long"]), 0, lambda x, y: x + y)
+        every = F.zip_with(p, ends, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("stop"), x["kept"].alias("kept")))
+        return F.transform(F.filter(every, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+
+    return F.when(text.rlike(rule.pattern), once(parts, placed)).otherwise(F.array().cast(FINDING))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def prefixes(values: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, what comes before it joined up (sums, maxima).
+
+    Steps copy what they have gathered, so the array is taken in pieces of about the square root of its length, and the
+    pieces' totals are carried on: n numbers cost n times its square root small copies.
+    """
+    start = F.lit(zero).cast("long")
+    first = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["long"]).alias("stop")))
-        return F.struct((start + x["long"]).alias("at"), F.when(x["kept"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def gathered(v: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1)), lambda i: F.slice(v, i * size + 1, size))
+        return once(F.transform(pieces, lambda p: F.aggregate(p, first, step)), lambda done: F.flatten(F.zip_with(
+            done, F.aggregate(done, first, lambda acc, d: step(acc, d["at"]), lambda acc: acc["out"]),
+            lambda d, before: F.transform(d["out"], lambda x: join(before, x)))))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(nothing)
+    return once(values, gathered)
 
 
 def blob_id(text: Column) -> Column:
@@ -103,6 +128,27 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     return joined.select(*[keyed[c] for c in versions.columns], known["secrets"])
 
 
+def _marked(body: Column, spans: Column, mark: str) -> Column:
+    """A text with its spans, which come by start, replaced; spans that overlap or touch become one mark.
+
+    Texts are cut in an encoding of four bytes a character, so that a place is found without counting from the start.
+    """
+    wide = F.encode(body, "UTF-32")
+
+    def piece(text: Column, a: Column, b: Column) -> Column:
+        part = F.substr(text, (4 * a + 1).cast("int"), (4 * (b - a)).cast("int"))
+        return F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), part), "UTF-32")  # the order mark goes, one of the text itself stays
+
+    def cut(s: Column) -> Column:
+        stops = prefixes(F.transform(s, lambda x: x["stop"]), 0, F.greatest)
+        each = F.zip_with(s, stops, lambda x, at: F.struct(at.alias("a"), x["start"].alias("b")))
+        fresh = F.filter(each, lambda x, i: (i == 0) | (x["b"] > x["a"]))
+        gaps = F.concat(fresh, F.array(F.struct(F.array_max(F.transform(s, lambda x: x["stop"])).alias("a"), F.length(body).cast("long").alias("b"))))
+        return once(wide, lambda text: F.array_join(F.transform(gaps, lambda g: piece(text, g["a"], g["b"])), mark))
+
+    return once(spans, cut)
+
+
 def redact(versions: DataFrame, text: str = "text", mark: str = "[secret]", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The versions with every span of their secrets replaced by ``mark``; other rows stay as they are.
 
@@ -113,13 +159,5 @@ def redact(versions: DataFrame, text: str = "text", mark: str = "[secret]", rule
     found = findings(boxed(versions, body=text), hits, rules, "body")
     body = F.col("body")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(s["stop"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] > acc["at"]) | (acc["out"] == ""), fresh).otherwise(inside)
-
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
-    clean = F.when(F.coalesce(F.size("secrets"), F.lit(0)) > 0, F.aggregate("secrets", first, step, end)).otherwise(body)
+    clean = F.when(F.coalesce(F.size("secrets"), F.lit(0)) > 0, _marked(body, F.col("secrets"), mark)).otherwise(body)
     return found.select("row", clean.alias("clean")).select(*[(F.col("clean") if c == text else F.col(f"row.`{c}`")).alias(c) for c in versions.columns])

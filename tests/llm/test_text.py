@@ -357,3 +357,25 @@ def test_missed_follows_depth_and_picks():
         lost = [neardup.missed(0.85, 64, 1, picks, d) for d in (0, 10, 20, 40)]
         assert lost[0] < 1e-6 and sorted(lost) == lost and lost[3] > 0.2
     assert neardup.missed(0.85, 64, 1, [1] * 10 + [0] * 6, 20) > neardup.missed(0.85, 64, 1, [1] * 16, 20)
+
+
+def test_prefixes_of_any_length(spark):
+    rng = random.Random(4)
+    rows = [(n, [rng.randrange(-50, 50) for _ in range(n)]) for n in [*range(12), 99, 100, 101, 1000]]
+    df = spark.createDataFrame(rows, "n int, v array<long>")
+    sums, tops = secrets.prefixes(F.col("v"), 0, lambda x, y: x + y), secrets.prefixes(F.col("v"), -99, F.greatest)
+    for r in df.select("n", "v", sums.alias("s"), tops.alias("t")).collect():
+        assert list(r.s) == [sum(r.v[:i]) for i in range(r.n)] and list(r.t) == [max([-99, *r.v[:i]]) for i in range(r.n)]
+
+
+def test_many_secrets_in_one_text(spark, docs):
+    import time
+
+    text = "é😀﻿ " + " ".join(f"token=abcdef{i}﻿{'0123456789abcdef' * 2}" for i in range(20_000))
+    start = time.perf_counter()
+    one = docs([(1, text, "a")])
+    found = secrets.findings(one.select("doc_id", "text"), secrets.update(one)).first().secrets
+    assert len(found) == 40_000 and [text[s.start:s.stop] for s in found[-2:]] == ["token=abcdef19999", "0123456789abcdef" * 2]
+    clean = secrets.redact(one).first().text
+    assert clean == "é😀﻿ " + " ".join(["[secret]﻿[secret]"] * 20_000)
+    assert time.perf_counter() - start < 60  # it took minutes when each match copied what came before it
