@@ -1,8 +1,8 @@
 """Exact order statistics that never put a whole group into one task.
 
 Quantiles are selected by counting: a pass counts values by range, for all groups at once, and the
-next one looks only into the ranges that hold a wanted rank. Nothing is sorted and no group is
-gathered. Ranks and running totals need every row's place: windows serve groups measured to be
+next one looks only into the ranges that hold a wanted rank, until they are small. No group is
+sorted or gathered. Ranks and running totals need every row's place: windows serve groups measured to be
 small, larger ones are dealt by ranges of their values, every task holds a stretch of the order, and
 per-stretch totals say where each stretch begins. Both ways give the same rows for numbers, NaN,
 infinities, text, dates and decimals.
