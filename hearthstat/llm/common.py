@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+_STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -20,7 +22,9 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a frame once, so that later passes read it back and no executor holds the only copy."""
     path = stage_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED[staged] = path
+    return staged
 
 
 def unstage(spark: SparkSession, path: str) -> None:
@@ -29,6 +33,19 @@ def unstage(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*frames: DataFrame | None) -> None:
+    """Delete what ``stage`` wrote for these frames, once every reader of theirs has been written; others are left alone."""
+    for df in frames:
+        if df is not None and (path := _STAGED.pop(df, None)):
+            unstage(df.sparkSession, path)
+
+
+def follow(result: DataFrame, staged: DataFrame) -> DataFrame:
+    """``result``, which is read from a staged frame, to be dropped in its place."""
+    _STAGED[result] = _STAGED.pop(staged)
+    return result
+
+
 def boxed(df: DataFrame, **columns: str) -> DataFrame:
     """Whole rows as one column ``row``, beside the columns that are needed, so that no other name can clash."""
     quoted = [F.col(f"`{c}`") for c in df.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearthstat.llm.common import stage
+from hearthstat.llm.common import drop, follow, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,11 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         high = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = high.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         moved = high.join(low, F.col("u") == F.col("k")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = stage(moved.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "links")
+        last, edges = edges, stage(moved.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct(), "links")
+        drop(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return follow(found.unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component"))), edges)

@@ -129,7 +129,7 @@ BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -147,7 +147,7 @@ def _values(texts: list[str], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray
     place = np.arange(len(data)) - np.maximum.accumulate(begin)
     longest = int((place * inside).max()) + 1
     codes = PLACE_CODES if longest <= len(PLACE_CODES) else _seeds(longest, 2)
-    value = _mixed(BYTE_CODES[data] + codes[np.minimum(place, len(codes) - 1)]) * inside
+    value = mixed(BYTE_CODES[data] + codes[np.minimum(place, len(codes) - 1)]) * inside
     return value, place, first, np.concatenate(([0], np.searchsorted(first, ends)))
 
 
@@ -157,7 +157,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of anything but ASCII blanks; A-Z count as a-z.
     """
     value, _, first, bounds = _values(texts, BLANK)
-    return (_mixed(np.add.reduceat(value, first)) if len(first) else np.empty(0, np.uint64)), bounds
+    return (mixed(np.add.reduceat(value, first)) if len(first) else np.empty(0, np.uint64)), bounds
 
 
 def word_terms(texts: list[str], prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +169,11 @@ def word_terms(texts: list[str], prefixes: tuple[int, ...]) -> tuple[np.ndarray,
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    terms, owners = [_mixed(np.add.reduceat(value, first))], [text]
+    terms, owners = [mixed(np.add.reduceat(value, first))], [text]
     size = np.add.reduceat((value != 0).astype(np.int64), first)
     for k in prefixes:
         longer = size > k
-        terms.append(_mixed(np.add.reduceat(value * (place < k), first)[longer] + np.uint64(k)))
+        terms.append(mixed(np.add.reduceat(value * (place < k), first)[longer] + np.uint64(k)))
         owners.append(text[longer])
     return np.concatenate(terms), np.concatenate(owners)
 
@@ -186,14 +186,14 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     whole = np.zeros(max(n - words + 1, 0), np.uint64)
     for k in range(words):
         whole += hashes[k:k + len(whole)] * factors[k]
-    whole = _mixed(whole)
+    whole = mixed(whole)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(whole[a:b - words + 1]))
         elif b > a:
             short = np.uint64(b - a) + (hashes[a:b] * factors[:b - a]).sum(dtype=np.uint64)
-            out.append(_mixed(np.array([short], np.uint64)))
+            out.append(mixed(np.array([short], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
