@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     Both bounds are what makes the index fit each task. Labels other than 0 and 1 are ignored; the highest label of an id counts.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", "text")  # other columns may have the names used here
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(examples) for y in (0, 1)]
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hearthstat.llm import mixing, neardup, pieces, queries, secrets, tokenfile, toxicity
+from hearthstat.llm import graph, mixing, neardup, pieces, queries, secrets, tokenfile, toxicity
 from hearthstat.llm.words import WordIds, shingles, word_hashes
 
 DATA = "/root/testdata/sf0.001"
@@ -200,6 +200,50 @@ def test_chain_of_near_copies(docs, spark, small):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_planted_pairs_in_a_family_below_the_threshold(docs, spark):
+    """Texts alike by about 0.8 do not link at 0.85; the planted pairs among them are found, through nodes that branch."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(400), 15):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words), "a"))
+        if i % 10 == 0:
+            for at in rng.sample(range(400), 6):
+                words[at] = f"z{i}y{at}"
+            rows.append((1_000 + i, " ".join(words), "a"))
+    sets = brute_sets([(i, t) for i, t, _ in rows], 3)
+    want = brute_components(sets, 85)
+    plain = docs(rows).select("doc_id", "text")
+    known = neardup.sketches(plain, 3).select(F.col("doc_id").alias("rep"), "n_shingles", "tokens").cache()
+    found = neardup.links(known, plain, 3, 85, small=200, thin=4).collect()
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= 85 * len(sets[r.a] | sets[r.b]) for r in found)
+    parts = {r.id: r.component for r in graph.components(spark.createDataFrame(found or [], "a long, b long")).collect()}
+    assert sum(want[i] == i for i in want) > 100
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) >= 25 and sum(parts.get(i) == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_clusters_are_settled_in_blocks(docs, spark, monkeypatch):
+    """However little a task may hold, links found on full sets connect the same."""
+    monkeypatch.setattr(neardup, "ROOM", 200)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    rng, base = random.Random(2), [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(24):
+        base[rng.randrange(60)] = f"n{i}"
+        rows.append((i, " ".join(base), "a"))
+    sets = brute_sets([(i, t) for i, t, _ in rows], 3)
+    plain = docs(rows).select("doc_id", "text")
+    cluster = spark.createDataFrame([(7, 8, i, len(s), i) for i, s in sets.items()], "c1 long, c2 long, rep long, n_shingles long, cls long")
+    found = neardup._settle(cluster, neardup.shingle_sets(plain, plain.select("doc_id"), 3), 80).collect()
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]) for r in found)
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i in sets} == brute_components(sets, 80)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     got = neardup.near_duplicates(odd_docs, 3, 85).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None]) == [
@@ -298,6 +342,9 @@ def test_toxicity_of_odd_rows(odd_docs, spark):
     assert len({r.score for r in toxicity.toxicity(odd_docs, labels.limit(0)).collect()}) == 1
     assert toxicity.toxicity(odd_docs.limit(0), labels).count() == 0
     assert toxicity.drop_toxic(odd_docs, labels).columns == odd_docs.columns
+    named = odd_docs.withColumns({"toxic": F.lit("x"), "_id": F.lit(1), "found": F.lit(2)})
+    assert toxicity.toxicity(named, labels).count() == 13
+    assert toxicity.drop_toxic(named, labels).columns == named.columns
 
 
 # Pipeline
