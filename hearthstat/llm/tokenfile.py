@@ -6,6 +6,7 @@ import os
 import string
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ END_ID = 2
 BLOCK_TOKENS = 4_000_000
 SEPARATOR = ","
 JOINED = 512
+BLANKS = " \t\n\r"
 MAGIC = b"TKF1"
 HEAD = "<4s6q"  # magic, part, number in the part, documents, ids, control bytes, data bytes
 BLOCK = ("part int, seq int, n_docs long, n_tokens long, doc_ids binary, known binary, lens binary, ids binary, "
@@ -74,38 +76,49 @@ class Words:
         letters = [ord(c) for c in string.ascii_letters] + [c for c in range(0xC0, 0x100) if chr(c).isalpha()]
         kinds[letters] = 1
         kinds[[ord(c) for c in string.punctuation if c != "'"]] = 2
-        kinds[[ord(c) for c in " \t\n\r"]] = 3
+        kinds[[ord(c) for c in BLANKS]] = 3
         joined = np.ones((4, 4), bool)
         joined[1, 2] = joined[2, 1] = joined[0, 3] = joined[1, 3] = joined[2, 3] = False
         comma = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = comma[0] if len(comma) == 1 else None
+        # Where the rules before the model leave a-z as they are, such words need the model only.
+        self.model, some = self.library.model, string.ascii_lowercase
+        plain = [t.id for t in self.model.tokenize(some)]
+        self.letters = all(self.library.encode(b + some, add_special_tokens=False).ids == plain for b in ("", *BLANKS))
         self.cut, self.words = Cutter(kinds, joined, lower=True), WordIds(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many words are one text for the library, a comma between each two; words with a comma go by themselves."""
-        if self.separator is None:
-            return self._one_by_one(words)
-        plain = np.array([SEPARATOR not in w for w in words])
-        joined = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
-        texts = [f" {SEPARATOR} ".join(joined[a:a + JOINED]) for a in range(0, len(joined), JOINED)]
+        """Words of a-z go to the library's model; many others are one text, a comma between each two; the rest go by themselves."""
+        bare = [w.lstrip(BLANKS) for w in words]
+        route = np.fromiter((0 if self.letters and b.isascii() and b.isalpha() and b.islower() else 1 if self.separator is not None and SEPARATOR not in b
+                             else 2 for b in bare), np.int8, len(words))
+        found = []
+        for k, (encode, given) in enumerate(((self._by_model, bare), (self._joined, words), (self._one_by_one, words))):
+            found.append(encode([given[i] for i in np.flatnonzero(route == k).tolist()]))
+        many = np.empty(len(words), np.int64)
+        for k, (_, lens) in enumerate(found):
+            many[route == k] = lens
+        out, route = np.empty(int(many.sum()), np.int32), np.repeat(route, many)
+        for k, (ids, _) in enumerate(found):
+            out[route == k] = ids
+        return out, many
+
+    def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[t.id for t in self.model.tokenize(w)] for w in words]
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())), many
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [f" {SEPARATOR} ".join(words[a:a + JOINED]) for a in range(0, len(words), JOINED)]
         found = [np.array([*e.ids, self.separator], np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate([np.empty(0, np.int32), *found])
         ends = np.flatnonzero(flat == self.separator)
-        many = np.empty(len(words), np.int64)
-        many[plain] = np.diff(np.concatenate(([-1], ends))) - 1
-        flat = flat[flat != self.separator]
-        if plain.all():
-            return flat, many
-        odd_ids, odd_many = self._one_by_one([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
-        many[~plain] = odd_many
-        out, odd = np.empty(int(many.sum()), np.int32), np.repeat(~plain, many)
-        out[odd], out[~odd] = odd_ids, flat
-        return out, many
+        return flat[flat != self.separator], np.diff(np.concatenate(([-1], ends))) - 1
 
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         many = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(many.sum())), many
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())), many
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and how many each has."""

@@ -76,7 +76,7 @@ class WordIds:
         if len(self.at) > self.kept:
             self._forget()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         place = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(place < 0)
         if len(missing):

@@ -113,6 +113,16 @@ def test_words_equal_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_letters_go_to_the_model(monkeypatch):
+    mine, library = tokenfile.Words(WORD_MODEL), Tokenizer.from_str(WORD_MODEL.decode())
+    words = [" the", "\n\tsuch", "x", "unheardofness", " a1", " \u00e9t\u00e9", ",", "it's", " \u017f", "\u212a", " ", " i\u0307", "don", "n\u0303o"]
+    asked = []
+    monkeypatch.setattr(mine, "_joined", lambda given, old=mine._joined: (asked.extend(given), old(given))[1])
+    ids, many = mine._encode(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert mine.letters and not {" the", "\n\tsuch", "x", "unheardofness", "don"} & set(asked)
+
+
 def wanted_tokens(texts):
     library, at, want = Tokenizer.from_str(WORD_MODEL.decode()), 0, []
     for i, text in texts:
