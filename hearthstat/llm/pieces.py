@@ -8,13 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from hearthstat.llm.words import Cutter, WordIds, chunks
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 NONE = np.iinfo(np.int32).max
+#: Ids that are decoded at once, and characters that a round trip works through at once.
+DECODED = 100_000
+ROUND_CHARS = 250_000
 
 
 def read_model(path: str) -> bytes:
@@ -274,12 +278,41 @@ def decode(ids: Column, model: bytes) -> Column:
         known = _loaded(model)
         ends = rows.offsets.to_numpy()
         flat = rows.values.to_numpy(zero_copy_only=False)
-        said, step = [], 1_000_000
-        a = 0
+        said, a = [], 0
         while a < len(rows):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + step, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED, "right")) - 1)
             said.append(pa.array(known.decode(flat[ends[a]:ends[b]], np.diff(ends[a:b + 1]).astype(np.int64)), pa.string()))
             a = b
         return pa.concat_arrays(said) if said else pa.array([], pa.string())
 
     return to_text(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of a text column, and the text that they decode to, in place of that column.
+
+    The same ids and texts as ``encode`` and ``decode`` give, from one pass: a batch is worked through, and handed back, in
+    chunks of bounded size, so that a task holds one batch of texts and never the ids and texts of a whole batch.
+    """
+    kept = [f for f in docs.schema if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _loaded(model)
+        for batch in batches:
+            at = 0
+            for part in chunks(batch.column(len(kept)), ROUND_CHARS):
+                flat, lens = known.encode(part)
+                ends = np.concatenate([[0], np.cumsum(lens)])
+                said, a = [], 0
+                while a < len(part):
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED, "right")) - 1)
+                    said += known.decode(flat[ends[a]:ends[b]], lens[a:b])
+                    a = b
+                found = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat, pa.int32()))
+                rows = batch.slice(at, len(part)).columns[:len(kept)]
+                yield pa.RecordBatch.from_arrays([*rows, found, pa.array(said, pa.string())], types.names)
+                at += len(part)
+
+    given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text))
+    types = StructType([*kept, StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())])
+    return given.mapInArrow(run, types)

@@ -155,8 +155,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sentencepiece")
 def sentencepiece_ids(spark: SparkSession, folder: str) -> DataFrame:
     model = _vocabulary("piece_bpe_32k.model")
-    encoded = table(spark, folder, "documents").select("doc_id", pieces.encode(F.col("text"), model).alias("ids"))
-    both = encoded.withColumn("decoded", pieces.decode(F.col("ids"), model))
+    both = pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"), model)
     said = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

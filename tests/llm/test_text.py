@@ -89,6 +89,25 @@ def test_pieces_of_odd_rows(odd_docs):
     assert odd_docs.limit(0).select(pieces.encode(F.col("text"), PIECE_MODEL)).count() == 0
 
 
+def test_pieces_there_and_back_in_one_pass(odd_docs, monkeypatch):
+    both = pieces.round_trip(odd_docs, PIECE_MODEL, ids="p", decoded="back")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert both.columns == [*[c for c in odd_docs.columns if c != "text"], "p", "back"]
+    rest = [c for c in odd_docs.columns if c != "text"]
+    apart = odd_docs.select(*rest, pieces.encode(F.col("text"), PIECE_MODEL).alias("p")).withColumn("back", pieces.decode(F.col("p"), PIECE_MODEL))
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert pieces.round_trip(odd_docs.limit(0), PIECE_MODEL).count() == 0
+    texts = random_texts(300, 8)
+    monkeypatch.setattr(pieces, "DECODED", 7)
+    model = pieces.PieceModel(PIECE_MODEL)
+    ids, lens = model.encode(texts)
+    want = model.decode(ids, lens)
+    rows = odd_docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(pieces.round_trip(rows, PIECE_MODEL).collect())
+    assert [r.decoded for r in got] == want and [i for r in got for i in r.ids] == ids.tolist()
+
+
 def test_forgetting_words_changes_nothing():
     model = pieces.PieceModel(PIECE_MODEL)
     texts = random_texts(400, 5)
