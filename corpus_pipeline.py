@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, their number, and the text that they decode to."""
     model = pieces.read_model(public_tokenizers.path(MODEL))
-    encoded = docs.select("doc_id", "lang", "source", pieces.encode(F.col("text"), model).alias("ids"))
-    return encoded.select("*", F.size("ids").cast("long").alias("n_tokens"), pieces.decode(F.col("ids"), model).alias("decoded"))
+    both = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), model)
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", one_of_each), ("secrets", hide_secrets), ("mix", mix_sources), ("pieces", to_pieces)]
