@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthstat.operators import forest as forests
 from hearthstat.operators.ordered import quantiles, totals_below
 from hearthstat.operators.ranking import worst_both_sides
 from hearthstat.operators.reshape import rows_from, union_all
@@ -85,62 +87,94 @@ def _ridge(train: DataFrame, label: str, alpha: float) -> LinearRegression:
     return LinearRegression(elasticNetParam=0.0, regParam=alpha / n * (spread or 1.0), standardization=False, solver="normal")
 
 
+def _binned(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, ids: Sequence[str]) -> tuple[list, DataFrame, DataFrame]:
+    """Cuts of the training features, and both splits with label ``_y`` and bins ``_cell``; the test rows keep their ids."""
+    cuts = forests.cut_points(train, features)
+    assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
+
+    def rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        x = assemble.transform(df.withColumn("_y", F.col(label).cast("double"))).withColumn("_x", vector_to_array("_x"))
+        return stage(forests.coded(x, "_x", cuts, keep))
+
+    return cuts, rows(train, ["_y"]), rows(test, [*ids, "_y"])
+
+
+def _boosted(estimator, rows: DataFrame, boost: Mapping, by_label: bool):
+    """Boosted trees on bins. Rows of equal bins get the same prediction in every round, so they count as one of their number and
+    mean label (per class where the loss is not squared); options that look at single rows keep them apart.
+    """
+    x = array_to_vector(F.col("_cell").cast("array<double>")).alias("_x")
+    if set(boost) <= {"maxIter", "stepSize", "maxDepth", "seed"}:
+        weight = F.count(F.lit(1)).cast("double").alias("_w")
+        equal = rows.groupBy("_cell", "_y").agg(weight) if by_label else rows.groupBy("_cell").agg(weight, F.avg("_y").alias("_y"))
+    else:
+        equal = rows.withColumn("_w", F.lit(1.0))
+    return estimator.setLabelCol("_y").setFeaturesCol("_x").setWeightCol("_w").fit(stage(equal.select("_y", "_w", "_cell")).select("_y", "_w", x)), x
+
+
 def fit_regression(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
                    models: Sequence[str] = ("ridge", "random_forest", "gradient_boosting"), alpha: float = 1.0,
                    forest: Mapping = FOREST, boost: Mapping = BOOST) -> tuple[DataFrame, DataFrame]:
     """Fit each model on the training periods; return (test predictions, feature importance) (ML19, ML20, ML24)."""
     train, test = _filled(train, test, features)
     train = stage(train)
+    cuts, known, asked = _binned(train, test, features, label, ids) if set(models) - {"ridge"} else (None, None, None)
     predictions, importance = [], []
     for name in models:
-        a, b = _scaled(train, test, features) if name == "ridge" else (train, test)
         if name == "ridge":
-            estimator = _ridge(a, label, alpha)
+            a, b = _scaled(train, test, features)
+            estimator = _ridge(a, label, alpha).setLabelCol(label).setFeaturesCol("_x").setPredictionCol("predicted_target")
+            assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
+            model = estimator.fit(assemble.transform(a))
+            found = model.transform(assemble.transform(b)).withColumn("_y", F.col(label).cast("double"))
+            values, trees = model.coefficients.toArray(), False
         elif name == "random_forest":
-            estimator = RandomForestRegressor(featureSubsetStrategy="all", **forest)
+            by_cell, values = forests.fit(known, asked, cuts, len(features), **forest)
+            found, trees = join_small(asked, by_cell.withColumnRenamed("value", "predicted_target"), ["_cell"]), True
         else:
-            estimator = GBTRegressor(**boost)
-        estimator = estimator.setLabelCol(label).setFeaturesCol("_x").setPredictionCol("predicted_target")
-        assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
-        model = estimator.fit(assemble.transform(a))
-        predictions.append(model.transform(assemble.transform(b)).select(
-            *ids, F.col(label).cast("double").alias("actual"), F.lit(name).alias("model"), "predicted_target",
-            (F.col(label) - F.col("predicted_target")).alias("residual")))
-        importance.append(_importance(model, features, name, "regression", train))
+            model, x = _boosted(GBTRegressor(**boost).setPredictionCol("predicted_target"), known, boost, False)
+            found, values, trees = model.transform(asked.select("*", x)), model.featureImportances.toArray(), True
+        predictions.append(found.select(
+            *ids, F.col("_y").alias("actual"), F.lit(name).alias("model"), "predicted_target",
+            (F.col("_y") - F.col("predicted_target")).alias("residual")))
+        importance.append(_importance(values, trees, features, name, "regression", train))
     return union_all(predictions), union_all(importance)
 
 
 def fit_classification(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
                        models: Sequence[str] = ("logistic_regression", "random_forest", "gradient_boosting"),
                        forest: Mapping = FOREST, boost: Mapping = BOOST) -> tuple[DataFrame, DataFrame]:
-    """Fit each classifier; return (test predictions, feature importance) (ML21, ML22, ML24)."""
+    """Fit each classifier of a label that is 0 or 1; return (test predictions, feature importance) (ML21, ML22, ML24)."""
     train, test = _filled(train, test, features)
     train = stage(train.withColumn(label, F.col(label).cast("double")))
+    cuts, known, asked = _binned(train, test, features, label, ids) if set(models) - {"logistic_regression"} else (None, None, None)
     predictions, importance = [], []
     for name in models:
-        linear = name == "logistic_regression"
-        a, b = _scaled(train, test, features) if linear else (train, test)
-        if linear:
+        if name == "logistic_regression":
+            a, b = _scaled(train, test, features)
             estimator = LogisticRegression(regParam=1.0 / max(a.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ITER)
+            assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
+            model = estimator.setLabelCol(label).setFeaturesCol("_x").fit(assemble.transform(a))
+            found = model.transform(assemble.transform(b)).withColumn("_y", F.col(label).cast("double"))
+            values, trees = model.coefficients.toArray(), False
         elif name == "random_forest":
-            estimator = RandomForestClassifier(featureSubsetStrategy="sqrt", **forest)
+            by_cell, values = forests.fit(known, asked, cuts, math.ceil(math.sqrt(len(features))), **forest)
+            p = F.col("value")
+            found = join_small(asked, by_cell, ["_cell"]).withColumns({"prediction": (p > 0.5).cast("int"), "probability": F.array(1 - p, p)})
+            trees = True
         else:
-            estimator = GBTClassifier(**boost)
-        estimator = estimator.setLabelCol(label).setFeaturesCol("_x")
-        assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
-        model = estimator.fit(assemble.transform(a))
-        predictions.append(model.transform(assemble.transform(b)).select(
-            *ids, F.col(label).cast("int").alias("actual"), F.lit(name).alias("model"),
-            F.col("prediction").cast("int").alias("predicted_class"),
-            vector_to_array("probability")[1].alias("predicted_probability")))
-        importance.append(_importance(model, features, name, "classification", train))
+            model, x = _boosted(GBTClassifier(**boost), known, boost, True)
+            found, values, trees = model.transform(asked.select("*", x)), model.featureImportances.toArray(), True
+        probability = F.col("probability") if name == "random_forest" else vector_to_array("probability")
+        predictions.append(found.select(
+            *ids, F.col("_y").cast("int").alias("actual"), F.lit(name).alias("model"),
+            F.col("prediction").cast("int").alias("predicted_class"), probability[1].alias("predicted_probability")))
+        importance.append(_importance(values, trees, features, name, "classification", train))
     return union_all(predictions), union_all(importance)
 
 
-def _importance(model, features: Sequence[str], name: str, kind: str, df: DataFrame) -> DataFrame:
+def _importance(values: Sequence[float], trees: bool, features: Sequence[str], name: str, kind: str, df: DataFrame) -> DataFrame:
     """Tree importance, or absolute coefficient with its sign (ML24)."""
-    trees = hasattr(model, "featureImportances")
-    values = (model.featureImportances if trees else model.coefficients).toArray()
     rows = [(f, float(abs(v)), None if trees else float(v), kind, name) for f, v in zip(features, values)]
     return literal_table(
         df.sparkSession,
