@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 WORD = r"[^\x20\x09-\x0D]+"
 _STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_DEALT: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+MARKS, MARK_BITS = 2_048, 32_768  # rows of bits at most, and bits of a row as ``bitmap_construct_agg`` makes them
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -27,6 +29,41 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return staged
 
 
+def stage_dealt(df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
+    """``stage`` in buckets of a key: one shuffle at writing replaces that of this side in every join with ``dealt``.
+
+    The frame itself is read without its buckets, so its joins are dealt anew and Spark can split their hot keys. There are as
+    many buckets as shuffle partitions; deal the rows by the key to that number before, so that a bucket is one file.
+    """
+    spark, path, table = df.sparkSession, stage_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", codec).option("path", path).format("parquet")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _STAGED[staged], _DEALT[staged] = path, table
+    return staged
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """What ``stage_dealt`` wrote for a frame, in its buckets; any other frame as it is."""
+    return df.sparkSession.table(_DEALT[df]) if df in _DEALT else df
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is one of ``ids`` (a staged column of that name), and some others: what a semi join need not move.
+
+    A key marks the bit that its hash names. There are 16 bits a key up to 8 MB in all, so what Spark hands to all tasks is
+    bounded; beyond some millions of keys more of the other rows stay.
+    """
+    blocks = max(1, min(MARKS, -(-ids.count() * 16 // MARK_BITS)))
+    place = F.pmod(F.xxhash64(key), F.lit(blocks * MARK_BITS))
+    marks = ids.select(F.floor(place / MARK_BITS).alias("_block"), (place % MARK_BITS).alias("_at")).repartition("_block")
+    marks = marks.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_marks"))
+    at = place % MARK_BITS
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(marks), F.floor(place / MARK_BITS) == F.col("_block"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def unstage(spark: SparkSession, path: str) -> None:
     """Delete one staged folder, through the file system that it lies in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,6 +74,8 @@ def drop(*frames: DataFrame | None) -> None:
     """Delete what ``stage`` wrote for these frames, once every reader of theirs has been written; others are left alone."""
     for df in frames:
         if df is not None and (path := _STAGED.pop(df, None)):
+            if table := _DEALT.pop(df, None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
             unstage(df.sparkSession, path)
 
 

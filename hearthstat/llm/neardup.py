@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
-from hearthstat.llm.common import boxed, drop, stage
+from hearthstat.llm.common import among, boxed, dealt, drop, stage, stage_dealt
 from hearthstat.llm.graph import components
 from hearthstat.llm.words import chunks, minwise, mixed, shingles
 
@@ -57,9 +57,18 @@ def _shingle_set(text: Column, words: int) -> Column:
     return to_set(text)
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt as the buckets of ``stage_dealt`` are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Full shingle sets (doc_id, set) of the documents named, written once for all confirmations."""
-    return stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", _shingle_set(F.col("text"), words).alias("set")), "sets", "lz4")
+    """Full shingle sets (doc_id, set) of the documents named, written once, in buckets of the id, for all confirmations."""
+    ids = stage(ids.select("doc_id").distinct(), "involved")
+    some = _spread(among(docs, ids, "doc_id"), "doc_id").join(ids, "doc_id", "left_semi")
+    sets = stage_dealt(some.select("doc_id", _shingle_set(F.col("text"), words).alias("set")), "sets", "doc_id", "lz4")
+    drop(ids)
+    return sets
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +224,7 @@ def _settle(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 b += rep[low:high][y].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("part").sortWithinPartitions("part", "rep")
+    rows = rows.join(dealt(sets).withColumnRenamed("doc_id", "rep"), "rep").repartition("part").sortWithinPartitions("part", "rep")
     return rows.select("part", "rep", "cls", "set").mapInArrow(run, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -270,7 +279,7 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: in
     """
     share = percent / 100
     least = max(1, math.floor(tokens * share - 4 * math.sqrt(tokens * share * (1 - share))))
-    linked = sets = parts = seen = None
+    linked = sets = parts = seen = fresh = None
     rounds, deepest = [], 0
     if (1 - share) ** tokens >= 1 - recall:
         raise ValueError(f"{tokens} tokens cannot reach a recall of {recall}")
@@ -283,15 +292,17 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: in
         linked, sets, parts, depths = _round(reps, docs, words, percent, tokens, len(rounds) - 1, roots, small, thin, least, linked, sets, parts)
         deepest = max(deepest, len(depths))
         if not depths:
-            drop(sets, parts)
+            drop(sets, parts, fresh)
             return linked
         steps = [d.select("rep", F.lit(i + 1).alias("depth")) for i, d in enumerate(depths)] + ([] if seen is None else [seen])
         seen = stage(reduce(DataFrame.unionByName, steps).groupBy("rep").agg(F.max("depth").alias("depth")), "depths")
+        drop(fresh)
         enough = next((d for d in range(deepest, 0, -1) if math.prod(missed(share, tokens, least, r, d) for r in rounds) <= 1 - recall), 0)
         if enough == deepest:
             drop(sets, parts)
             return linked
-        reps = stage(fresh_tokens(sets, seen.where(F.col("depth") > enough), tokens, len(rounds)), "reps")
+        again = fresh_tokens(sets, seen.where(F.col("depth") > enough), tokens, len(rounds))
+        reps = fresh = stage_dealt(_spread(again, "rep"), "reps", "rep")
 
 
 def _round(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: int, turn: int, roots: list[list[int]], small: int, thin: int,
@@ -300,8 +311,8 @@ def _round(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: i
     picks = F.explode(F.array(*[F.xxhash64(F.lit(turn), F.lit(t), F.lit(i), F.col("tokens")[i]) for t, r in enumerate(roots) for i in r]))
     level = _with_classes(reps.select(picks.alias("node"), "rep"), parts)
     size = F.col("n_shingles") if "n_shingles" in reps.columns else F.lit(0)
-    heads = reps.select(F.col("rep").alias("_rep"), F.col("tokens").alias("_tokens"))
-    short = reps.select(F.col("rep").alias("_rep"), size.cast("long").alias("n_shingles"), _low_bytes("tokens").alias("sig"))
+    heads = dealt(reps).select(F.col("rep").alias("_rep"), F.col("tokens").alias("_tokens"))
+    short = dealt(reps).select(F.col("rep").alias("_rep"), size.cast("long").alias("n_shingles"), _low_bytes("tokens").alias("sig"))
     depths, written = [], None
     while True:
         classes = level.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("l"))
@@ -317,7 +328,7 @@ def _round(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: i
         apart = wide.where((F.col("n") > small) & (F.col("other") <= thin))
         large = wide.where((F.col("n") > small) & (F.col("other") > thin))
         pairs = clusters.where("partner is not null").select(F.col("partner").alias("a"), F.col("rep").alias("b"))
-        deep = not wide.where(F.col("n") > small).isEmpty()
+        deep, leads = not wide.where(F.col("n") > small).isEmpty(), None
         if deep:
             ends = [F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")]
             alike = _matches(F.col("tokens"), F.col("_tokens")) >= least
@@ -326,19 +337,20 @@ def _round(reps: DataFrame, docs: DataFrame, words: int, percent: int, tokens: i
             rest = signed.join(rest, (F.col("node") == F.col("_node")) & (F.col("cls") != F.col("_cls")) & alike).select(*ends)
             star = large.where("cls != lead_cls").select("lead", "rep").distinct().join(
                 heads.withColumnsRenamed({"_rep": "_r", "_tokens": "tokens"}), F.col("rep") == F.col("_r"))
-            star = star.join(heads, (F.col("lead") == F.col("_rep")) & alike).select(*ends)
+            leads = stage(heads.join(large.select("lead").distinct(), F.col("_rep") == F.col("lead"), "left_semi"), "leads")
+            star = star.join(leads, (F.col("lead") == F.col("_rep")) & alike).select(*ends)
             pairs = pairs.unionByName(rest).unionByName(star)
         pairs = stage(pairs.distinct(), "pairs")
         if sets is None:
             involved = clusters.select(F.col("rep").alias("doc_id")).unionByName(wide.where(F.col("n") > small).select(F.col("rep").alias("doc_id")))
-            sets = shingle_sets(docs, involved.distinct(), words)
+            sets = shingle_sets(docs, involved, words)
         sure = stage(confirm(pairs, sets, percent), "confirmed")
         linked = sure if linked is None else linked.unionByName(sure)
         parts = _joined_up(parts, sure)
         more = stage(_settle(_with_classes(clusters.select("c1", "c2", "rep", "n_shingles"), parts), sets, percent), "confirmed")
         linked = linked.unionByName(more)
         parts = _joined_up(parts, more)
-        drop(pairs, clusters)
+        drop(pairs, clusters, leads)
         if not deep or large.isEmpty():
             drop(wide)
             return linked, sets, parts, depths
@@ -389,10 +401,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     known = stage(sketches(plain, words, tokens), "sketches")
     reps = known.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
-    reps = stage(reps.where("rep is not null"), "reps")
+    reps = stage_dealt(_spread(reps.where("rep is not null"), "rep"), "reps", "rep")
     both, known = known, stage(known.drop("tokens"), "sketches")
     drop(both)
-    linked = links(reps.select("rep", "n_shingles", "tokens"), plain, words, percent, tokens, trees, recall=recall)
+    linked = links(reps, plain, words, percent, tokens, trees, recall=recall)
     parts = components(linked)
     named = reps.select(F.col("key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("id"), "left")
     named = named.select("_key", F.coalesce("component", "rep").alias("_component"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hearthstat.llm import graph, mixing, neardup, pieces, queries, secrets, tokenfile, toxicity
+from hearthstat.llm import common, graph, mixing, neardup, pieces, queries, secrets, tokenfile, toxicity
 from hearthstat.llm.words import WordIds, shingles, word_hashes
 
 DATA = "/root/testdata/sf0.001"
@@ -273,6 +273,55 @@ def test_clusters_are_settled_in_blocks(docs, spark, monkeypatch):
     assert {i: got.get(i, i) for i in sets} == brute_components(sets, 80)
 
 
+def test_clusters_do_not_shuffle_all_sets(docs, spark):
+    """The full sets lie in buckets of their id: a few clusters to settle move no other sets."""
+    plain = docs([(i, f"a b c d e f {i}", "a") for i in range(40)]).select("doc_id", "text")
+    cluster = spark.createDataFrame([(7, 8, i, 5, i) for i in range(3)], "c1 long, c2 long, rep long, n_shingles long, cls long")
+    sets = neardup.shingle_sets(plain, plain.select("doc_id"), 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neardup._settle(cluster, sets, 60)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(rep#") == 1 and "SortMergeJoin [rep#" in plan
+        assert {(r.a, r.b) for r in found.collect()} == {(0, 1), (0, 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    common.drop(sets)
+
+
+@pytest.mark.parametrize("marks", [common.MARKS, 1])
+def test_among_loses_no_key_and_leaves_most_others_out(spark, monkeypatch, marks):
+    monkeypatch.setattr(common, "MARKS", marks)
+    rows = spark.range(200_000).select(F.when(F.col("id") != 5, F.col("id") * 7 - 300_000).alias("doc_id"), F.lit("t").alias("text"))
+    wanted = [i * 7 - 300_000 for i in range(0, 200_000, 20) if i != 5]
+    ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    found = common.among(rows, ids, "doc_id")
+    got = [r.doc_id for r in found.collect()]
+    assert found.columns == rows.columns and len(got) == len({*got}) and {*wanted} <= {*got}
+    assert len(got) < len(wanted) + (0.08 if marks > 1 else 0.4) * 190_000
+    assert common.among(rows, ids.limit(0), "doc_id").count() == 0
+
+
+def test_near_duplicates_leave_no_working_tables(odd_docs, spark, monkeypatch):
+    """The tables by which buckets are read go with the files, those of later rounds too."""
+    before, made, make = {t.name for t in spark.catalog.listTables()}, [], neardup.stage_dealt
+
+    def noted(df, name, *rest):
+        made.append(name)
+        return make(df, name, *rest)
+
+    monkeypatch.setattr(neardup, "stage_dealt", noted)
+    rows = odd_docs.where("doc_id != 6 and doc_id != 7").select("doc_id", "text")
+    known = neardup.sketches(rows, 3).where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "n_shingles", "tokens").cache()
+    with monkeypatch.context() as patch:  # as if every round had branched twenty times
+        whole = neardup._round
+        patch.setattr(neardup, "_round", lambda reps, *rest: (*whole(reps, *rest)[:3], [reps.select("rep")] * 20))
+        neardup.links(known, rows, 3, 85)
+    neardup.near_duplicates(rows, 3, 85)
+    assert made.count("sets") == 2 and made.count("reps") > 1 and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     got = neardup.near_duplicates(odd_docs, 3, 85).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None]) == [
