@@ -6,56 +6,49 @@ import os
 import string
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthstat.llm.common import positions, stage, stage_path
-from hearthstat.llm.words import Cutter, WordIds, chunks
+from hearthstat.llm.words import Cutter, WordIds, chunks, lists
 
 END_ID = 2
 BLOCK_TOKENS = 4_000_000
+LOOKED_UP = 4_000_000  # characters whose words are looked up at once
 SEPARATOR = ","
 JOINED = 512
 BLANKS = " \t\n\r"
+LATIN = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
 MAGIC = b"TKF1"
 HEAD = "<4s6q"  # magic, part, number in the part, documents, ids, control bytes, data bytes
 BLOCK = ("part int, seq int, n_docs long, n_tokens long, doc_ids binary, known binary, lens binary, ids binary, "
          "seen array<int>, times array<long>")
-#: How many bytes each of the four ids has that a control byte stands for.
-SIZES = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
+#: Which of a number's four bytes stay if it has 1 to 4 of them, as one number each; the same for the four numbers of a control byte.
+KEPT = np.tril(np.ones((4, 4), bool)).view(np.uint32).reshape(-1)
+KEPT_FOUR = np.array([[KEPT[c >> 2 * k & 3] for k in range(4)] for c in range(256)], np.uint32)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of numbers below 2**32: one to four bytes each, two bits of control."""
-    values = np.asarray(values).astype(np.uint32)
+    values = np.ascontiguousarray(values, "<u4")
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros((-(-len(values) // 4), 4), np.uint8)
     codes.reshape(-1)[:len(values)] = extra
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(values) + 1)
-    first = ends - extra - 1
-    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    data[first] = values & 0xFF
-    for k in range(1, 4):
-        more = np.flatnonzero(extra >= k)
-        data[first[more] + k] = values[more] >> np.uint32(8 * k) & 0xFF
-    return control.tobytes(), data.tobytes()
+    return control.tobytes(), values.view(np.uint8)[KEPT[extra].view(bool)].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The numbers again: every control byte looks its four sizes up, the sizes give where each number lies."""
-    size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    first = np.cumsum(size) - size
-    raw = np.frombuffer(data, np.uint8)
-    values = raw[first].astype(np.uint32)
-    for k in range(1, 4):
-        more = size > k
-        values[more] |= raw[first[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return values
+    """The numbers again: every control byte looks up which bytes of its four numbers are there, the others are 0."""
+    there = KEPT_FOUR[np.frombuffer(control, np.uint8)].reshape(-1)[:n].view(bool)
+    values = np.zeros(4 * n, np.uint8)
+    values[there] = np.frombuffer(data, np.uint8)
+    return values.view("<u4")
 
 
 class Words:
@@ -64,6 +57,9 @@ class Words:
     Texts are cut where the tokenizer's own rules end a word: before white space, and between a Latin letter and an ASCII
     punctuation mark other than the apostrophe. It lower-cases in any case, so A-Z become a-z first. A text that could hold
     an added token goes to the library whole.
+
+    Where the rules before the model do no more to words of Latin letters than to lower-case them and to spell them in bytes,
+    such words go through the model with just that before it. Its tokens say which of them end a word.
     """
 
     def __init__(self, tokenizer: bytes):
@@ -72,29 +68,39 @@ class Words:
 
         self.library = Tokenizer.from_str(tokenizer.decode())
         self.marks = {t.content[:2] for t in self.library.get_added_tokens_decoder().values()}
-        kinds = np.zeros(0x110000, np.int32)
-        letters = [ord(c) for c in string.ascii_letters] + [c for c in range(0xC0, 0x100) if chr(c).isalpha()]
-        kinds[letters] = 1
+        kinds = np.zeros(0x110000, np.int8)
+        kinds[[ord(c) for c in LATIN]] = 1
         kinds[[ord(c) for c in string.punctuation if c != "'"]] = 2
         kinds[[ord(c) for c in BLANKS]] = 3
         joined = np.ones((4, 4), bool)
         joined[1, 2] = joined[2, 1] = joined[0, 3] = joined[1, 3] = joined[2, 3] = False
         comma = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = comma[0] if len(comma) == 1 else None
-        # Where the rules before the model leave a-z as they are, such words need the model only.
-        self.model, some = self.library.model, string.ascii_lowercase
-        plain = [t.id for t in self.model.tokenize(some)]
-        self.letters = all(self.library.encode(b + some, add_special_tokens=False).ids == plain for b in ("", *BLANKS))
+        self._bare_model()
         self.cut, self.words = Cutter(kinds, joined, lower=True), WordIds(self._encode)
 
+    def _bare_model(self) -> None:
+        """Set the model up with lower-cased bytes only, and hold it against the library on all pairs of Latin letters."""
+        from tokenizers import Tokenizer, pre_tokenizers as pre
+
+        model = self.library.model
+        self.bare = Tokenizer(model)
+        self.bare.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.library.get_vocab(with_added_tokens=False), getattr(model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
+        lower = sorted(set(LATIN.lower()))
+        some = [*map("".join, product(["", *BLANKS], LATIN)), *map("".join, product(lower, lower)), LATIN]
+        self.letters = bool(self.ends.any()) and all(np.array_equal(x, y) for x, y in zip(self._by_model(some), self._one_by_one(some), strict=True))
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of a-z go to the library's model; many others are one text, a comma between each two; the rest go by themselves."""
-        bare = [w.lstrip(BLANKS) for w in words]
-        route = np.fromiter((0 if self.letters and b.isascii() and b.isalpha() and b.islower() else 1 if self.separator is not None and SEPARATOR not in b
-                             else 2 for b in bare), np.int8, len(words))
-        found = []
-        for k, (encode, given) in enumerate(((self._by_model, bare), (self._joined, words), (self._one_by_one, words))):
-            found.append(encode([given[i] for i in np.flatnonzero(route == k).tolist()]))
+        """Words of Latin letters go to the bare model; many others are one text, a comma between each two; the rest go by themselves."""
+        rest = ~pc.match_substring_regex(pa.array(words, pa.string()), rf"\A[{BLANKS}]*[{LATIN}]+\z").to_numpy(zero_copy_only=False)
+        route = rest.astype(np.int8) if self.letters else np.ones(len(words), np.int8)
+        for i in np.flatnonzero(route).tolist():
+            route[i] += self.separator is None or SEPARATOR in words[i]
+        found = [encode([words[i] for i in np.flatnonzero(route == k).tolist()])
+                 for k, encode in enumerate((self._by_model, self._joined, self._one_by_one))]
         many = np.empty(len(words), np.int64)
         for k, (_, lens) in enumerate(found):
             many[route == k] = lens
@@ -104,9 +110,13 @@ class Words:
         return out, many
 
     def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[t.id for t in self.model.tokenize(w)] for w in words]
-        many = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())), many
+        texts = [" ".join(words[a:a + JOINED]).lower() for a in range(0, len(words), JOINED)]
+        found = [np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, np.int32), *found])
+        ends = np.flatnonzero(self.ends[flat])
+        if len(ends) != len(words):  # a letter that the model does not know
+            return self._one_by_one(words)
+        return flat, np.diff(ends, prepend=-1)
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [f" {SEPARATOR} ".join(words[a:a + JOINED]) for a in range(0, len(words), JOINED)]
@@ -122,11 +132,24 @@ class Words:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and how many each has."""
-        odd = [any(m in t for m in self.marks) for t in texts]
-        if not any(odd):
-            return self.words.lookup(*self.cut(texts))
-        ids = [self._one_by_one([t])[0] if whole else self.words.lookup(*self.cut([t]))[0] for t, whole in zip(texts, odd, strict=True)]
-        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        odd = np.fromiter((any(m in t for m in self.marks) for t in texts), bool, len(texts))
+        if not odd.any():
+            return self._looked_up(texts)
+        flat, many = self._looked_up(["" if whole else t for t, whole in zip(texts, odd.tolist(), strict=True)])
+        ids, many[odd] = self._one_by_one([texts[i] for i in np.flatnonzero(odd).tolist()])
+        out, whole = np.empty(len(flat) + len(ids), np.int32), np.repeat(odd, many)
+        out[whole], out[~whole] = ids, flat
+        return out, many
+
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut and put together in lists of bounded length, the words of all of them are looked up at once."""
+        parts = [self.cut(part) for part in lists(texts)]
+        if not parts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        at = self.words.places(pa.concat_arrays([words for words, _ in parts]))
+        stops = np.cumsum([len(words) for words, _ in parts]).tolist()
+        found = [self.words.gather(at[b - len(words):b], counts) for b, (words, counts) in zip(stops, parts, strict=True)]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([many for _, many in found])
 
 
 _WORDS: dict[int, Words] = {}
@@ -140,11 +163,16 @@ def _loaded(tokenizer: bytes) -> Words:
     return _WORDS[key]
 
 
+def cell(values: np.ndarray) -> pa.Array:
+    """The bytes of an array as one binary value, which are not copied."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, values.nbytes], np.int32)), pa.py_buffer(values)])
+
+
 def blocks(docs: DataFrame, tokenizer: bytes, end: int = END_ID, most: int = BLOCK_TOKENS) -> DataFrame:
     """Documents in ascending order of id as blocks of about ``most`` ids, written down once.
 
     The texts are dealt by ranges of the id and sorted; each range is cut into blocks of whole documents. A block also has
-    how often it holds each id.
+    how often it holds each id. Its ids take two bytes each where all are below 2**16, else four.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq = _loaded(tokenizer), TaskContext.get().partitionId(), 0
@@ -152,26 +180,26 @@ def blocks(docs: DataFrame, tokenizer: bytes, end: int = END_ID, most: int = BLO
         size = 0
 
         def block() -> pa.RecordBatch:
-            names, lens, ids = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3))
-            known = np.concatenate([h[1] for h in held])
-            counts = np.bincount(ids)
+            names, known, lens, ids = (np.concatenate([h[k] for h in held]) for k in range(4))
+            top = int(ids.max()) + 1
+            counts = sum(np.bincount(h[3], minlength=top) for h in held)
             seen = np.flatnonzero(counts)
             times = counts[seen]
-            row = {"part": [part], "seq": [seq], "n_docs": [len(lens)], "n_tokens": [len(ids)], "doc_ids": [names.astype("<i8").tobytes()],
-                   "known": [known.astype(np.uint8).tobytes()], "lens": [lens.astype("<i8").tobytes()], "ids": [ids.astype("<u4").tobytes()],
-                   "seen": [seen], "times": [times]}
-            types = {"part": pa.int32(), "seq": pa.int32(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "seen": pa.list_(pa.int32()),
-                     "times": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.binary())) for k, v in row.items()], list(row))
+            row = {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(lens)], pa.int64()),
+                   "n_tokens": pa.array([len(ids)], pa.int64()), "doc_ids": cell(names.astype("<i8")), "known": cell(known.astype(np.uint8)),
+                   "lens": cell(lens.astype("<i8")), "ids": cell(ids.astype("<u2" if top <= 1 << 16 else "<u4", copy=False)), "seen": pa.array([seen], pa.list_(pa.int32())),
+                   "times": pa.array([times], pa.list_(pa.int64()))}
+            return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column("text")):
+            for texts in chunks(batch.column("text"), LOOKED_UP):
                 flat, many = words.encode(texts)
                 lens = many + 1
                 stops = np.cumsum(lens)
-                ids = np.full(int(stops[-1]), end, np.uint32)
-                ids[np.arange(len(flat)) + np.repeat(np.arange(len(many)), many)] = flat
+                ids, inside = np.full(int(stops[-1]), end, np.uint32), np.ones(int(stops[-1]), bool)
+                inside[stops - 1] = False
+                ids[inside] = flat
                 rows = batch.column("doc_id").slice(at, len(texts))
                 at += len(texts)
                 names, known = rows.fill_null(0).to_numpy(), rows.is_valid().to_numpy(zero_copy_only=False)
@@ -221,15 +249,15 @@ def write(docs: DataFrame, path: str, tokenizer: bytes, end: int = END_ID, most:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<u4")
-                control, data = pack(rank[ids])
-                head = struct.pack(HEAD, MAGIC, row["part"], row["seq"], row["n_docs"], len(ids), len(control), len(data))
-                whole = head + row["doc_ids"] + row["known"] + row["lens"] + control + data
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([whole], pa.binary())], ["part", "block"])
+            for part, seq, n, total, *cells in zip(*batch.columns, strict=True):
+                doc_ids, known, lens, ids = (c.as_buffer() for c in cells)
+                control, data = pack(rank[np.frombuffer(ids, f"<u{len(ids) // total.as_py()}")])
+                head = struct.pack(HEAD, MAGIC, part.as_py(), seq.as_py(), n.as_py(), total.as_py(), len(control), len(data))
+                whole = np.frombuffer(b"".join((head, doc_ids, known, lens, control, data)), np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), cell(whole)], ["part", "block"])
 
     spark = docs.sparkSession
-    coded = found.select("part", "seq", "n_docs", "doc_ids", "known", "lens", "ids").sortWithinPartitions("part", "seq")
+    coded = found.select("part", "seq", "n_docs", "n_tokens", "doc_ids", "known", "lens", "ids").sortWithinPartitions("part", "seq")
     coded = coded.mapInArrow(code, "part int, block binary").select("part", F.col("block").cast("string").alias("value"))
     coded.write.partitionBy("part").text(f"{path}/ids")
     placed = positions(found.select("part", "seq", "n_docs", "n_tokens"), [], ["part", "seq"], {"start": "n_tokens"}, "token-starts")
@@ -255,7 +283,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError("this is no token file")
                     ends = np.cumsum([at + struct.calcsize(HEAD), 8 * n, n, 8 * n, n_control, n_data]).tolist()
                     names, known, lens, control, data = (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
-                    ids = id_of[unpack(control, data, total)].astype("<u4")
+                    ids = id_of[unpack(control, data, total)].astype("<u4", copy=False)
                     lens = np.frombuffer(lens, "<i8")
                     stops = np.cumsum(lens)
                     offsets = pa.py_buffer(np.concatenate(([0], stops * 4)).astype(np.int32))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -14,9 +14,13 @@ WORDS_KEPT = 400_000
 
 def chunks(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """The texts of a batch in lists of bounded total length; a longer text is a list of its own."""
+    return lists((value.as_py() or "" for value in texts), most)
+
+
+def lists(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """Texts in lists as ``chunks`` makes them."""
     part, size = [], 0
-    for value in texts:
-        text = value.as_py() or ""
+    for text in texts:
         if part and size + len(text) > most:
             yield part
             part, size = [], 0
@@ -71,8 +75,8 @@ class WordIds:
         self.used += len(ids)
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def lookup(self, words: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, one after another, and how many each has, from the words and how many each document has."""
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """Where each word is remembered; places change with the next call."""
         if len(self.at) > self.kept:
             self._forget()
         coded = words.dictionary_encode()
@@ -83,13 +87,20 @@ class WordIds:
             place[missing] = len(self.at) + np.arange(len(missing))
             self._learn([distinct[i] for i in missing.tolist()])
         self.seen[place] += 1
-        at = place[coded.indices.to_numpy()]
+        return place[coded.indices.to_numpy()]
+
+    def gather(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, one after another, and how many each has, from the words' places and how many each document has."""
         many = self.many[at]
         ends = np.cumsum(many)
         flat = self.flat[np.repeat(self.first[at] - (ends - many), many) + np.arange(int(many.sum()))]
         stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return flat, np.diff(stops)
 
+    def lookup(self, words: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the words themselves."""
+        return self.gather(self.places(words), counts)
+
 
 class Cutter:
     """Cuts texts between neighbouring characters whose kinds don't join; ``kinds`` has the kind of every code point.

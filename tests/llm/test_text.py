@@ -9,11 +9,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 import corpus_pipeline
 from hearthstat.llm import common, graph, mixing, neardup, pieces, queries, secrets, tokenfile, toxicity
-from hearthstat.llm.words import WordIds, shingles, word_hashes
+from hearthstat.llm.words import WordIds, lists, shingles, word_hashes
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, node long, size long, row string, ids string, secrets string, score double"
@@ -142,6 +142,47 @@ def test_words_of_letters_go_to_the_model(monkeypatch):
     assert mine.letters and not {" the", "\n\tsuch", "x", "unheardofness", "don"} & set(asked)
 
 
+def library_ids(texts):
+    return [e.ids for e in Tokenizer.from_str(WORD_MODEL.decode()).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_latin_letters_go_to_the_model(monkeypatch):
+    mine = tokenfile.Words(WORD_MODEL)
+    letters = [" \u00fcber", "gr\u00f6\u00dfe", "\n\u00c4RGER", " \u00e9t\u00e9", "\u00ff", "\u00f8\u00e5\u00e6", *tokenfile.LATIN.lower()]
+    words = [*letters, " \u00d7", "a\u00f7b", "\u00b5m", "\u00aa", " o\u0308l", "\u0161koda"]
+    asked = []
+    monkeypatch.setattr(mine, "_joined", lambda given, old=mine._joined: (asked.extend(given), old(given))[1])
+    ids, many = mine._encode(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == library_ids(words)
+    assert mine.letters and not set(letters) & set(asked)
+
+
+def test_a_model_that_needs_its_own_rules_gets_whole_words():
+    other = Tokenizer.from_str(WORD_MODEL.decode())
+    other.normalizer = normalizers.Replace("e", "a")
+    mine, words = tokenfile.Words(other.to_str().encode()), [" the", "tea", "\u00e9t\u00e9", "x1"]
+    ids, many = mine._encode(words)
+    assert not mine.letters
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [e.ids for e in other.encode_batch(words, add_special_tokens=False)]
+
+
+def test_texts_with_added_tokens_leave_the_others_together(monkeypatch):
+    mine, texts = tokenfile.Words(WORD_MODEL), [*random_texts(200, 9), "a <|endoftext|> b", "", "plain words", "x <| y"]
+    cuts = []
+    monkeypatch.setattr(mine, "cut", lambda given, old=mine.cut: (cuts.append(len(given)), old(given))[1])
+    ids, lens = mine.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == library_ids(texts)
+    assert cuts == [len(texts)]
+
+
+def test_ids_do_not_depend_on_lists_of_texts(monkeypatch):
+    texts, mine = random_texts(300, 10), tokenfile.Words(WORD_MODEL)
+    monkeypatch.setattr(tokenfile, "lists", lambda given, old=lists: old(given, 50))
+    ids, lens = mine.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == library_ids(texts)
+    assert [len(x) for x in mine.encode([])] == [0, 0]
+
+
 def wanted_tokens(texts):
     library, at, want = Tokenizer.from_str(WORD_MODEL.decode()), 0, []
     for i, text in texts:
@@ -168,6 +209,13 @@ def test_token_files_of_odd_rows(odd_docs, most):
     assert tokenfile.round_trip(odd_docs.limit(0), WORD_MODEL).count() == 0
 
 
+def test_token_files_of_ids_beyond_two_bytes(docs):
+    texts = ["one two", "", "three"]
+    got = tokenfile.round_trip(docs([(i, t, "a") for i, t in enumerate(texts)]), WORD_MODEL, end=70_000, most=3).collect()
+    found = [np.frombuffer(r.ids, "<u4").tolist() for r in sorted(got, key=lambda r: r.doc_id)]
+    assert found == [[*x, 70_000] for x in library_ids(texts)]
+
+
 # Near duplicates
 
 
